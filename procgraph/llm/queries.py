@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, packing, secrets, token_files
+from procgraph.llm import fertility, line_dedup, mixing, packing, secrets, token_files
 from procgraph.llm.common import read
 
 
@@ -21,10 +22,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce(F.col("__kept.text"), F.lit("")), 256)
+    return kept.select("doc_id", F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), F.col("__taken").alias("taken"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read(spark, sf_dir, "documents"))
 
@@ -34,9 +49,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_tokeniser_fertility,
         op3_secret_scan,
+        op6_line_dedup,
         op7_sum_of_squares_packing,
+        op9_source_mixing,
         op10_token_files,
     )
 }
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op9_source_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+    FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, CAST([1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap
+    FROM sources
+), levels AS (
+    SELECT *, cap / weight AS ratio,
+        ((SELECT sum(source_size) FROM sources)::DOUBLE - coalesce(sum(cap) OVER w, 0.0)) / ((SELECT sum(weight) FROM weighted) - coalesce(sum(weight) OVER w, 0.0)) AS level
+    FROM weighted
+    WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+    SELECT source, source_size, coalesce(least(cap, (SELECT min(level) FROM levels WHERE level <= ratio) * weight), cap) AS target FROM levels
+), keyed AS (
+    SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+        CASE WHEN size > 0 THEN pow((CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE, 1 / (size / (size + 100.0::DOUBLE))) ELSE 0.0 END AS key
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+), placed AS (
+    SELECT *, target - epochs * source_size AS budget,
+        coalesce(sum(size) OVER (PARTITION BY source ORDER BY key DESC, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM keyed
+)
+SELECT doc_id, size, source_size, target,
+    CAST((epochs + CASE WHEN start < budget AND 2 * (budget - start) >= size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM placed
+"""
+
+ORACLES["op6_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), keyed AS (
+    SELECT doc_id, pos, line,
+        translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), common AS (
+    SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT k.doc_id, pos, line, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
