@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, line_dedup, mixing, packing, secrets, token_files
+from procgraph.llm import fertility, fingerprints, line_dedup, mixing, packing, secrets, token_files
 from procgraph.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("__kept.text"), F.lit("")), 256)
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_tokeniser_fertility,
         op3_secret_scan,
+        op4_consistent_weighted_sampling,
         op6_line_dedup,
         op7_sum_of_squares_packing,
         op9_source_mixing,
