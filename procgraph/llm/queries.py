@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, fingerprints, line_dedup, mixing, packing, secrets, token_files
+from procgraph.llm import fertility, fingerprints, line_dedup, mixing, packing, secrets, substrings, token_files
 from procgraph.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_tokeniser_fertility,
+        op2_substring_dedup,
         op3_secret_scan,
         op4_consistent_weighted_sampling,
         op6_line_dedup,
@@ -110,3 +116,24 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM words WHERE len(w) >= 20
+), windows AS (
+    SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 19), ' ')) AS key FROM starts
+), later AS (
+    SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS nth FROM windows) WHERE nth > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM later
+), placed AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
+), kept AS (
+    SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p.pos) AS kept
+    FROM placed p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
