@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, fingerprints, line_dedup, mixing, packing, secrets, substrings, token_files
+from procgraph.llm import fertility, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substrings, token_files
 from procgraph.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFr
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op5_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), near_dedup.Rule(width=2))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("__kept.text"), F.lit("")), 256)
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_substring_dedup,
         op3_secret_scan,
         op4_consistent_weighted_sampling,
+        op5_signature_inverted_join,
         op6_line_dedup,
         op7_sum_of_squares_packing,
         op9_source_mixing,
