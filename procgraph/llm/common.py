@@ -103,7 +103,7 @@ class WordHashes:
 
 def planes(a: np.ndarray) -> bytes:
     """Bytes of an array, all first bytes first: sorted values then compress in the shuffle."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:

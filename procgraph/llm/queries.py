@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substrings, token_files
+from procgraph.llm import fertility, fingerprints, line_dedup, mixing, near_dedup, packing, pitman_yor, secrets, substrings, token_files
 from procgraph.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_signature_inverted_join,
         op6_line_dedup,
         op7_sum_of_squares_packing,
+        op8_pitman_yor,
         op9_source_mixing,
         op10_token_files,
     )
