@@ -29,7 +29,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     of all sizes; no target passes most_epochs times its source's size, and what
     lies above is shared again by weight. That is a common level L with targets
     min(cap, L * weight): with sources ordered by cap / weight, L is what the
-    uncapped ones share at the first place where it fits under the next ratio.
+    uncapped ones share at the first place where it fits under the next ratio;
+    from there on the levels only fall, so it is the largest that fits.
     Works on sums by source only; the orderings run over one row per source.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -41,7 +42,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
     shared = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     fits = ranked.withColumn("level", left / shared).withColumn("level", F.when(F.col("level") <= F.col("ratio"), F.col("level")))
-    level = fits.withColumn("level", F.min("level").over(everyone))
+    level = fits.withColumn("level", F.max("level").over(everyone))
     return level.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 

@@ -94,7 +94,7 @@ WITH sized AS (
     FROM weighted
     WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goals AS (
-    SELECT source, source_size, coalesce(least(cap, (SELECT min(level) FROM levels WHERE level <= ratio) * weight), cap) AS target FROM levels
+    SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM levels WHERE level <= ratio) * weight), cap) AS target FROM levels
 ), keyed AS (
     SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
         CASE WHEN size > 0 THEN pow((CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE, 1 / (size / (size + 100.0::DOUBLE))) ELSE 0.0 END AS key
