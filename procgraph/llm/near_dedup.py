@@ -171,7 +171,7 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """
     lists = cut(postings(classes, rule))
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), rule).withColumnRenamed("doc_id", "id"))
+    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
     stars = lists.join(heads, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     found = cut(confirmed(stars, classes, sets, rule))
@@ -198,10 +198,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Equal sets are one class from the start, so exact copies never meet as
     pairs. Texts without words (null ones too) are linked with nothing. Rows
-    that repeat a doc_id are kept with it, in the component of their own text;
-    a null doc_id is linked with nothing and kept. An empty table gives
+    that repeat a doc_id are one document: a link of any of them links it. A
+    null doc_id is linked with nothing and kept. An empty table gives
     none; other columns aren't read.
     """
+    docs = doc_text(docs)
     signed = cut(signatures(docs, rule))
     classes = cut(
         signed.where("s1 is not null and doc_id is not null").groupBy("s1", "s2")
