@@ -1,3 +1,580 @@
-"""Registered queries of the reference-shaped operators, each with its SQL oracle."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries: every operator on the driver's tables, each with its SQL oracle.
+
+Adapters give the tables the shapes of a workflow project: E are call edges drawn
+from lineitem, T the tree region - nation - customer - order, H the tags of pages,
+P declared and used packages from part and lineitem, S versions from part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from procgraph.functions import expressions, ident
+from procgraph.operators import graph, relate, rules, trees
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# E: call edges and entries
+
+E_SQL = """edge AS (
+    SELECT DISTINCT src, dst FROM (
+        SELECT l_partkey % 61 AS src, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) % 61 AS dst
+        FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09) WHERE dst IS NOT NULL
+), node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), entry AS (SELECT DISTINCT src AS node FROM edge WHERE src < 5)"""
+DEPTH_SQL = """walk AS (SELECT node, 0 AS depth FROM entry UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 70),
+reached AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = t(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    return line.select((F.col("l_partkey") % 61).alias("src"), (after % 61).alias("dst")).where("dst is not null").distinct()
+
+
+def entries(e: DataFrame) -> DataFrame:
+    return e.where("src < 5").select(F.col("src").alias("node")).distinct()
+
+
+@query("call_depth", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node, depth FROM reached")
+def call_depth(spark, d):
+    e = edges(spark, d)
+    return graph.call_depth(e, entries(e))
+
+
+@query("depth_histogram", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT depth, count(*) AS workflows FROM reached GROUP BY depth")
+def depth_histogram(spark, d):
+    e = edges(spark, d)
+    return graph.call_depth(e, entries(e)).groupBy(F.greatest(F.lit(0).cast("long"), "depth").alias("depth")).agg(F.count("*").alias("workflows"))
+
+
+@query("reachable", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM reached")
+def reachable(spark, d):
+    e = edges(spark, d)
+    return graph.call_depth(e, entries(e)).select("node")
+
+
+@query("orphans", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM node EXCEPT SELECT node FROM reached")
+def orphans(spark, d):
+    e = edges(spark, d)
+    return graph.orphans(e, entries(e))
+
+
+CYCLE_SQL = """trail AS (
+    SELECT [src, dst] AS path FROM edge WHERE src < dst
+    UNION ALL SELECT list_append(path, dst) FROM trail JOIN edge ON src = path[len(path)] WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < 4
+), cycle AS (
+    SELECT [src] AS path FROM edge WHERE src = dst
+    UNION ALL SELECT path FROM trail JOIN edge ON src = path[len(path)] AND dst = path[1]
+)"""
+
+
+@query("cycles", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM cycle")
+def cycles(spark, d):
+    return graph.cycles(edges(spark, d)).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
+
+
+@query("cycle_nodes", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT DISTINCT unnest(path) AS node FROM cycle")
+def cycle_nodes(spark, d):
+    return graph.cycles(edges(spark, d)).select(F.explode("cycle").alias("node")).distinct()
+
+
+@query("cycle_count_by_type", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT CASE len(path) WHEN 1 THEN 'self' WHEN 2 THEN 'mutual' ELSE 'complex' END AS type, count(*) AS n FROM cycle GROUP BY 1")
+def cycle_count_by_type(spark, d):
+    return graph.cycles(edges(spark, d)).groupBy(graph.cycle_type(F.col("length")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("dependents", f"WITH {E_SQL} SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS callers FROM edge GROUP BY dst")
+def dependents(spark, d):
+    return edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("src")).cast("array<string>"), ",").alias("callers"))
+
+
+@query("fan_in_out", f"WITH {E_SQL} SELECT node, (SELECT count(*) FROM edge WHERE dst = node) AS fan_in, (SELECT count(*) FROM edge WHERE src = node) AS fan_out FROM node")
+def fan_in_out(spark, d):
+    return graph.degrees(edges(spark, d))
+
+
+@query("callgraph_metrics", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}
+SELECT (SELECT count(*) FROM node) AS workflows, (SELECT count(*) FROM edge) AS dependencies, (SELECT count(*) FROM entry) AS entry_points,
+    (SELECT count(*) FROM node) - (SELECT count(*) FROM reached) AS orphans, (SELECT CAST(max(depth) AS BIGINT) FROM reached) AS max_depth,
+    (SELECT count(*) FROM edge WHERE src = dst) AS self_calls""")
+def callgraph_metrics(spark, d):
+    e = edges(spark, d)
+    depth = graph.call_depth(e, entries(e))
+    marked = graph.nodes_of(e).join(depth, "node", "left").select(
+        F.count("*").alias("workflows"), F.sum((F.col("depth") == 0).cast("long")).alias("entry_points"), F.sum(F.col("depth").isNull().cast("long")).alias("orphans"), F.max("depth").alias("max_depth")
+    )
+    return marked.crossJoin(e.agg(F.count("*").alias("dependencies"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("self_calls")))  # one row each
+
+
+@query("call_paths", f"""WITH RECURSIVE {E_SQL}, walk AS (
+    SELECT [src, dst] AS path FROM edge WHERE src <> dst
+    UNION ALL SELECT list_append(path, dst) FROM walk JOIN edge ON src = path[len(path)] WHERE NOT list_contains(path, dst) AND len(path) < 4)
+SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops FROM walk""")
+def call_paths(spark, d):
+    return graph.paths(edges(spark, d), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops")
+
+
+ROLE_SQL = """degree AS (SELECT node, (SELECT count(*) FROM edge WHERE dst = node) AS fan_in, (SELECT count(*) FROM edge WHERE src = node) AS fan_out FROM node),
+role AS (SELECT d.node, CASE WHEN e.node IS NOT NULL THEN 'entry' WHEN r.node IS NULL THEN 'orphan' WHEN fan_in > 1 THEN 'shared' WHEN fan_out = 0 THEN 'leaf' ELSE 'inner' END AS role
+    FROM degree d LEFT JOIN entry e ON d.node = e.node LEFT JOIN reached r ON d.node = r.node)"""
+
+
+@query("node_roles", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL} SELECT node, role FROM role")
+def node_roles(spark, d):
+    e = edges(spark, d)
+    return graph.roles(e, entries(e))
+
+
+@query("mermaid_nodes", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL}
+SELECT '    n' || node || CASE role WHEN 'entry' THEN '([' ELSE '[' END || '"' || node || '"' || CASE role WHEN 'entry' THEN '])' ELSE ']' END || ':::' || role AS line FROM role""")
+def mermaid_nodes(spark, d):
+    e = edges(spark, d)
+    is_entry = F.col("role") == "entry"
+    line = F.concat(F.lit("    n"), F.col("node").cast("string"), F.when(is_entry, "([").otherwise("["), F.lit('"'), F.col("node").cast("string"), F.lit('"'), F.when(is_entry, "])").otherwise("]"), F.lit(":::"), "role")
+    return graph.roles(e, entries(e)).select(line.alias("line"))
+
+
+@query("mermaid_edges", f"WITH {E_SQL} SELECT '    n' || src || CASE WHEN src = dst THEN ' -.-> n' ELSE ' --> n' END || dst AS line FROM edge")
+def mermaid_edges(spark, d):
+    return edges(spark, d).select(F.concat(F.lit("    n"), F.col("src").cast("string"), F.when(F.col("src") == F.col("dst"), " -.-> n").otherwise(" --> n"), F.col("dst").cast("string")).alias("line"))
+
+
+@query("expanded_pseudocode", f"""WITH RECURSIVE {E_SQL}, walk AS (
+    SELECT node AS root, [node] AS trail, node, 0 AS depth, '' AS mark FROM entry
+    UNION ALL SELECT root, list_append(trail, dst), dst, depth + 1,
+        CASE WHEN list_contains(trail, dst) THEN 'cycle' WHEN depth + 1 = 3 AND EXISTS (SELECT 1 FROM edge x WHERE x.src = edge.dst) THEN 'depth limit' ELSE '' END
+    FROM walk JOIN edge ON src = node WHERE mark = '' AND depth < 3)
+SELECT root, array_to_string(trail, '>') AS trail, repeat('  ', CAST(depth AS INT)) || '- [' || node || '] call' || CASE mark WHEN '' THEN '' ELSE ' (' || mark || ')' END AS line FROM walk""")
+def expanded_pseudocode(spark, d):
+    e = edges(spark, d)
+    rows = graph.expand(e, entries(e), 3)
+    mark = F.when(F.col("mark") == "", "").otherwise(F.concat(F.lit(" ("), "mark", F.lit(")")))
+    return rows.select("root", F.array_join(F.col("trail").cast("array<string>"), ">").alias("trail"), F.concat(trees.pseudocode(F.col("depth"), F.col("node").cast("string"), F.lit("call")), mark).alias("line"))
+
+
+@query("explain_workflow", f"""WITH {E_SQL}, c AS (SELECT node, (SELECT count(*) FROM edge WHERE src = node) AS calls, (SELECT count(*) FROM edge WHERE dst = node) AS called FROM node)
+SELECT node, calls, called, called = 0 AS has_no_caller, CASE WHEN calls = 0 THEN 'none' WHEN calls <= 3 THEN 'low' WHEN calls <= 8 THEN 'medium' ELSE 'high' END AS complexity FROM c""")
+def explain_workflow(spark, d):
+    c = graph.degrees(edges(spark, d)).select("node", F.col("fan_out").alias("calls"), F.col("fan_in").alias("called"))
+    bucket = F.when(F.col("calls") == 0, "none").when(F.col("calls") <= 3, "low").when(F.col("calls") <= 8, "medium").otherwise("high")
+    return c.select("*", (F.col("called") == 0).alias("has_no_caller"), bucket.alias("complexity"))
+
+
+# T: a tree of four levels, as nodes with parent, depth and place
+
+
+TREE_SQL = """tree AS (
+    SELECT 'R' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 'Region' AS tag, r_name AS name, CAST(r_regionkey AS BIGINT) AS place FROM region
+    UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 1, 'Nation', n_name, n_nationkey FROM nation
+    UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 2, 'Customer', c_name, c_custkey FROM customer
+    UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey, 3, 'Order', o_orderpriority, o_orderkey FROM orders
+)"""
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    def level(table, key, parent, depth, tag, name, prefix, up):
+        parent = F.concat(F.lit(up), F.col(parent).cast("string")) if parent else F.lit(None).cast("string")
+        return t(spark, d, table).select(
+            F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), parent.alias("parent"), F.lit(depth).alias("depth"), F.lit(tag).alias("tag"), F.col(name).alias("name"), F.col(key).cast("long").alias("place")
+        )
+
+    return relate.union_all([
+        level("region", "r_regionkey", None, 0, "Region", "r_name", "R", ""), level("nation", "n_nationkey", "n_regionkey", 1, "Nation", "n_name", "N", "R"),
+        level("customer", "c_custkey", "c_nationkey", 2, "Customer", "c_name", "C", "N"), level("orders", "o_orderkey", "o_custkey", 3, "Order", "o_orderpriority", "O", "C"),
+    ])
+
+
+@query("tree_depth", f"WITH {TREE_SQL} SELECT tag, CAST(max(depth) AS BIGINT) AS depth, count(*) AS nodes FROM tree GROUP BY tag")
+def tree_depth(spark, d):
+    return tree(spark, d).groupBy("tag").agg(F.max("depth").cast("long").alias("depth"), F.count("*").alias("nodes"))
+
+
+@query("children_count", f"WITH {TREE_SQL} SELECT parent AS id, count(*) AS children FROM tree WHERE parent IS NOT NULL GROUP BY parent")
+def children_count(spark, d):
+    return tree(spark, d).where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+
+
+@query("sibling_index", f"WITH {TREE_SQL} SELECT id, row_number() OVER (PARTITION BY parent, tag ORDER BY place) - 1 AS n FROM tree WHERE parent IS NOT NULL")
+def sibling_index(spark, d):
+    return relate.numbered(tree(spark, d).where("parent is not null"), ["parent", "tag"], ["place"], "n").select("id", "n")
+
+
+@query("stable_node_id", f"""WITH {TREE_SQL} SELECT id, parent || '/' || tag || '[' || (row_number() OVER (PARTITION BY parent, tag ORDER BY place) - 1) || ']' AS node_id FROM tree WHERE parent IS NOT NULL""")
+def stable_node_id(spark, d):
+    n = relate.numbered(tree(spark, d).where("parent is not null"), ["parent", "tag"], ["place"], "n")
+    return n.select("id", F.concat("parent", F.lit("/"), "tag", F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("node_id"))
+
+
+@query("tree_metrics", """SELECT 'R' || n_regionkey AS id, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_regionkey""")
+def tree_metrics(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    per_customer = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    per_nation = c.join(per_customer, c["c_custkey"] == per_customer["o_custkey"], "left").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum(F.coalesce("n", F.lit(0))).alias("orders"))
+    joined = t(spark, d, "nation").join(per_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return joined.groupBy(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("id")).agg(
+        F.count("*").alias("nations"), F.coalesce(F.sum("customers"), F.lit(0)).alias("customers"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders")
+    )
+
+
+@query("pseudocode_lines", f"WITH {TREE_SQL} SELECT id, repeat('  ', depth) || '- [' || name || '] ' || tag AS line FROM tree")
+def pseudocode_lines(spark, d):
+    return tree(spark, d).select("id", trees.pseudocode(F.col("depth"), F.col("name"), F.col("tag")).alias("line"))
+
+
+@query("container_info", f"""WITH {TREE_SQL} SELECT c.id, p.tag AS container, c.tag <> 'Order' AS is_container FROM tree c LEFT JOIN tree p ON c.parent = p.id""")
+def container_info(spark, d):
+    n = tree(spark, d)
+    up = n.where("tag <> 'Order'").select(F.col("id").alias("up"), F.col("tag").alias("container"))
+    return n.join(up, F.col("parent") == F.col("up"), "left").select("id", "container", (F.col("tag") != "Order").alias("is_container"))
+
+
+@query("container_stats", f"""WITH {TREE_SQL} SELECT p.tag AS container, c.tag AS kind, count(*) AS n FROM tree c JOIN tree p ON c.parent = p.id GROUP BY ALL""")
+def container_stats(spark, d):
+    n = tree(spark, d)
+    up = n.where("tag <> 'Order'").select(F.col("id").alias("up"), F.col("tag").alias("container"))
+    return n.join(up, F.col("parent") == F.col("up")).groupBy("container", F.col("tag").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("clusters", f"WITH {TREE_SQL} SELECT coalesce(parent, '(root)') AS folder, count(*) AS n FROM tree WHERE depth <= 2 GROUP BY 1")
+def clusters(spark, d):
+    return tree(spark, d).where("depth <= 2").groupBy(F.coalesce("parent", F.lit("(root)")).alias("folder")).agg(F.count("*").alias("n"))
+
+
+# H: tags, references and namespaces of pages
+
+
+@query("activity_type_hist", "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def activity_type_hist(spark, d):
+    return t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("visual_activities", """SELECT page_id, count(*) AS visual FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+WHERE tag NOT IN ('html', 'head', 'meta', 'link', 'script', 'style', 'title', 'body') GROUP BY page_id""")
+def visual_activities(spark, d):
+    tags = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
+    return tags.where(~F.col("tag").isin("html", "head", "meta", "link", "script", "style", "title", "body")).groupBy("page_id").agg(F.count("*").alias("visual"))
+
+
+@query("activity_package", "SELECT package, count(*) AS n FROM (SELECT CASE WHEN tag IN ('a', 'link') THEN 'links' WHEN tag IN ('p', 'div', 'span', 'h1', 'h2', 'h3', 'li', 'ul') THEN 'text' ELSE 'other' END AS package FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)) GROUP BY package")
+def activity_package(spark, d):
+    catalog = spark.createDataFrame([("a", "links"), ("link", "links"), *[(x, "text") for x in ("p", "div", "span", "h1", "h2", "h3", "li", "ul")]], "tag string, package string")
+    tags = t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
+    return tags.join(F.broadcast(catalog), "tag", "left").groupBy(F.coalesce("package", F.lit("other")).alias("package")).agg(F.count("*").alias("n"))  # a fixed catalog
+
+
+@query("resource_refs", """SELECT page_id, ref, CASE WHEN regexp_matches(lower(ref), '\\.(xaml|json|txt|csv|xlsx)$') THEN 'file' WHEN starts_with(ref, 'http') THEN 'url' WHEN contains(ref, '{') AND contains(ref, '}') THEN 'dynamic' END AS kind
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '(href|src)="([^"]+)"', 2)) AS ref FROM pages)""")
+def resource_refs(spark, d):
+    refs = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(href|src)="([^"]+)"'), 2)).alias("ref"))
+    return refs.select("page_id", "ref", expressions.resource_kind(F.lit(""), F.col("ref")).alias("kind"))
+
+
+@query("namespaces", "SELECT regexp_extract(url, '^([a-z]+)://([^/]+)', 1) AS prefix, regexp_extract(url, '^([a-z]+)://([^/]+)', 2) AS namespace, count(*) AS n FROM pages GROUP BY ALL")
+def namespaces(spark, d):
+    pick = lambda i: F.regexp_extract("url", "^([a-z]+)://([^/]+)", i)
+    return t(spark, d, "pages").groupBy(pick(1).alias("prefix"), pick(2).alias("namespace")).agg(F.count("*").alias("n"))
+
+
+@query("packages_from_ns", """SELECT ns, CASE WHEN starts_with(ns, 'clr-namespace:System') THEN NULL WHEN regexp_extract(ns, 'assembly=([^;]+)', 1) <> '' THEN regexp_extract(ns, 'assembly=([^;]+)', 1) END AS package
+FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'clr-namespace:System.' || p_brand ELSE 'clr-namespace:' || p_brand || ';assembly=' || replace(p_type, ' ', '.') END AS ns FROM part)""")
+def packages_from_ns(spark, d):
+    ns = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("clr-namespace:System."), "p_brand")).otherwise(F.concat(F.lit("clr-namespace:"), "p_brand", F.lit(";assembly="), F.replace("p_type", F.lit(" "), F.lit("."))))
+    return t(spark, d, "part").select(ns.alias("ns")).distinct().select("ns", expressions.package_of(F.col("ns")).alias("package"))
+
+
+# P: packages
+
+
+P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part WHERE p_size = 7),
+used AS (SELECT DISTINCT p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount >= 0.09)"""
+
+
+def packages(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    wanted = t(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_partkey").alias("p_partkey"))
+    return part.where("p_size = 7").select(F.col("p_name").alias("package")).distinct(), part.join(wanted, "p_partkey", "left_semi").select(F.col("p_name").alias("package")).distinct()
+
+
+@query("package_usage", f"WITH {P_SQL} SELECT coalesce(d.package, u.package) AS package, d.package IS NOT NULL AS is_declared, u.package IS NOT NULL AS is_used FROM declared d FULL JOIN used u ON d.package = u.package")
+def package_usage(spark, d):
+    return relate.usage(*packages(spark, d))
+
+
+@query("unused_packages", f"WITH {P_SQL} SELECT package FROM declared EXCEPT SELECT package FROM used")
+def unused_packages(spark, d):
+    declared, used = packages(spark, d)
+    return declared.subtract(used)
+
+
+@query("undeclared_packages", f"WITH {P_SQL} SELECT package FROM used EXCEPT SELECT package FROM declared")
+def undeclared_packages(spark, d):
+    declared, used = packages(spark, d)
+    return used.subtract(declared)
+
+
+@query("package_ratio", f"""WITH {P_SQL} SELECT (SELECT count(*) FROM declared) AS declared, (SELECT count(*) FROM used) AS used,
+round((SELECT count(*) FROM declared SEMI JOIN used USING (package)) / (SELECT count(*) FROM declared)::DOUBLE, 6) AS ratio""")
+def package_ratio(spark, d):
+    both = relate.usage(*packages(spark, d))
+    n = lambda c: F.sum(c.cast("long"))
+    d_, u_ = F.col("is_declared"), F.col("is_used")
+    return both.agg(n(d_).alias("declared"), n(u_).alias("used"), F.round(n(d_ & u_) / n(d_), 6).alias("ratio"))
+
+
+@query("dependency_class", """SELECT name, CASE WHEN starts_with(name, 'Brand#1') THEN 'vendor' WHEN name IN (SELECT p_brand FROM part WHERE p_size = 50) THEN 'local' WHEN regexp_matches(name, '^[A-Z][a-z]+[A-Z][a-z]+') THEN 'custom' ELSE 'ambiguous' END AS class
+FROM (SELECT DISTINCT p_brand AS name FROM part)""")
+def dependency_class(spark, d):
+    part = t(spark, d, "part")
+    local = part.where("p_size = 50").select(F.col("p_brand").alias("name")).distinct().withColumn("is_local", F.lit(True))
+    names = part.select(F.col("p_brand").alias("name")).distinct().join(local, "name", "left")
+    return names.select("name", expressions.dependency_class(F.col("name"), "Brand#1", F.coalesce("is_local", F.lit(False))).alias("class"))
+
+
+@query("dependency_summary", """SELECT class, count(*) AS n FROM (SELECT CASE WHEN starts_with(name, 'Brand#1') THEN 'vendor' WHEN name IN (SELECT p_brand FROM part WHERE p_size = 50) THEN 'local' WHEN regexp_matches(name, '^[A-Z][a-z]+[A-Z][a-z]+') THEN 'custom' ELSE 'ambiguous' END AS class
+FROM (SELECT DISTINCT p_brand AS name FROM part)) GROUP BY class""")
+def dependency_summary(spark, d):
+    return dependency_class(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+
+
+# Joins, rules and windows
+
+
+@query("entry_point_match", "SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0)")
+def entry_point_match(spark, d):
+    low = t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    return t(spark, d, "nation").join(low, "n_nationkey", "left_semi").select("n_nationkey")
+
+
+@query("resolve_target_priority", """WITH call AS (SELECT DISTINCT regexp_replace(p_name, '^[^ ]+ ', '') AS target FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size < 10 UNION SELECT p_type FROM part),
+cat AS (SELECT p_partkey AS id, p_name AS path FROM part),
+hit AS (SELECT target, id, 1 AS priority FROM call JOIN cat ON target = path UNION ALL SELECT target, id, 2 FROM call JOIN (SELECT id, unnest(string_split(path, ' ')[2:]) AS word FROM cat) ON target = word)
+SELECT target, coalesce(first.id, -1) AS id, CASE first.priority WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' ELSE 'missing' END AS match
+FROM (SELECT c.target, min({'priority': h.priority, 'id': h.id}) AS first FROM call c LEFT JOIN hit h ON c.target = h.target GROUP BY c.target)""")
+def resolve_target_priority(spark, d):
+    part = t(spark, d, "part")
+    calls = relate.union_all([part.select(F.regexp_replace("p_name", "^[^ ]+ ", "").alias("target")), part.where("p_size < 10").select(F.col("p_name").alias("target")), part.select(F.col("p_type").alias("target"))]).distinct()
+    return relate.resolve_targets(calls, part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("path"))).withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+@query("invocation_kind", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing' WHEN contains(text, '{') OR contains(text, '}') OR contains(text, '[') OR contains(text, ']') OR contains(text, 'Path.Combine') OR contains(text, '+') THEN 'dynamic'
+WHEN ends_with(lower(text), '.cs') THEN 'invoke-coded' ELSE 'invoke' END AS kind FROM documents) GROUP BY kind""")
+def invocation_kind(spark, d):
+    return t(spark, d, "documents").groupBy(expressions.invocation_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("referential_integrity", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') ON o_custkey = c_custkey")
+def referential_integrity(spark, d):
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return rules.dangling(t(spark, d, "customer").select("c_custkey"), "c_custkey", urgent, "o_custkey")
+
+
+@query("kinds_bounded", "SELECT event_type, count(*) AS n, event_type IN ('click', 'view', 'purchase', 'signup') AS is_known FROM events GROUP BY event_type")
+def kinds_bounded(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("is_known", F.col("event_type").isin("click", "view", "purchase", "signup"))
+
+
+ISSUES_SQL = """issue AS (
+    SELECT 'referential-integrity' AS rule, 'fail' AS severity, CAST(c_custkey AS VARCHAR) AS subject, 'no urgent closed order' AS message
+    FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') ON o_custkey = c_custkey
+    UNION ALL SELECT 'kinds-bounded', 'warn', event_type, 'unknown kind' FROM (SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup'))
+    UNION ALL SELECT 'workflow-size', 'warn', CAST(o_custkey AS VARCHAR), 'more than 15 orders' FROM orders GROUP BY o_custkey HAVING count(*) > 15
+)"""
+
+
+def found_issues(spark, d):
+    o = t(spark, d, "orders")
+    kinds = t(spark, d, "events").select("event_type").distinct().where("event_type not in ('click', 'view', 'purchase', 'signup')")
+    large = o.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 15")
+    return relate.union_all([
+        rules.issues(referential_integrity(spark, d), "referential-integrity", "fail", F.col("c_custkey"), F.lit("no urgent closed order")),
+        rules.issues(kinds, "kinds-bounded", "warn", F.col("event_type"), F.lit("unknown kind")),
+        rules.issues(large, "workflow-size", "warn", F.col("o_custkey"), F.lit("more than 15 orders")),
+    ])
+
+
+@query("validation_issues", f"WITH {ISSUES_SQL} SELECT * FROM issue")
+def validation_issues(spark, d):
+    return found_issues(spark, d)
+
+
+@query("validation_status", f"""WITH {ISSUES_SQL} SELECT r.rule, count(issue.rule) AS issues, CASE max(CASE severity WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'pass' END AS status
+FROM (VALUES ('referential-integrity'), ('kinds-bounded'), ('workflow-size'), ('duplicate-ids')) r(rule) LEFT JOIN issue ON r.rule = issue.rule GROUP BY r.rule""")
+def validation_status(spark, d):
+    return rules.status(found_issues(spark, d), ["referential-integrity", "kinds-bounded", "workflow-size", "duplicate-ids"])
+
+
+@query("arg_naming", "SELECT c_mktsegment, count(*) FILTER (WHERE NOT regexp_matches(c_name, '^Customer#[0-9]+$')) AS badly_named, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def arg_naming(spark, d):
+    bad = F.sum((~F.col("c_name").rlike("^Customer#[0-9]+$")).cast("long"))
+    return t(spark, d, "customer").groupBy("c_mktsegment").agg(bad.alias("badly_named"), F.count("*").alias("n"))
+
+
+@query("workflow_size", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
+def workflow_size(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 15")
+
+
+@query("annotation_coverage", "SELECT source, round(count(*) FILTER (WHERE quality IS NOT NULL) / count(*)::DOUBLE, 6) AS coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def annotation_coverage(spark, d):
+    joined = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joined.groupBy("source").agg(F.round(F.count("quality") / F.count("*"), 6).alias("coverage"))
+
+
+@query("error_handling", "SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day FROM events GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (WHERE event_type = 'error') = 0")
+def error_handling(spark, d):
+    per_day = t(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"))
+    return per_day.where("n >= 3 and errors = 0").select("user_id", "day")
+
+
+@query("cfg_seq_next", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role, role FROM conversations")
+def cfg_seq_next(spark, d):
+    return relate.previous(t(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], ["role"])
+
+
+@query("cfg_branches", "SELECT CASE event_type WHEN 'error' THEN 'catch' WHEN 'purchase' THEN 'then' ELSE 'else' END AS branch, count(*) AS n FROM events GROUP BY 1")
+def cfg_branches(spark, d):
+    branch = F.when(F.col("event_type") == "error", "catch").when(F.col("event_type") == "purchase", "then").otherwise("else")
+    return t(spark, d, "events").groupBy(branch.alias("branch")).agg(F.count("*").alias("n"))
+
+
+@query("bays_latest", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def bays_latest(spark, d):
+    return relate.latest(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
+
+
+@query("keep_latest_n", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 100")
+def keep_latest_n(spark, d):
+    return relate.latest(t(spark, d, "events").select("event_type", "event_id", "ts"), ["event_type"], [F.desc("ts"), F.desc("event_id")], 100).drop("ts")
+
+
+@query("project_type_rollup", "SELECT coalesce(c_mktsegment, 'all') AS segment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def project_type_rollup(spark, d):
+    return t(spark, d, "customer").rollup("c_mktsegment").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance")).select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), "customers", "balance")
+
+
+@query("scan_diff", """SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed' ELSE 'unchanged' END AS change
+FROM (SELECT p_partkey FROM part WHERE p_size < 25) o FULL JOIN (SELECT p_partkey FROM part WHERE p_size >= 20) n ON o.p_partkey = n.p_partkey""")
+def scan_diff(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return relate.changes(part.where("p_size < 25"), part.where("p_size >= 20"), "p_partkey", "p_brand")
+
+
+@query("dup_ids", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dup_ids(spark, d):
+    return rules.duplicates(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("props_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("schema_checks", "SELECT count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS missing_key, count(*) FILTER (WHERE value IS NULL) AS missing_value, count(*) FILTER (WHERE value < 0) AS negative FROM events")
+def schema_checks(spark, d):
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return t(spark, d, "events").agg(n(F.get_json_object("props", "$.k").isNull()).alias("missing_key"), n(F.col("value").isNull()).alias("missing_value"), n(F.col("value") < 0).alias("negative"))
+
+
+# Listing, names and versions
+
+
+@query("list_filter_sort_limit", "SELECT p_partkey, p_name, p_size FROM part WHERE lower(p_name) LIKE '%a%' ORDER BY p_size DESC, lower(p_name), p_partkey LIMIT 20")
+def list_filter_sort_limit(spark, d):
+    return t(spark, d, "part").where("lower(p_name) like '%a%'").orderBy(F.desc("p_size"), F.lower("p_name"), "p_partkey").limit(20).select("p_partkey", "p_name", "p_size")
+
+
+@query("glob_filter", "SELECT s_suppkey FROM supplier WHERE s_name GLOB 'Supplier#*[02468]'")
+def glob_filter(spark, d):
+    return t(spark, d, "supplier").where(F.col("s_name").rlike("^Supplier#.*[02468]$")).select("s_suppkey")
+
+
+@query("folder_counts", "SELECT CASE WHEN contains(p_type, ' ') THEN split_part(p_type, ' ', 1) ELSE '(root)' END AS folder, count(*) AS n FROM part GROUP BY 1")
+def folder_counts(spark, d):
+    return t(spark, d, "part").groupBy(F.when(F.col("p_type").contains(" "), F.split_part("p_type", F.lit(" "), F.lit(1))).otherwise("(root)").alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("style_dims", """SELECT user_id, round(coalesce(count(*) FILTER (WHERE event_type = 'click') / nullif(count(*) FILTER (WHERE event_type IN ('click', 'view')), 0)::DOUBLE, 0.5), 6) AS orchestration,
+round(least(1.0, count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE), 6) AS defensive FROM events GROUP BY user_id""")
+def style_dims(spark, d):
+    n = lambda *kinds: F.sum(F.col("event_type").isin(*kinds).cast("long"))
+    ratio = F.coalesce(n("click") / F.nullif(n("click", "view"), F.lit(0)), F.lit(0.5))
+    return t(spark, d, "events").groupBy("user_id").agg(F.round(ratio, 6).alias("orchestration"), F.round(F.least(F.lit(1.0), n("error") / F.count("*")), 6).alias("defensive"))
+
+
+@query("slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def slug(spark, d):
+    return t(spark, d, "part").select("p_partkey", ident.slug(F.concat("p_type", F.lit(" / "), "p_brand")).alias("slug"))
+
+
+@query("composite_id", "SELECT p_partkey, p_brand || '#' || p_name || '#' || substr(sha256(p_type), 1, 16) AS id FROM part")
+def composite_id(spark, d):
+    return t(spark, d, "part").select("p_partkey", ident.composite_id(F.col("p_brand"), F.col("p_name"), F.sha2("p_type", 256)).alias("id"))
+
+
+@query("path_norm", r"""SELECT p_partkey, regexp_replace(replace(replace(p_type, ' ', '\') || CASE WHEN p_size % 2 = 0 THEN '.xaml' ELSE '.Xaml' END, '\', '/'), '(\.xaml|\.XAML)$', '') AS id FROM part""")
+def path_norm(spark, d):
+    path = F.concat(F.replace("p_type", F.lit(" "), F.lit("\\")), F.when(F.col("p_size") % 2 == 0, ".xaml").otherwise(".Xaml"))
+    return t(spark, d, "part").select("p_partkey", ident.workflow_id(path).alias("id"))
+
+
+@query("uri_build", "SELECT p_partkey, 'procgraph://lake/projects/' || regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '/workflows/' || replace(p_name, ' ', '%20') AS uri FROM part")
+def uri_build(spark, d):
+    return t(spark, d, "part").select("p_partkey", ident.resource_uri(F.col("p_brand"), F.lit("workflows"), F.col("p_name")).alias("uri"))
+
+
+@query("activity_path", r"SELECT p_partkey, array_to_string(list_transform(string_split(node, '/'), lambda x: regexp_replace(x, '(_[0-9]+)+$', '')), '/') AS path FROM (SELECT p_partkey, replace(p_type, ' ', '_' || p_size || '/') || '_' || p_size || '_2' AS node FROM part)")
+def activity_path(spark, d):
+    node = F.concat(F.regexp_replace("p_type", F.lit(" "), F.concat(F.lit("_"), F.col("p_size").cast("string"), F.lit("/"))), F.lit("_"), F.col("p_size").cast("string"), F.lit("_2"))
+    return t(spark, d, "part").select("p_partkey", ident.activity_path(node).alias("path"))
+
+
+S_SQL = """version AS (SELECT p_partkey, p_size || '.' || p_partkey % 10 || '.' || p_partkey % 7 || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-rc' ELSE '-rc.' || p_size END AS v FROM part)"""
+
+
+def versions(spark, d):
+    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    tail = F.when(p % 3 == 0, "").when(p % 3 == 1, "-rc").otherwise(F.concat(F.lit("-rc."), n))
+    return t(spark, d, "part").select("p_partkey", F.concat(F.concat_ws(".", n, (p % 10).cast("string"), (p % 7).cast("string")), tail).alias("v"))
+
+
+@query("semver_parse", f"WITH {S_SQL} SELECT p_partkey, CAST(regexp_extract(v, '^([0-9]+)', 1) AS BIGINT) AS major, CAST(regexp_extract(v, '^[0-9]+\\.([0-9]+)', 1) AS BIGINT) AS minor, CAST(regexp_extract(v, '^[0-9]+\\.[0-9]+\\.([0-9]+)', 1) AS BIGINT) AS patch, regexp_extract(v, '-(.*)$', 1) AS pre FROM version")
+def semver_parse(spark, d):
+    return versions(spark, d).select("p_partkey", *[ident.version_part(F.col("v"), p).alias(p) for p in ("major", "minor", "patch", "pre")])
+
+
+@query("semver_bump", f"""WITH {S_SQL}, p AS (SELECT p_partkey, CAST(regexp_extract(v, '^([0-9]+)', 1) AS BIGINT) AS a, CAST(regexp_extract(v, '^[0-9]+\\.([0-9]+)', 1) AS BIGINT) AS b, CAST(regexp_extract(v, '^[0-9]+\\.[0-9]+\\.([0-9]+)', 1) AS BIGINT) AS c, regexp_extract(v, '-(.*)$', 1) AS pre FROM version)
+SELECT p_partkey, (a + 1) || '.0.0' AS major, a || '.' || (b + 1) || '.0' AS minor, a || '.' || b || '.' || CASE pre WHEN '' THEN c + 1 ELSE c END AS patch,
+CASE WHEN pre = '' THEN a || '.' || b || '.' || (c + 1) || '-alpha.1' WHEN pre = 'rc' THEN a || '.' || b || '.' || c || '-rc.1' ELSE a || '.' || b || '.' || c || '-rc.' || (CAST(substr(pre, 4) AS BIGINT) + 1) END AS pre FROM p""")
+def semver_bump(spark, d):
+    return versions(spark, d).select("p_partkey", *[ident.bump(F.col("v"), k).alias(k) for k in ("major", "minor", "patch", "pre")])
+
+
+@query("fuzzy_projects", "SELECT n_name, CAST(levenshtein(lower(n_name), 'germony') AS BIGINT) AS distance FROM nation ORDER BY distance, n_name LIMIT 5")
+def fuzzy_projects(spark, d):
+    return t(spark, d, "nation").select("n_name", F.levenshtein(F.lower("n_name"), F.lit("germony")).cast("long").alias("distance")).orderBy("distance", "n_name").limit(5)
+
+
+@query("event_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    w = F.window("ts", "1 hour")
+    return t(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "n")
