@@ -16,6 +16,12 @@ from procgraph.llm.substrings import window_hashes
 from procgraph.llm.token_ids import WordMemory, hash_words, text_batches, texts_of, words_in
 
 
+#: Ids (8 bytes each) up to which the ids whose full sets are read are broadcast; beyond, texts are dealt by id.
+MOST_BROADCAST = 4_000_000
+#: Bytes of a shingle hash in a full set: two sets of thousands collide with a probability below one in a million.
+HASH_BYTES = 6
+
+
 @dataclass(frozen=True)
 class Rule:
     """What is near: `width` words a shingle, similarity of `percent` hundredths and more.
@@ -94,12 +100,15 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes of documents, 8 bytes each."""
+    """(doc_id, set): the sorted shingle hashes of documents, HASH_BYTES each."""
+
+    def short(s: np.ndarray) -> bytes:
+        return np.unique(s >> np.uint64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(rule.width)
         for table in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([s.tobytes() for s in shingles(texts_of(table))], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([short(s) for s in shingles(texts_of(table))], pa.binary())], names=["doc_id", "set"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, set binary")
 
@@ -140,7 +149,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule)
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                one, two = (np.pad(np.frombuffer(z, np.uint8).reshape(-1, HASH_BYTES), ((0, 0), (0, 8 - HASH_BYTES))).view(np.uint64).reshape(-1) for z in (x, y))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= rule.percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -169,11 +178,14 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     the others. So every pair that could join two components is checked, and a
     large group of copies costs as many pairs as it has members.
     """
-    lists = cut(postings(classes, rule))
-    wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
+    lists = postings(classes, rule)
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
-    stars = lists.join(heads, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    lists = cut(lists.join(heads, "token"))
+    wanted = cut(lists.select(F.col("id").alias("doc_id")).distinct())
+    few = wanted.count() <= MOST_BROADCAST
+    sets = cut(full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
+    stars = lists.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    lists = lists.drop("a")
     found = cut(confirmed(stars, classes, sets, rule))
     groups = connected_components(found)
     marked = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
