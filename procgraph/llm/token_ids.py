@@ -16,7 +16,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 12 << 20) -> Iterator[pa.Table]:
+def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.Table]:
     """The batches in slices of about most_bytes of text (a longer text stands alone); null texts stay null."""
     for batch in batches:
         table = pa.table(batch.columns, batch.schema.names)
@@ -91,7 +91,7 @@ class WordEncoder:
     library's model; all others through its whole chain.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
