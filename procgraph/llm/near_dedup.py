@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from procgraph.llm.common import cut, doc_text, mix
 from procgraph.llm.components import connected_components
 from procgraph.llm.substrings import window_hashes
-from procgraph.llm.token_ids import WordMemory, hash_words, text_batches, texts_of, words_in
+from procgraph.llm.token_ids import WordMemory, hash_words, ragged, text_batches, texts_of, words_in
 
 
 #: Ids (8 bytes each) up to which the ids whose full sets are read are broadcast; beyond, texts are dealt by id.
 MOST_BROADCAST = 4_000_000
 #: Bytes of a shingle hash in a full set: two sets of thousands collide with a probability below one in a million.
 HASH_BYTES = 6
+#: Ids, and shingles of full sets, that one tile holds; larger groups have more tiles.
+TILE = 128
+TILE_SHINGLES = 60_000
 
 
 @dataclass(frozen=True)
@@ -169,14 +172,120 @@ def agree(one: Column, two: Column, rule: Rule) -> Column:
     return enough(one, two)
 
 
+def tiles(batches: Iterator[pa.RecordBatch], meet) -> Iterator[pa.RecordBatch]:
+    """meet(members, others) for the rows of each tile, sorted by (tile, side): members (side 0) are held, others (side 1) stream by."""
+    tile, held, members = None, [], None
+    for batch in batches:
+        keys, sides = batch["tile"].to_numpy(), batch["side"].to_numpy()
+        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (sides[1:] != sides[:-1])) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+            if start == end:
+                continue
+            if keys[start] != tile:
+                tile, held, members = keys[start], [], None
+            if sides[start] == 0:
+                held.append(batch.slice(start, end - start))
+            elif held:
+                members = members or pa.Table.from_batches(held).combine_chunks()
+                yield from meet(members, batch.slice(start, end - start))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tile").sortWithinPartitions("tile", "side")
+
+
+def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(id, component): ids with a component that isn't theirs, one member of which agrees with them in enough coordinates.
+
+    several has (token, id, component, main, n) of posting lists of n ids. Those
+    outside a list's main component meet all others, in tiles of about TILE
+    members; of two outside it the one with the larger component is asked.
+    """
+    # one signature moves for each posting, not two for each pair
+    signed = several.join(classes.select("id", "n_shingles", "signature"), "id").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
+    names = ["tile", "side", "id", "component", "main", "n_shingles", "signature"]
+    members = signed.withColumn("side", F.lit(0)).withColumn("tile", F.xxhash64("token", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    asked = signed.where("component <> main").withColumn("side", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asked.withColumn("tile", F.xxhash64("token", F.col("part").cast("long")))
+
+    def numbers(rows) -> tuple:
+        column = lambda c: rows[c].combine_chunks() if isinstance(rows, pa.Table) else rows[c]
+        return *(column(c).to_numpy() for c in names[2:6]), np.frombuffer(b"".join(column("signature").to_pylist()), "<u4").reshape(-1, rule.coordinates)
+
+    def meet(held, others):
+        _, theirs, _, sizes, values = numbers(held)
+        ids, own, main, n, signatures = numbers(others)
+        for at in range(0, len(ids), 64):
+            part = slice(at, at + 64)
+            allowed = (own[part, None] != theirs) & ((theirs == main[part, None]) | (own[part, None] > theirs))
+            allowed &= 100 * np.minimum(n[part, None], sizes) >= rule.percent * np.maximum(n[part, None], sizes)
+            x, y = np.nonzero(allowed)
+            for some in range(0, len(x), 20_000):
+                i, j = x[some : some + 20_000], y[some : some + 20_000]
+                near = (signatures[part][i] == values[j]).sum(1) >= rule.matches
+                found = np.unique(np.stack([ids[part][i[near]], theirs[j[near]]]), axis=1)
+                if found.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["id", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tiles(batches, meet)
+
+    return dealt(members.select(*names).unionByName(asked.select(*names))).mapInArrow(run, "id long, component long").distinct()
+
+
+def linked(wanted: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) for each row (id, component) of wanted that has a near member: one of them.
+
+    members has (id, component). A component's full sets are held in tiles of about TILE_SHINGLES,
+    and meet about TILE ids at once; an id's shingles are counted against a whole tile.
+    """
+    sized = members.join(classes.select("id", "n_shingles"), "id")
+    asks = wanted.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("askers"))
+    shape = sized.join(asks, "component").groupBy("component").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("parts"), F.first("askers").alias("askers"))
+    shape = cut(shape)
+    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id"), F.col("askers"))
+    held = members.join(shape, "component").withColumn("asker", counted("askers")).select(F.xxhash64("component", place[0], "asker").alias("tile"), F.lit(0).alias("side"), "id")
+    asked = wanted.join(shape, "component").withColumn("part", counted("parts")).select(F.xxhash64("component", "part", place[1]).alias("tile"), F.lit(1).alias("side"), "id")
+    rows = held.unionByName(asked).join(sets, "id")
+
+    def hashes(data: bytes) -> np.ndarray:
+        return np.pad(np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES), ((0, 0), (0, 8 - HASH_BYTES))).view(np.uint64).reshape(-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [None, ()]
+
+        def meet(held, others):
+            if known[0] is not held:
+                each = [hashes(x) for x in held["set"].to_pylist()]
+                values, owners = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+                order = np.argsort(values, kind="stable")
+                known[:] = held, (values[order], owners[order], np.array([len(x) for x in each]), held["id"].to_numpy())
+            values, owners, sizes, ids = known[1]
+            pairs = []
+            for x, data in zip(others["id"].to_pylist(), others["set"].to_pylist()):
+                own = hashes(data)
+                start = np.searchsorted(values, own)
+                both = np.bincount(owners[ragged(start, np.searchsorted(values, own, "right") - start)], minlength=len(sizes))
+                near = ids[100 * both >= rule.percent * (len(own) + sizes - both)]
+                if len(near):
+                    pairs.append((x, int(near.min())))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+        return tiles(batches, meet)
+
+    return dealt(rows.select("tile", "side", "id", "set")).mapInArrow(run, "a long, b long")
+
+
 def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(id, component) of classes with a near one.
 
     Each posting list is first tied to its smallest id, a star and not all
     pairs. Lists that then still hold several components are settled in full,
-    but only between components: those outside the list's largest one against
-    the others. So every pair that could join two components is checked, and a
-    large group of copies costs as many pairs as it has members.
+    but only between components: an id outside the list's largest one asks for
+    components, not for pairs. So everything that could join two components is
+    checked, and a large group of copies costs as many rows as it has members.
     """
     lists = postings(classes, rule)
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
@@ -185,17 +294,14 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     few = wanted.count() <= MOST_BROADCAST
     sets = cut(full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
     stars = lists.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    lists = lists.drop("a")
     found = cut(confirmed(stars, classes, sets, rule))
     groups = connected_components(found)
-    marked = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = cut(wanted.select(F.col("doc_id").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    marked = lists.select("token", "id").join(members, "id")
     by_list = marked.groupBy("token", "component").agg(F.count("*").alias("n"))
-    main = by_list.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    several = cut(marked.join(main.select("token", "main"), "token"))
-    rest = several.where("component <> main").select("token", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = rest.join(several.select("token", F.col("id").alias("y"), F.col("component").alias("cy")), "token").where("cx <> cy")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(pairs, classes, sets, rule)
+    main = by_list.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    several = marked.join(main.select("token", "main", "n"), "token")
+    more = linked(cut(meetings(several, classes, rule)), members, classes, sets, rule)
     return connected_components(found.unionByName(more))
 
 
