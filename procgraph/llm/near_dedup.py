@@ -129,7 +129,7 @@ def coordinates_of(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def postings(classes: DataFrame, rule: Rule) -> DataFrame:
-    """(token, id) of prefixes: each signature's rarest coordinates, without those that no other signature has.
+    """(token, id, posted) of prefixes, posted with one bit for each coordinate in the prefix (0 for a repeated id): each signature's rarest coordinates, without those that no other signature has.
 
     Tokens are ordered by how many signatures have them, then by value, alike in
     all signatures. A token that stands alone fills a place of the prefix but
@@ -138,8 +138,13 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     tokens = coordinates_of(classes, rule)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     held = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # at most `coordinates` a list
+    alone = F.size("held") == F.size(F.array_distinct(F.transform("held", lambda t: F.shiftright(t.token, 32))))  # else rows with several texts repeat the id
     n = F.size("held") - rule.beyond
-    return held.where(n > 0).select("id", F.explode(F.slice("held", F.lit(1), n)).alias("t")).select(F.col("t.token").alias("token"), "id")
+    held = held.where(n > 0).select("id", alone.alias("alone"), F.slice("held", F.lit(1), n).alias("held"))
+    bit = lambda token: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(token, 32).cast("int"))
+    bits = F.aggregate("held", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t.token)))
+    held = held.withColumn("posted", F.when(F.col("alone"), bits).otherwise(0))
+    return held.select("id", "posted", F.explode("held").alias("t")).select(F.col("t.token").alias("token"), "id", "posted")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -197,24 +202,27 @@ def dealt(rows: DataFrame) -> DataFrame:
 def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(id, component): ids with a component that isn't theirs, one member of which agrees with them in enough coordinates.
 
-    several has (token, id, component, main, n) of posting lists of n ids. Those
+    several has (token, id, posted, component, main, n) of posting lists of n ids. Those
     outside a list's main component meet all others, in tiles of about TILE
-    members; of two outside it the one with the larger component is asked.
+    members; of two outside it the one with the larger component is asked. Two
+    ids that meet in several lists count in the one of the lowest coordinate.
     """
     # one signature moves for each posting, not two for each pair
     signed = several.join(classes.select("id", "n_shingles", "signature"), "id").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
-    names = ["tile", "side", "id", "component", "main", "n_shingles", "signature"]
+    names = ["tile", "side", "id", "component", "main", "n_shingles", "posted", "at", "signature"]
+    signed = signed.withColumn("at", F.shiftright("token", 32).cast("long"))
     members = signed.withColumn("side", F.lit(0)).withColumn("tile", F.xxhash64("token", F.pmod(F.xxhash64("id"), F.col("parts"))))
     asked = signed.where("component <> main").withColumn("side", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = asked.withColumn("tile", F.xxhash64("token", F.col("part").cast("long")))
 
     def numbers(rows) -> tuple:
         column = lambda c: rows[c].combine_chunks() if isinstance(rows, pa.Table) else rows[c]
-        return *(column(c).to_numpy() for c in names[2:6]), np.frombuffer(b"".join(column("signature").to_pylist()), "<u4").reshape(-1, rule.coordinates)
+        return *(column(c).to_numpy() for c in names[2:8]), np.frombuffer(b"".join(column("signature").to_pylist()), "<u4").reshape(-1, rule.coordinates)
 
     def meet(held, others):
-        _, theirs, _, sizes, values = numbers(held)
-        ids, own, main, n, signatures = numbers(others)
+        _, theirs, _, sizes, posts, _, values = numbers(held)
+        ids, own, main, n, posted, where, signatures = numbers(others)
+        bits = np.int64(1) << np.arange(rule.coordinates)
         for at in range(0, len(ids), 64):
             part = slice(at, at + 64)
             allowed = (own[part, None] != theirs) & ((theirs == main[part, None]) | (own[part, None] > theirs))
@@ -222,7 +230,9 @@ def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             x, y = np.nonzero(allowed)
             for some in range(0, len(x), 20_000):
                 i, j = x[some : some + 20_000], y[some : some + 20_000]
-                near = (signatures[part][i] == values[j]).sum(1) >= rule.matches
+                same = signatures[part][i] == values[j]
+                shared = same & ((posted[part][i] & posts[j])[:, None] & bits != 0)
+                near = (same.sum(1) >= rule.matches) & ((shared.argmax(1) == where[part][i]) | ~shared.any(1))
                 found = np.unique(np.stack([ids[part][i[near]], theirs[j[near]]]), axis=1)
                 if found.size:
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["id", "component"])
@@ -297,7 +307,7 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     found = cut(confirmed(stars, classes, sets, rule))
     groups = connected_components(found)
     members = cut(wanted.select(F.col("doc_id").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    marked = lists.select("token", "id").join(members, "id")
+    marked = lists.select("token", "id", "posted").join(members, "id")
     by_list = marked.groupBy("token", "component").agg(F.count("*").alias("n"))
     main = by_list.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
     several = marked.join(main.select("token", "main", "n"), "token")
