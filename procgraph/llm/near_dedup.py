@@ -147,11 +147,22 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     return held.select("id", "posted", F.explode("held").alias("t")).select(F.col("t.token").alias("token"), "id", "posted")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and whose full sets are similar enough."""
+def candidates(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of near sizes that agree in enough coordinates."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where((100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")) & agree(F.col("s_a"), F.col("s_b"), rule))
+    return near.where((100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")) & agree(F.col("s_a"), F.col("s_b"), rule)).select("a", "b")
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(id, set) of the given ids, read from the texts anew: reading costs less than moving the sets of ids that no candidate has."""
+    wanted = cut(ids.select(F.col("id").alias("doc_id")).distinct())
+    few = wanted.count() <= MOST_BROADCAST
+    return cut(full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
+
+
+def confirmed(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +173,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule)
                 keep.append(100 * both >= rule.percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = near.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    near = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -300,18 +311,18 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     lists = postings(classes, rule)
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
     lists = cut(lists.join(heads, "token"))
-    wanted = cut(lists.select(F.col("id").alias("doc_id")).distinct())
-    few = wanted.count() <= MOST_BROADCAST
-    sets = cut(full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rule).withColumnRenamed("doc_id", "id"))
     stars = lists.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    found = cut(confirmed(stars, classes, sets, rule))
+    near = cut(candidates(stars, classes, rule))
+    found = cut(confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("id")), docs, rule), rule))
     groups = connected_components(found)
-    members = cut(wanted.select(F.col("doc_id").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    members = cut(lists.select("id").distinct().join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
     marked = lists.select("token", "id", "posted").join(members, "id")
     by_list = marked.groupBy("token", "component").agg(F.count("*").alias("n"))
     main = by_list.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
     several = marked.join(main.select("token", "main", "n"), "token")
-    more = linked(cut(meetings(several, classes, rule)), members, classes, sets, rule)
+    asks = cut(meetings(several, classes, rule))
+    asked = members.join(asks.select("component").distinct(), "component").select("id").unionByName(asks.select("id"))
+    more = linked(asks, members, classes, sets_of(asked, docs, rule), rule)
     return connected_components(found.unionByName(more))
 
 
