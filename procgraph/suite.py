@@ -1,7 +1,7 @@
 """Registered queries: every operator on the driver's tables, each with its SQL oracle.
 
 Adapters give the tables the shapes of a workflow project: E are call edges drawn
-from lineitem, T the tree region - nation - customer - order, H the tags of pages,
+from a sample of lineitem (and, in the queries named ..._whole, from all of it), T the tree region - nation - customer - order, H the tags of pages,
 P declared and used packages from part and lineitem, S versions from part.
 """
 
@@ -50,31 +50,50 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select((F.col("l_partkey") % 61).alias("src"), (after % 61).alias("dst")).where("dst is not null").distinct()
 
 
+WHOLE_E_SQL = """edge AS (
+    SELECT DISTINCT src, dst FROM (
+        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL
+), node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), entry AS (SELECT DISTINCT src AS node FROM edge WHERE src < 5)"""
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all lineitem rows between parts as they are."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    return t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null").distinct()
+
+
+def edge_query(name: str, sql: str):
+    """Registers f(edges) on the sampled edges and, as name_whole, on those of all rows."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(edges(spark, d)))
+        query(f"{name}_whole", sql.replace(E_SQL, WHOLE_E_SQL))(lambda spark, d: f(whole_edges(spark, d)))
+        return f
+
+    return add
+
+
 def entries(e: DataFrame) -> DataFrame:
     return e.where("src < 5").select(F.col("src").alias("node")).distinct()
 
 
-@query("call_depth", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node, depth FROM reached")
-def call_depth(spark, d):
-    e = edges(spark, d)
+@edge_query("call_depth", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node, depth FROM reached")
+def call_depth(e):
     return graph.call_depth(e, entries(e))
 
 
-@query("depth_histogram", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT depth, count(*) AS workflows FROM reached GROUP BY depth")
-def depth_histogram(spark, d):
-    e = edges(spark, d)
+@edge_query("depth_histogram", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT depth, count(*) AS workflows FROM reached GROUP BY depth")
+def depth_histogram(e):
     return graph.call_depth(e, entries(e)).groupBy(F.greatest(F.lit(0).cast("long"), "depth").alias("depth")).agg(F.count("*").alias("workflows"))
 
 
-@query("reachable", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM reached")
-def reachable(spark, d):
-    e = edges(spark, d)
+@edge_query("reachable", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM reached")
+def reachable(e):
     return graph.call_depth(e, entries(e)).select("node")
 
 
-@query("orphans", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM node EXCEPT SELECT node FROM reached")
-def orphans(spark, d):
-    e = edges(spark, d)
+@edge_query("orphans", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM node EXCEPT SELECT node FROM reached")
+def orphans(e):
     return graph.orphans(e, entries(e))
 
 
@@ -102,22 +121,21 @@ def cycle_count_by_type(spark, d):
     return graph.cycles(edges(spark, d)).groupBy(graph.cycle_type(F.col("length")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("dependents", f"WITH {E_SQL} SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS callers FROM edge GROUP BY dst")
-def dependents(spark, d):
-    return edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("src")).cast("array<string>"), ",").alias("callers"))
+@edge_query("dependents", f"WITH {E_SQL} SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS callers FROM edge GROUP BY dst")
+def dependents(e):
+    return e.groupBy(F.col("dst").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("src")).cast("array<string>"), ",").alias("callers"))
 
 
-@query("fan_in_out", f"WITH {E_SQL} SELECT node, (SELECT count(*) FROM edge WHERE dst = node) AS fan_in, (SELECT count(*) FROM edge WHERE src = node) AS fan_out FROM node")
-def fan_in_out(spark, d):
-    return graph.degrees(edges(spark, d))
+@edge_query("fan_in_out", f"WITH {E_SQL} SELECT node, (SELECT count(*) FROM edge WHERE dst = node) AS fan_in, (SELECT count(*) FROM edge WHERE src = node) AS fan_out FROM node")
+def fan_in_out(e):
+    return graph.degrees(e)
 
 
-@query("callgraph_metrics", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}
+@edge_query("callgraph_metrics", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}
 SELECT (SELECT count(*) FROM node) AS workflows, (SELECT count(*) FROM edge) AS dependencies, (SELECT count(*) FROM entry) AS entry_points,
     (SELECT count(*) FROM node) - (SELECT count(*) FROM reached) AS orphans, (SELECT CAST(max(depth) AS BIGINT) FROM reached) AS max_depth,
     (SELECT count(*) FROM edge WHERE src = dst) AS self_calls""")
-def callgraph_metrics(spark, d):
-    e = edges(spark, d)
+def callgraph_metrics(e):
     depth = graph.call_depth(e, entries(e))
     marked = graph.nodes_of(e).join(depth, "node", "left").select(
         F.count("*").alias("workflows"), F.sum((F.col("depth") == 0).cast("long")).alias("entry_points"), F.sum(F.col("depth").isNull().cast("long")).alias("orphans"), F.max("depth").alias("max_depth")
@@ -138,24 +156,22 @@ role AS (SELECT d.node, CASE WHEN e.node IS NOT NULL THEN 'entry' WHEN r.node IS
     FROM degree d LEFT JOIN entry e ON d.node = e.node LEFT JOIN reached r ON d.node = r.node)"""
 
 
-@query("node_roles", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL} SELECT node, role FROM role")
-def node_roles(spark, d):
-    e = edges(spark, d)
+@edge_query("node_roles", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL} SELECT node, role FROM role")
+def node_roles(e):
     return graph.roles(e, entries(e))
 
 
-@query("mermaid_nodes", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL}
+@edge_query("mermaid_nodes", f"""WITH RECURSIVE {E_SQL}, {DEPTH_SQL}, {ROLE_SQL}
 SELECT '    n' || node || CASE role WHEN 'entry' THEN '([' ELSE '[' END || '"' || node || '"' || CASE role WHEN 'entry' THEN '])' ELSE ']' END || ':::' || role AS line FROM role""")
-def mermaid_nodes(spark, d):
-    e = edges(spark, d)
+def mermaid_nodes(e):
     is_entry = F.col("role") == "entry"
     line = F.concat(F.lit("    n"), F.col("node").cast("string"), F.when(is_entry, "([").otherwise("["), F.lit('"'), F.col("node").cast("string"), F.lit('"'), F.when(is_entry, "])").otherwise("]"), F.lit(":::"), "role")
     return graph.roles(e, entries(e)).select(line.alias("line"))
 
 
-@query("mermaid_edges", f"WITH {E_SQL} SELECT '    n' || src || CASE WHEN src = dst THEN ' -.-> n' ELSE ' --> n' END || dst AS line FROM edge")
-def mermaid_edges(spark, d):
-    return edges(spark, d).select(F.concat(F.lit("    n"), F.col("src").cast("string"), F.when(F.col("src") == F.col("dst"), " -.-> n").otherwise(" --> n"), F.col("dst").cast("string")).alias("line"))
+@edge_query("mermaid_edges", f"WITH {E_SQL} SELECT '    n' || src || CASE WHEN src = dst THEN ' -.-> n' ELSE ' --> n' END || dst AS line FROM edge")
+def mermaid_edges(e):
+    return e.select(F.concat(F.lit("    n"), F.col("src").cast("string"), F.when(F.col("src") == F.col("dst"), " -.-> n").otherwise(" --> n"), F.col("dst").cast("string")).alias("line"))
 
 
 @query("expanded_pseudocode", f"""WITH RECURSIVE {E_SQL}, walk AS (
@@ -171,10 +187,10 @@ def expanded_pseudocode(spark, d):
     return rows.select("root", F.array_join(F.col("trail").cast("array<string>"), ">").alias("trail"), F.concat(trees.pseudocode(F.col("depth"), F.col("node").cast("string"), F.lit("call")), mark).alias("line"))
 
 
-@query("explain_workflow", f"""WITH {E_SQL}, c AS (SELECT node, (SELECT count(*) FROM edge WHERE src = node) AS calls, (SELECT count(*) FROM edge WHERE dst = node) AS called FROM node)
+@edge_query("explain_workflow", f"""WITH {E_SQL}, c AS (SELECT node, (SELECT count(*) FROM edge WHERE src = node) AS calls, (SELECT count(*) FROM edge WHERE dst = node) AS called FROM node)
 SELECT node, calls, called, called = 0 AS has_no_caller, CASE WHEN calls = 0 THEN 'none' WHEN calls <= 3 THEN 'low' WHEN calls <= 8 THEN 'medium' ELSE 'high' END AS complexity FROM c""")
-def explain_workflow(spark, d):
-    c = graph.degrees(edges(spark, d)).select("node", F.col("fan_out").alias("calls"), F.col("fan_in").alias("called"))
+def explain_workflow(e):
+    c = graph.degrees(e).select("node", F.col("fan_out").alias("calls"), F.col("fan_in").alias("called"))
     bucket = F.when(F.col("calls") == 0, "none").when(F.col("calls") <= 3, "low").when(F.col("calls") <= 8, "medium").otherwise("high")
     return c.select("*", (F.col("called") == 0).alias("has_no_caller"), bucket.alias("complexity"))
 
@@ -309,33 +325,53 @@ P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part WHERE p_size
 used AS (SELECT DISTINCT p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount >= 0.09)"""
 
 
+WHOLE_P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part),
+used AS (SELECT DISTINCT p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey)"""
+
+
+def whole_packages(spark, d):
+    """All parts are declared, those of any lineitem row used."""
+    part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("package"))
+    wanted = t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return part.select("package").distinct(), part.join(wanted, "p_partkey", "left_semi").select("package").distinct()
+
+
+def package_query(name: str, sql: str):
+    """Registers f(declared, used) on the sampled packages and, as name_whole, on those of all rows."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(*packages(spark, d)))
+        query(f"{name}_whole", sql.replace(P_SQL, WHOLE_P_SQL))(lambda spark, d: f(*whole_packages(spark, d)))
+        return f
+
+    return add
+
+
 def packages(spark, d):
     part = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
     wanted = t(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_partkey").alias("p_partkey"))
     return part.where("p_size = 7").select(F.col("p_name").alias("package")).distinct(), part.join(wanted, "p_partkey", "left_semi").select(F.col("p_name").alias("package")).distinct()
 
 
-@query("package_usage", f"WITH {P_SQL} SELECT coalesce(d.package, u.package) AS package, d.package IS NOT NULL AS is_declared, u.package IS NOT NULL AS is_used FROM declared d FULL JOIN used u ON d.package = u.package")
-def package_usage(spark, d):
-    return relate.usage(*packages(spark, d))
+@package_query("package_usage", f"WITH {P_SQL} SELECT coalesce(d.package, u.package) AS package, d.package IS NOT NULL AS is_declared, u.package IS NOT NULL AS is_used FROM declared d FULL JOIN used u ON d.package = u.package")
+def package_usage(declared, used):
+    return relate.usage(declared, used)
 
 
-@query("unused_packages", f"WITH {P_SQL} SELECT package FROM declared EXCEPT SELECT package FROM used")
-def unused_packages(spark, d):
-    declared, used = packages(spark, d)
+@package_query("unused_packages", f"WITH {P_SQL} SELECT package FROM declared EXCEPT SELECT package FROM used")
+def unused_packages(declared, used):
     return declared.subtract(used)
 
 
-@query("undeclared_packages", f"WITH {P_SQL} SELECT package FROM used EXCEPT SELECT package FROM declared")
-def undeclared_packages(spark, d):
-    declared, used = packages(spark, d)
+@package_query("undeclared_packages", f"WITH {P_SQL} SELECT package FROM used EXCEPT SELECT package FROM declared")
+def undeclared_packages(declared, used):
     return used.subtract(declared)
 
 
-@query("package_ratio", f"""WITH {P_SQL} SELECT (SELECT count(*) FROM declared) AS declared, (SELECT count(*) FROM used) AS used,
+@package_query("package_ratio", f"""WITH {P_SQL} SELECT (SELECT count(*) FROM declared) AS declared, (SELECT count(*) FROM used) AS used,
 round((SELECT count(*) FROM declared SEMI JOIN used USING (package)) / (SELECT count(*) FROM declared)::DOUBLE, 6) AS ratio""")
-def package_ratio(spark, d):
-    both = relate.usage(*packages(spark, d))
+def package_ratio(declared, used):
+    both = relate.usage(declared, used)
     n = lambda c: F.sum(c.cast("long"))
     d_, u_ = F.col("is_declared"), F.col("is_used")
     return both.agg(n(d_).alias("declared"), n(u_).alias("used"), F.round(n(d_ & u_) / n(d_), 6).alias("ratio"))

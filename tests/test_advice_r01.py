@@ -1,0 +1,14 @@
+"""Whole jobs where a cut was before: small fixtures against brute force."""
+
+from procgraph import suite
+
+
+def test_whole_edges_and_packages(spark, tmp_path):
+    rows = [(1, 1, 100, 7, 1.0, 0.0), (1, 2, 161, 7, 50.0, 0.1), (2, 1, 39, 7, 3.0, 0.02), (3, 1, 3, 8, 50.0, 0.1), (4, 1, 100, 8, 9.0, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(100, "a", 1), (161, "b", 2), (39, "c", 7), (3, "d", 3), (5, "e", 9)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {tuple(r) for r in suite.whole_edges(spark, str(tmp_path)).collect()} == {(100, 161), (161, 39), (3, 100)}
+    depths = {tuple(r) for r in suite.QUERIES["call_depth_whole"](spark, str(tmp_path)).collect()}
+    assert depths == {(3, 0), (100, 1), (161, 2), (39, 3)}
+    assert {r[0] for r in suite.QUERIES["unused_packages_whole"](spark, str(tmp_path)).collect()} == {"e"}
