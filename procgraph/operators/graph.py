@@ -53,7 +53,10 @@ def paths(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle, length): simple cycles of at most `longest` nodes, each once, from its least node."""
+    """(cycle, length): simple cycles of at most `longest` nodes, each once, from its least node.
+
+    A bounded listing: longer cycles are absent. cyclic_nodes and cyclic_edges are exact.
+    """
     one = edges.select("src", "dst").distinct()
     loops = one.where("src = dst").select(F.array("src").alias("cycle"))
     now, out = one.where("src < dst").select(F.array("src", "dst").alias("cycle")), loops
@@ -66,6 +69,63 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return out.withColumn("length", F.size("cycle").cast("long"))
 
 
+def trim(edges: DataFrame) -> DataFrame:
+    """edges without those that start where none ends or end where none starts, until none is left to drop."""
+    now, n = edges, edges.count()
+    while n:
+        starts, ends = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
+        kept = cut(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
+        before, now, n = n, kept, kept.count()
+        if n == before:
+            break
+    return now
+
+
+def greatest_ancestor(edges: DataFrame) -> DataFrame:
+    """(node, color): the greatest node that reaches it, itself included."""
+    color = cut(nodes_of(edges).withColumn("color", F.col("node")))
+    frontier = color
+    while not frontier.isEmpty():
+        offer = edges.join(frontier.toDF("src", "offer"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("offer").alias("offer"))
+        frontier = cut(color.join(offer, "node").where("offer > color").select("node", F.col("offer").alias("color")))
+        color = cut(color.join(frontier.toDF("node", "raised"), "node", "left").select("node", F.coalesce("raised", "color").alias("color")))
+    return color
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach themselves over cycles of any length, with the greatest node of their strongly connected component.
+
+    Edges are trimmed, nodes take the color of their greatest ancestor, and what
+    reaches a color's own node inside the color is its component; the rest goes round again.
+    """
+    one = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    loops = one.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left, found = trim(cut(one.where("src <> dst"))), None
+    while not left.isEmpty():
+        color = greatest_ancestor(left)
+        of_src, of_dst = color.toDF("src", "color"), color.toDF("dst", "dst_color")
+        inner = cut(left.join(of_src, "src").join(of_dst, "dst").where("color = dst_color").select("src", "dst", "color"))
+        seen = frontier = cut(color.where("node = color").select("node", F.col("color").alias("component")))
+        while not frontier.isEmpty():
+            step = inner.join(frontier.toDF("dst", "color"), ["dst", "color"]).select(F.col("src").alias("node"), F.col("color").alias("component")).distinct()
+            frontier = cut(step.join(seen.select("node"), "node", "left_anti"))
+            seen = cut(seen.unionByName(frontier))
+        large = seen.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        more = seen.join(large, "component", "left_semi").select("node", "component")
+        found = cut(more if found is None else found.unionByName(more))
+        rest = inner.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = trim(cut(rest.select("src", "dst")))
+    return loops if found is None else found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, component): edges on a cycle of any length, which are those inside a component."""
+    nodes = cyclic_nodes(edges)
+    starts, ends = nodes.toDF("src", "component"), nodes.toDF("dst", "dst_component")
+    inside = edges.select("src", "dst").distinct().join(starts, "src").join(ends, "dst").where("component = dst_component")
+    return inside.select("src", "dst", "component")
+
+
 def cycle_type(length) -> F.Column:
     return F.when(length == 1, "self").when(length == 2, "mutual").otherwise("complex")
 

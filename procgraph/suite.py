@@ -121,6 +121,19 @@ def cycle_count_by_type(spark, d):
     return graph.cycles(edges(spark, d)).groupBy(graph.cycle_type(F.col("length")).alias("type")).agg(F.count("*").alias("n"))
 
 
+CLOSURE_SQL = "reach AS (SELECT src, dst FROM edge UNION SELECT reach.src, edge.dst FROM reach JOIN edge ON reach.dst = edge.src)"
+
+
+@edge_query("cyclic_nodes", f"WITH RECURSIVE {E_SQL}, {CLOSURE_SQL} SELECT src AS node FROM reach WHERE src = dst")
+def cyclic_nodes(e):
+    return graph.cyclic_nodes(e).select("node")
+
+
+@edge_query("cyclic_edges", f"WITH RECURSIVE {E_SQL}, {CLOSURE_SQL} SELECT edge.src, edge.dst FROM edge JOIN reach ON reach.src = edge.dst AND reach.dst = edge.src")
+def cyclic_edges(e):
+    return graph.cyclic_edges(e).select("src", "dst")
+
+
 @edge_query("dependents", f"WITH {E_SQL} SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS callers FROM edge GROUP BY dst")
 def dependents(e):
     return e.groupBy(F.col("dst").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("src")).cast("array<string>"), ",").alias("callers"))

@@ -1,6 +1,9 @@
 """Whole jobs where a cut was before: small fixtures against brute force."""
 
+import random
+
 from procgraph import suite
+from procgraph.operators import graph
 
 
 def test_whole_edges_and_packages(spark, tmp_path):
@@ -12,3 +15,28 @@ def test_whole_edges_and_packages(spark, tmp_path):
     depths = {tuple(r) for r in suite.QUERIES["call_depth_whole"](spark, str(tmp_path)).collect()}
     assert depths == {(3, 0), (100, 1), (161, 2), (39, 3)}
     assert {r[0] for r in suite.QUERIES["unused_packages_whole"](spark, str(tmp_path)).collect()} == {"e"}
+
+
+def test_cycles_of_any_length(spark):
+    rng = random.Random(3)
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    pairs = sorted({*ring, (9, 0), (5, 20), (20, 21), (21, 22), (30, 30), (5, 5), *((rng.randrange(40, 75), rng.randrange(40, 75)) for _ in range(45))})
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), [*after.get(a, ())]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        return seen
+
+    want = {a: reached(a) for a in after}
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = {r["node"]: r["component"] for r in graph.cyclic_nodes(e).collect()}
+    assert got == {a: max(b for b in s if a in want.get(b, ())) for a, s in want.items() if a in s}
+    assert {0, 1, 2, 3, 4, 5, 30} <= set(got)
+    assert {(r["src"], r["dst"]) for r in graph.cyclic_edges(e).collect()} == {(a, b) for a, b in pairs if a in want.get(b, ())}
+    assert graph.cyclic_nodes(e.limit(0)).count() == 0
