@@ -27,12 +27,12 @@ ROWS = "bucket int, source int, sweep int, data binary"
 class Model:
     """Discounts and strengths of the two levels.
 
-    A context restaurant belongs to a hash of the previous word into `contexts`
-    classes, so the tables of their totals have a fixed bound; all share the
+    Each previous word, as a 64-bit hash, has a context restaurant of its own, or
+    shares one with its class where `contexts` gives a number of classes; all share the
     root as their parent, whose own parent is uniform over the known words and one unknown.
     """
 
-    contexts: int = 16_384
+    contexts: int | None = None
     discount: float = 0.8
     strength: float = 2.0
     root_discount: float = 0.7
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             before = np.empty(total, np.uint64)
             before[1:] = word[:-1]
             before[np.concatenate([[0], ends[:-1] + 1]).astype(int)] = START
-            context = (mix(before) % np.uint64(model.contexts)).astype(np.uint64)
+            context = mix(before) if model.contexts is None else mix(before) % np.uint64(model.contexts)
             doc = np.repeat(np.arange(len(n)), n + 1).astype(np.uint32)
             key = pair_key(word, context)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -132,7 +132,7 @@ def encode(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
                 firsts = np.flatnonzero(new[a:z])
                 many = np.diff(np.append(firsts, z - a)).astype(np.uint32)
                 used, place = np.unique(doc[a:z], return_inverse=True)
-                rows.append((b, part, number, pack(ids[used], word[a:z][firsts], context[a:z][firsts].astype(np.uint16 if model.contexts <= 65536 else np.uint32), many, place.astype(np.uint32))))
+                rows.append((b, part, number, pack(ids[used], word[a:z][firsts], context[a:z][firsts], many, place.astype(np.uint32))))
             number += 1
             yield from table(rows).to_batches()
 
@@ -151,42 +151,48 @@ class Bucket:
         self.model, self.groups = model, groups
         self.slices = [(s, n, *unpack(d)) for s, n, d in sorted(zip(*(rows[c].to_pylist() for c in ("source", "sweep", "data"))), key=lambda x: x[:2])]
         word = np.concatenate([s[3] for s in self.slices])
-        context = np.concatenate([s[4] for s in self.slices]).astype(np.int64)
-        self.key, first, self.pair = np.unique(pair_key(word, context.astype(np.uint64)), return_index=True, return_inverse=True)
-        self.context, count = context[first], []
+        context = np.concatenate([s[4] for s in self.slices]).astype(np.uint64)
+        self.key, first, self.pair = np.unique(pair_key(word, context), return_index=True, return_inverse=True)
+        count = []
         for _, _, ids, _, _, many, place in self.slices:
             trains = np.array([not is_held_out(None if x == -(2**63) else x) for x in ids.tolist()], bool)
             before = np.concatenate([[0], np.cumsum(trains[place])])
             edges = np.concatenate([[0], np.cumsum(many.astype(np.int64))])
             count.append(np.diff(before[edges]))
         self.count = np.bincount(self.pair, np.concatenate(count), len(self.key)).astype(np.int64)
-        words, self.word = np.unique(word[first], return_inverse=True)
-        group = (words % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((words, group))
-        self.words, self.edges = words[order], np.searchsorted(group[order], np.arange(groups + 1))
+        self.words, self.word, self.edges = self.by_group(word[first])
+        self.contexts, self.context, self.context_edges = self.by_group(context[first])
+
+    def by_group(self, of_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the distinct hashes by root group, the place of each pair's among them, the first of each group and the end)."""
+        found, place = np.unique(of_pair, return_inverse=True)
+        group = (found % np.uint64(self.groups)).astype(np.int64)
+        order = np.lexsort((found, group))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.word = back[self.word]
+        return found[order], back[place], np.searchsorted(group[order], np.arange(self.groups + 1))
 
     def stats(self, name: int, sweep: int, tables: np.ndarray) -> pa.Table:
-        """To each root group: counts and tables of its words and of its contexts."""
+        """To each root group: counts and tables of its words and of its contexts, of those that the bucket holds."""
         c, t = (np.bincount(self.word, x, len(self.words)).astype(np.int64) for x in (self.count, tables))
-        of_context = [np.bincount(self.context, x, self.model.contexts).astype(np.int64) for x in (self.count, tables)]
+        of_context = [np.bincount(self.context, x, len(self.contexts)).astype(np.uint32) for x in (self.count, tables)]
         rows = []
         for g in range(self.groups):
             a, z = self.edges[g], self.edges[g + 1]
-            rows.append((g, name, sweep, pack(self.words[a:z], c[a:z].astype(np.uint32), t[a:z].astype(np.uint32), *(x[g :: self.groups] for x in of_context))))
+            own = slice(self.context_edges[g], self.context_edges[g + 1])
+            rows.append((g, name, sweep, pack(self.words[a:z], c[a:z].astype(np.uint32), t[a:z].astype(np.uint32), self.contexts[own], *(x[own] for x in of_context))))
         return table(rows)
 
     def read(self, rows: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
-        """What the root groups sent back: of each word its count, customers and tables at the root, the contexts' totals, and the sums."""
+        """What the root groups sent back: of each word its count, customers and tables at the root, its contexts' totals, and the sums."""
         c, customers, tables = (np.zeros(len(self.words), np.int64) for _ in range(3))
-        totals, sums = np.zeros((2, self.model.contexts), np.int64), np.zeros(4, np.int64)
+        totals, sums = np.zeros((2, len(self.contexts)), np.int64), np.zeros(4, np.int64)
         for g, data in rows:
             one, two, three, of_count, of_tables, part = unpack(data)
             a, z = self.edges[g], self.edges[g + 1]
             c[a:z], customers[a:z], tables[a:z] = one, two, three
-            totals[0, g :: self.groups], totals[1, g :: self.groups] = of_count, of_tables
+            own = slice(self.context_edges[g], self.context_edges[g + 1])
+            totals[0, own], totals[1, own] = of_count, of_tables
             sums += part
         return {"c": c, "customers": customers, "tables": tables, "totals": totals, "sums": sums}
 
@@ -211,7 +217,7 @@ class Bucket:
 
 
 def root_state(model: Model):
-    """Settles the words of one root group: sums over buckets, then the root's own seating under a uniform parent."""
+    """Settles the words and contexts of one root group: sums over buckets, then the root's own seating under a uniform parent."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         names, sweep = rows["source"].to_pylist(), rows["sweep"][0].as_py()
@@ -220,13 +226,14 @@ def root_state(model: Model):
         c, customers = (np.bincount(place, np.concatenate([p[i] for p in parts]), len(words)).astype(np.int64) for i in (1, 2))
         pull = np.full(len(words), model.root_strength / max(1, int((c > 0).sum())))
         tables = seat(customers, pull, words, model.root_discount, 7 + 1_000_003 * sweep)
-        of_count, of_tables = (np.sum([p[i] for p in parts], 0) for i in (3, 4))
+        contexts, at_context = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+        of_context = [np.bincount(at_context, np.concatenate([p[i] for p in parts]), len(contexts)).astype(np.int64) for i in (4, 5)]
         sums = np.array([c.sum(), (c > 0).sum(), customers.sum(), tables.sum()], np.int64)
-        out, at = [], 0
+        out, at, from_context = [], 0, 0
         for name, p in zip(names, parts):
-            own = place[at : at + len(p[0])]
-            at += len(p[0])
-            out.append((name, key[0].as_py(), sweep, pack(*(x[own].astype(np.uint32) for x in (c, customers, tables)), of_count, of_tables, sums)))
+            own, context = place[at : at + len(p[0])], at_context[from_context : from_context + len(p[3])]
+            at, from_context = at + len(p[0]), from_context + len(p[3])
+            out.append((name, key[0].as_py(), sweep, pack(*(x[own].astype(np.uint32) for x in (c, customers, tables)), *(x[context] for x in of_context), sums)))
         return table(out)
 
     return run
@@ -237,7 +244,7 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
 
     Tokens are the text's words with A-Z in lower case and an end. Training
     texts are those whose crc32(doc_id as text) isn't divisible by 10. Pairs of
-    a word and the context class before it meet in buckets; a sweep reseats the
+    a word and the word before it meet in buckets; a sweep reseats the
     customers of every dish in every context restaurant, given the root and
     all totals after the sweep before, then the root groups gather each word's
     tables and seat the root. score is the sum of log10 of the predictive

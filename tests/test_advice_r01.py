@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from procgraph import suite
+from procgraph.llm import pitman_yor
 from procgraph.operators import graph
 
 
@@ -40,3 +43,26 @@ def test_cycles_of_any_length(spark):
     assert {0, 1, 2, 3, 4, 5, 30} <= set(got)
     assert {(r["src"], r["dst"]) for r in graph.cyclic_edges(e).collect()} == {(a, b) for a, b in pairs if a in want.get(b, ())}
     assert graph.cyclic_nodes(e.limit(0)).count() == 0
+
+
+def test_every_previous_word_has_its_own_restaurant(spark):
+    texts = [(i, " ".join(f"p{j} s{j}" for j in range(i, 40_000, 20))) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = pitman_yor.Model(docs_per_bucket=7)
+    rows = pitman_yor.encode(docs, model, 3).toArrow()
+    contexts, totals = set(), {}
+    buckets = [pitman_yor.Bucket(rows.filter(np.array(rows["bucket"]) == b), model, 3) for b in range(3)]
+    for b in buckets:
+        contexts |= set(b.contexts.tolist())
+        for c, n in zip(b.contexts[b.context].tolist(), b.count.tolist()):
+            totals[c] = totals.get(c, 0) + n
+    assert len(contexts) == 80_001  # 40,000 of p, 40,000 of s, and the start
+    import pyarrow as pa
+
+    sent = pa.concat_tables([b.stats(i, 0, b.tables(None, 0)) for i, b in enumerate(buckets)])
+    settle = pitman_yor.root_state(model)
+    back = pa.concat_tables([settle((pa.scalar(g),), sent.filter(np.array(sent["bucket"]) == g)) for g in range(3)])
+    for i, b in enumerate(buckets):
+        mine = back.filter(np.array(back["bucket"]) == i)
+        info = b.read(list(zip(mine["source"].to_pylist(), mine["data"].to_pylist())))
+        assert info["totals"][0].tolist() == [totals[c] for c in b.contexts.tolist()]
