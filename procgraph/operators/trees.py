@@ -1,4 +1,4 @@
-"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag)."""
+"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag) (X1-X5, X23, A1-A3, P1; of X18 no then, else, try and catch edges)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Project folders as DataFrames: metadata, workflow catalog, XML nodes, coded workflows."""
+"""Project folders as DataFrames: metadata, workflow catalog, XML nodes, coded workflows."""
 
 from __future__ import annotations
 
