@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve_targets(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+def suffixes(path: Column, separator: str = "/") -> Column:
+    """Every shorter end of the path that starts at a segment: b/c and c of a/b/c."""
+    parts = F.split(path, "\\Q" + separator + "\\E", -1)
+    places = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), separator))
+
+
+def resolve_targets(calls: DataFrame, catalog: DataFrame, separator: str = "/") -> DataFrame:
     """calls(target) with the catalog's id and match: exact path, else a path suffix, else by name; first in catalog order (rank).
 
-    Suffixes become equal keys, so both steps are equi-joins; a call that finds nothing has match "missing".
+    A suffix starts after a separator. Suffixes become equal keys, so both steps are equi-joins; a call that finds nothing has match "missing".
     """
     keyed = catalog.select("id", "rank", F.col("path").alias("key"), F.lit(1).alias("priority"), F.lit("exact").alias("match")).unionByName(
-        catalog.select("id", "rank", F.explode(F.slice(F.split("path", " "), 2, 64)).alias("key"), F.lit(2).alias("priority"), F.lit("suffix").alias("match"))
+        catalog.select("id", "rank", F.explode(suffixes(F.col("path"), separator)).alias("key"), F.lit(2).alias("priority"), F.lit("suffix").alias("match"))
     )
     best = keyed.groupBy("key").agg(F.min_by(F.struct("id", "match"), F.struct("priority", "rank")).alias("hit"))
     return calls.join(best, calls["target"] == best["key"], "left").drop("key").select("*", "hit.id", F.coalesce("hit.match", F.lit("missing")).alias("match")).drop("hit")

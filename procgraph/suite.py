@@ -422,7 +422,7 @@ FROM (SELECT c.target, min({'priority': h.priority, 'id': h.id}) AS first FROM c
 def resolve_target_priority(spark, d):
     part = t(spark, d, "part")
     calls = relate.union_all([part.select(F.regexp_replace("p_name", "^[^ ]+ ", "").alias("target")), part.where("p_size < 10").select(F.col("p_name").alias("target")), part.select(F.col("p_type").alias("target"))]).distinct()
-    return relate.resolve_targets(calls, part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("path"))).withColumn("id", F.coalesce("id", F.lit(-1)))
+    return relate.resolve_targets(calls, part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("path")), " ").withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 @query("invocation_kind", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing' WHEN contains(text, '{') OR contains(text, '}') OR contains(text, '[') OR contains(text, ']') OR contains(text, 'Path.Combine') OR contains(text, '+') THEN 'dynamic'

@@ -6,7 +6,7 @@ import numpy as np
 
 from procgraph import suite
 from procgraph.llm import pitman_yor
-from procgraph.operators import graph
+from procgraph.operators import graph, relate
 
 
 def test_whole_edges_and_packages(spark, tmp_path):
@@ -66,3 +66,14 @@ def test_every_previous_word_has_its_own_restaurant(spark):
         mine = back.filter(np.array(back["bucket"]) == i)
         info = b.read(list(zip(mine["source"].to_pylist(), mine["data"].to_pylist())))
         assert info["totals"][0].tolist() == [totals[c] for c in b.contexts.tolist()]
+
+
+def test_targets_match_whole_suffixes(spark):
+    long = "/".join(f"d{i}" for i in range(80))
+    catalog = spark.createDataFrame([(1, 1, "a/b/c.xaml"), (2, 2, "x/b/c.xaml"), (3, 3, "c.xaml"), (4, 4, long)], "id int, rank int, path string")
+    calls = spark.createDataFrame([("a/b/c.xaml",), ("b/c.xaml",), ("c.xaml",), ("b",), ("d79",), ("d70/d71",), ("d78/d79",), ("/c.xaml",)], "target string")
+    got = {r["target"]: (r["id"], r["match"]) for r in relate.resolve_targets(calls, catalog).collect()}
+    missing = (None, "missing")
+    assert got == {
+        "a/b/c.xaml": (1, "exact"), "b/c.xaml": (1, "suffix"), "c.xaml": (3, "exact"), "b": missing, "d79": (4, "suffix"), "d70/d71": missing, "d78/d79": (4, "suffix"), "/c.xaml": missing,
+    }
