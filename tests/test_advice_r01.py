@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from procgraph import suite
-from procgraph.llm import pitman_yor
+from procgraph.llm import fertility, pitman_yor
 from procgraph.operators import graph, relate
 
 
@@ -77,3 +77,18 @@ def test_targets_match_whole_suffixes(spark):
     assert got == {
         "a/b/c.xaml": (1, "exact"), "b/c.xaml": (1, "suffix"), "c.xaml": (3, "exact"), "b": missing, "d79": (4, "suffix"), "d70/d71": missing, "d78/d79": (4, "suffix"), "/c.xaml": missing,
     }
+
+
+def test_fences_by_language_and_without_a_jump(spark):
+    def measured(rows):
+        return spark.createDataFrame([(lang, script, 500, x, x, 8.0) for lang, script, x in rows], "lang string, script string, n_tokens long, chars_per_token double, chars_per_byte_token double, token_entropy double")
+
+    def of(rows):
+        return {r["fence"]: r["chars_per_token_fence"] for r in fertility.fences(measured(rows)).collect()}
+
+    got = of([("it", "latin", 2.9)] * 900 + [("vi", "latin", 1.19)] * 150 + [(None, "arabic", 1.02)] * 400 + [(None, "devanagari", 0.8)] * 120)
+    assert set(got) == {"latin it", "latin vi", "arabic", "devanagari"}
+    for key, x in (("latin it", 2.9), ("latin vi", 1.19), ("arabic", 1.02), ("devanagari", 0.8)):
+        assert abs(x - got[key]["middle"]) < 5 * got[key]["sigma"]
+    before, after = (of([("it", "latin", 2.9)] * n)["latin it"] for n in (99, 100))
+    assert abs(before["middle"] - after["middle"]) < 0.02 and abs(before["sigma"] - after["sigma"]) < 0.01
