@@ -50,6 +50,21 @@ def file_size(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_string("%.1f", size / kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", size / mb), F.lit(" MB")))
 
 
+def human_size(size: Column) -> Column:
+    """0B, or the size in the largest of B, KB, MB, GB and TB that it reaches, with at most two decimals and at least one."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.when(size == 0, "0B")
+    for i, unit in enumerate(units):
+        rounded = F.round(size.cast("double") / F.lit(float(1024**i)), 2)
+        out = out.when(size < 1024 ** (i + 1), F.concat(shown(rounded), F.lit(f" {unit}"))) if unit != "TB" else out.otherwise(F.concat(shown(rounded), F.lit(" TB")))
+    return out
+
+
+def shown(number: Column) -> Column:
+    """A number of at most two decimals as text, without zeros at its end but for the first decimal."""
+    return F.regexp_replace(F.format_string("%.2f", number), r"(\.[0-9])0$", "$1")
+
+
 VERSION = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
 
 

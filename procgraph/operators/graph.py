@@ -15,20 +15,30 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 def call_depth(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth): least number of calls from an entry (node); entries have 0, unreached nodes are absent."""
+    """(node, depth): least number of calls from an entry (node); entries have 0, unreached nodes are absent.
+
+    A level writes its new nodes alone; the levels before are read where they lie, and folded into one table every tenth level.
+    """
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    frontier = cut(entries.select("node").distinct())
-    seen, depth = frontier.withColumn("depth", F.lit(0).cast("long")), 0
-    while not frontier.isEmpty() and (most is None or depth < most):
+    frontier = seen = cut(entries.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    depth = 0
+    while most is None or depth < most:
         depth += 1
-        step = edges.join(frontier.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti"))
-        seen = cut(seen.unionByName(frontier.withColumn("depth", F.lit(depth).cast("long"))))
+        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if depth % 10 == 0:
+            seen = cut(seen)
     return seen
 
 

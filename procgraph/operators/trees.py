@@ -1,4 +1,4 @@
-"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag) (X1-X5, X23, A1-A3, P1; of X18 no then, else, try and catch edges)."""
+"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tags that hold other activities.
-CONTAINERS = ("Sequence", "Flowchart", "StateMachine", "TryCatch", "If", "Switch", "While", "DoWhile", "ForEach", "Parallel", "ParallelForEach", "Pick")
+CONTAINERS = (
+    "Sequence", "If", "TryCatch", "Parallel", "Pick", "Switch",
+    "ForEach", "While", "DoWhile", "Flowchart", "State", "StateMachine",
+)
 
 
 def depth_metrics(nodes: DataFrame, tree: list[str]) -> DataFrame:
@@ -26,13 +29,23 @@ def pseudocode(depth: Column, name: Column, tag: Column) -> Column:
 
 
 def control_flow(nodes: DataFrame, tree: list[str]) -> DataFrame:
-    """(src, dst, kind): previous sibling to next in a sequence, parent to first child, and back edges of loops."""
+    """(src, dst, kind) between activities and their children, by the parent's tag.
+
+    A Sequence ties each child to the one before (seq-next) and contains the first; an If has branch-then to its first child and
+    branch-else to the others, a TryCatch try and catch, a loop loop-enter and loop-back; any other parent contains its children.
+    """
+    up = nodes.select(*tree, F.col("id").alias("parent"), F.col("tag").alias("above"))
     order = Window.partitionBy(*tree, "parent").orderBy("lft")
-    beside = nodes.withColumn("before", F.lag("id").over(order))
-    edges = beside.where("parent is not null").select(*tree, F.coalesce("before", "parent").alias("src"), F.col("id").alias("dst"), F.when(F.col("before").isNull(), "contains").otherwise("next").alias("kind"))
-    loops = nodes.where(F.col("tag").isin("While", "DoWhile", "ForEach")).select(*tree, "id")
-    back = nodes.join(loops.withColumnRenamed("id", "parent"), [*tree, "parent"], "left_semi").select(*tree, F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("loop-back").alias("kind"))
-    return edges.unionByName(back)
+    beside = nodes.where("parent is not null").withColumns({"before": F.lag("id").over(order), "place": F.row_number().over(order)}).join(up, [*tree, "parent"])
+    first, loop = F.col("place") == 1, F.col("above").isin("While", "DoWhile", "ForEach")
+    kind = (
+        F.when((F.col("above") == "Sequence") & ~first, "seq-next")
+        .when(F.col("above") == "If", F.when(first, "branch-then").otherwise("branch-else"))
+        .when(loop, "loop-enter").when(F.col("above") == "TryCatch", F.when(first, "try").otherwise("catch")).otherwise("contains")
+    )
+    beside = beside.withColumn("kind", kind)
+    edges = beside.select(*tree, F.when(F.col("kind") == "seq-next", F.col("before")).otherwise(F.col("parent")).alias("src"), F.col("id").alias("dst"), "kind")
+    return edges.unionByName(beside.where(loop).select(*tree, F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("loop-back").alias("kind")))
 
 
 def containers(nodes: DataFrame, tree: list[str]) -> DataFrame:

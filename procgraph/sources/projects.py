@@ -15,11 +15,21 @@ from procgraph.functions import ident
 
 EXCLUDED = (".local/**", ".settings/**", ".screenshots/**", "TestResults/**")
 PROJECT = "name STRING, main STRING, schemaVersion STRING, projectId STRING, description STRING, projectVersion STRING, targetFramework STRING, expressionLanguage STRING, dependencies MAP<STRING, STRING>, entryPoints ARRAY<STRUCT<filePath STRING, uniqueId STRING>>, designOptions STRUCT<outputType STRING>, _corrupt STRING"
-NODES = "path string, lft int, rgt int, depth int, parent int, tag string, display_name string, attributes map<string,string>, text string, error string"
+NODES = "path string, lft int, rgt int, depth int, parent int, tag string, display_name string, attributes map<string,string>, annotation string, text string, is_visual boolean, node_id string, visual_parent string, error string"
+#: The attribute that holds a note on its element.
+ANNOTATION = "Annotation.AnnotationText"
 #: Coded files that hold no workflow.
 NO_WORKFLOW = ("assemblyinfo.cs", "globalusings.cs", "program.cs", "startup.cs")
-# Tags that show no activity of their own, and those that count without a display name.
-HIDDEN = ("Members", "Property", "HintSize", "ViewState", "WorkflowViewState.IdRef", "VisualBasic.Settings", "Variables", "Variable", "Annotation", "TextExpression.NamespacesForImplementation", "TextExpression.ReferencesForImplementation", "ViewStateService.ViewState", "Collection", "Dictionary", "AssemblyReference", "ActivityAction", "DelegateInArgument", "InArgument", "OutArgument", "InOutArgument", "Literal", "Target")
+# Tags that are metadata or structure and show no activity of their own, and those that count without a display name.
+HIDDEN = (
+    "Members", "HintSize", "Property", "TypeArguments", "WorkflowFileInfo",
+    "Annotation", "ViewState", "Collection", "Dictionary", "ActivityAction",
+    "Variables", "Arguments", "Imports", "NamespacesForImplementation",
+    "ReferencesForImplementation", "TextExpression", "VisualBasic",
+    "WorkflowViewState", "WorkflowViewStateService", "Ignorable",
+    "Then", "Else", "Catches", "Catch", "Finally", "States", "Transitions",
+    "Body", "Handler", "Condition", "Default",
+)
 ALWAYS_SHOWN = ("Sequence", "TryCatch", "Flowchart", "Parallel", "StateMachine")
 
 
@@ -65,7 +75,9 @@ def workflows(found: DataFrame, bay: str, patterns: tuple[str, ...] = EXCLUDED)
 def xml_nodes(found: DataFrame) -> DataFrame:
     """Every element of every .xaml file in document order, with nested-set places; a file that fails gives one row with error.
 
-    Declarations of types and entities are refused.
+    A visual element has node_id, `/A/B/Tag[n]`: the tags on the way from the root, then its own with its place among the
+    visual elements of that tag under the same parent; visual_parent is the node_id of the nearest visual ancestor of any element.
+    Its display name is `<tag>` where it has none, and its note is in annotation. Declarations of types and entities are refused.
     """
 
     def local(tag: str) -> str:
@@ -78,21 +90,25 @@ def xml_nodes(found: DataFrame) -> DataFrame:
                 raise ValueError("declarations are not allowed")
             root = ElementTree.fromstring(text)
         except (ElementTree.ParseError, ValueError) as e:
-            return [(path, None, None, None, None, None, None, None, None, str(e))]
-        rows, count = [], 0
-        stack: list[tuple] = [(root, 0, None, None)]
+            return [(path, *[None] * 12, str(e))]
+        rows, count, seen = [], 0, {}
+        stack: list[tuple] = [(root, 0, None, "", None, None)]
         while stack:
-            element, depth, parent, row = stack.pop()
+            element, depth, parent, above, visual, row = stack.pop()
             if row is not None:  # all below is done
                 row[2] = count
                 count += 1
                 continue
             attributes = {local(k): v for k, v in element.attrib.items()}
-            tag = local(element.tag)
-            row = [path, count, None, depth, parent, tag, attributes.get("DisplayName", tag), attributes, (element.text or "").strip() or None, None]
+            tag, note = local(element.tag), attributes.pop(ANNOTATION, None)
+            shown, own = tag not in HIDDEN and ("DisplayName" in attributes or tag in ALWAYS_SHOWN), None
+            if shown:
+                nth = seen[parent, tag] = seen.get((parent, tag), -1) + 1
+                own = f"{above}/{tag}[{nth}]"
+            row = [path, count, None, depth, parent, tag, attributes.get("DisplayName", f"<{tag}>"), attributes, note, (element.text or "").strip() or None, shown, own, visual, None]
             rows.append(row)
-            stack.append((element, depth, parent, row))
-            stack += [(child, depth + 1, count, None) for child in reversed(list(element))]
+            stack.append((element, depth, parent, above, visual, row))
+            stack += [(child, depth + 1, count, f"{above}/{tag}" if above else tag, own or visual, None) for child in reversed(list(element))]
             count += 1
         return [tuple(r) for r in rows]
 
@@ -107,9 +123,8 @@ def xml_nodes(found: DataFrame) -> DataFrame:
 
 
 def activities(nodes: DataFrame) -> DataFrame:
-    """Visual nodes: not hidden, no property element, and named or of a kind that is always shown."""
-    named = F.col("attributes")["DisplayName"].isNotNull() | F.col("tag").isin(*ALWAYS_SHOWN)
-    return nodes.where(F.col("error").isNull() & ~F.col("tag").isin(*HIDDEN) & ~F.col("tag").contains(".") & named)
+    """Visual nodes: not hidden, and named or of a kind that is always shown."""
+    return nodes.where("is_visual")
 
 
 def invocations(nodes: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered queries: every operator on the driver's tables, each with its SQL oracle.
 
 Adapters give the tables the shapes of a workflow project: E are call edges drawn
-from a sample of lineitem (and, in the queries named ..._whole, from all of it), T the tree region - nation - customer - order, H the tags of pages,
+of all lineitem rows (of all orders, two for each customer, where paths are listed), T the tree region - nation - customer - order, H the tags of pages,
 P declared and used packages from part and lineitem, S versions from part.
 """
 
@@ -37,37 +37,38 @@ def t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 E_SQL = """edge AS (
     SELECT DISTINCT src, dst FROM (
-        SELECT l_partkey % 61 AS src, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) % 61 AS dst
-        FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09) WHERE dst IS NOT NULL
+        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL
 ), node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), entry AS (SELECT DISTINCT src AS node FROM edge WHERE src < 5)"""
 DEPTH_SQL = """walk AS (SELECT node, 0 AS depth FROM entry UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 70),
 reached AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = t(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
+    """Call edges of all lineitem rows: from a supplier's part to the next one."""
     after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
-    return line.select((F.col("l_partkey") % 61).alias("src"), (after % 61).alias("dst")).where("dst is not null").distinct()
+    return t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null").distinct()
 
 
-WHOLE_E_SQL = """edge AS (
-    SELECT DISTINCT src, dst FROM (
-        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL
+# For listings of paths, whose rows grow with every degree: at most two calls from each customer
+TWO_SQL = """later AS (SELECT o_custkey, o_orderkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders), edge AS (
+    SELECT o_custkey AS src, min_by(dst, o_orderkey) AS dst FROM later WHERE dst IS NOT NULL GROUP BY o_custkey
+    UNION SELECT o_custkey, max_by(dst, o_orderkey) FROM later WHERE dst IS NOT NULL GROUP BY o_custkey
 ), node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), entry AS (SELECT DISTINCT src AS node FROM edge WHERE src < 5)"""
 
 
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of all lineitem rows between parts as they are."""
-    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
-    return t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null").distinct()
+def two_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all orders: from a customer to the one of the day's next order, after the customer's first and last such order."""
+    after = F.lead("o_custkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey"))
+    later = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), "o_orderkey", after.alias("dst")).where("dst is not null")
+    ends = later.groupBy("src").agg(F.array(F.min_by("dst", "o_orderkey"), F.max_by("dst", "o_orderkey")).alias("dst"))
+    return ends.select("src", F.explode("dst").alias("dst")).distinct()
 
 
 def edge_query(name: str, sql: str):
-    """Registers f(edges) on the sampled edges and, as name_whole, on those of all rows."""
+    """Registers f(edges) on the edges of all rows."""
 
     def add(f):
         query(name, sql)(lambda spark, d: f(edges(spark, d)))
-        query(f"{name}_whole", sql.replace(E_SQL, WHOLE_E_SQL))(lambda spark, d: f(whole_edges(spark, d)))
         return f
 
     return add
@@ -106,19 +107,19 @@ CYCLE_SQL = """trail AS (
 )"""
 
 
-@query("cycles", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM cycle")
+@query("cycles", f"WITH RECURSIVE {TWO_SQL}, {CYCLE_SQL} SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length FROM cycle")
 def cycles(spark, d):
-    return graph.cycles(edges(spark, d)).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
+    return graph.cycles(two_calls(spark, d)).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@query("cycle_nodes", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT DISTINCT unnest(path) AS node FROM cycle")
+@query("cycle_nodes", f"WITH RECURSIVE {TWO_SQL}, {CYCLE_SQL} SELECT DISTINCT unnest(path) AS node FROM cycle")
 def cycle_nodes(spark, d):
-    return graph.cycles(edges(spark, d)).select(F.explode("cycle").alias("node")).distinct()
+    return graph.cycles(two_calls(spark, d)).select(F.explode("cycle").alias("node")).distinct()
 
 
-@query("cycle_count_by_type", f"WITH RECURSIVE {E_SQL}, {CYCLE_SQL} SELECT CASE len(path) WHEN 1 THEN 'self' WHEN 2 THEN 'mutual' ELSE 'complex' END AS type, count(*) AS n FROM cycle GROUP BY 1")
+@query("cycle_count_by_type", f"WITH RECURSIVE {TWO_SQL}, {CYCLE_SQL} SELECT CASE len(path) WHEN 1 THEN 'self' WHEN 2 THEN 'mutual' ELSE 'complex' END AS type, count(*) AS n FROM cycle GROUP BY 1")
 def cycle_count_by_type(spark, d):
-    return graph.cycles(edges(spark, d)).groupBy(graph.cycle_type(F.col("length")).alias("type")).agg(F.count("*").alias("n"))
+    return graph.cycles(two_calls(spark, d)).groupBy(graph.cycle_type(F.col("length")).alias("type")).agg(F.count("*").alias("n"))
 
 
 CLOSURE_SQL = "reach AS (SELECT src, dst FROM edge UNION SELECT reach.src, edge.dst FROM reach JOIN edge ON reach.dst = edge.src)"
@@ -156,12 +157,12 @@ def callgraph_metrics(e):
     return marked.crossJoin(e.agg(F.count("*").alias("dependencies"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("self_calls")))  # one row each
 
 
-@query("call_paths", f"""WITH RECURSIVE {E_SQL}, walk AS (
+@query("call_paths", f"""WITH RECURSIVE {TWO_SQL}, walk AS (
     SELECT [src, dst] AS path FROM edge WHERE src <> dst
     UNION ALL SELECT list_append(path, dst) FROM walk JOIN edge ON src = path[len(path)] WHERE NOT list_contains(path, dst) AND len(path) < 4)
 SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops FROM walk""")
 def call_paths(spark, d):
-    return graph.paths(edges(spark, d), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops")
+    return graph.paths(two_calls(spark, d), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops")
 
 
 ROLE_SQL = """degree AS (SELECT node, (SELECT count(*) FROM edge WHERE dst = node) AS fan_in, (SELECT count(*) FROM edge WHERE src = node) AS fan_out FROM node),
@@ -187,14 +188,14 @@ def mermaid_edges(e):
     return e.select(F.concat(F.lit("    n"), F.col("src").cast("string"), F.when(F.col("src") == F.col("dst"), " -.-> n").otherwise(" --> n"), F.col("dst").cast("string")).alias("line"))
 
 
-@query("expanded_pseudocode", f"""WITH RECURSIVE {E_SQL}, walk AS (
+@query("expanded_pseudocode", f"""WITH RECURSIVE {TWO_SQL}, walk AS (
     SELECT node AS root, [node] AS trail, node, 0 AS depth, '' AS mark FROM entry
     UNION ALL SELECT root, list_append(trail, dst), dst, depth + 1,
         CASE WHEN list_contains(trail, dst) THEN 'cycle' WHEN depth + 1 = 3 AND EXISTS (SELECT 1 FROM edge x WHERE x.src = edge.dst) THEN 'depth limit' ELSE '' END
     FROM walk JOIN edge ON src = node WHERE mark = '' AND depth < 3)
 SELECT root, array_to_string(trail, '>') AS trail, repeat('  ', CAST(depth AS INT)) || '- [' || node || '] call' || CASE mark WHEN '' THEN '' ELSE ' (' || mark || ')' END AS line FROM walk""")
 def expanded_pseudocode(spark, d):
-    e = edges(spark, d)
+    e = two_calls(spark, d)
     rows = graph.expand(e, entries(e), 3)
     mark = F.when(F.col("mark") == "", "").otherwise(F.concat(F.lit(" ("), "mark", F.lit(")")))
     return rows.select("root", F.array_join(F.col("trail").cast("array<string>"), ">").alias("trail"), F.concat(trees.pseudocode(F.col("depth"), F.col("node").cast("string"), F.lit("call")), mark).alias("line"))
@@ -284,9 +285,9 @@ def container_stats(spark, d):
     return n.join(up, F.col("parent") == F.col("up")).groupBy("container", F.col("tag").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("clusters", f"WITH {TREE_SQL} SELECT coalesce(parent, '(root)') AS folder, count(*) AS n FROM tree WHERE depth <= 2 GROUP BY 1")
+@query("clusters", f"WITH {TREE_SQL} SELECT coalesce(parent, '(root)') AS folder, count(*) AS n FROM tree GROUP BY 1")
 def clusters(spark, d):
-    return tree(spark, d).where("depth <= 2").groupBy(F.coalesce("parent", F.lit("(root)")).alias("folder")).agg(F.count("*").alias("n"))
+    return tree(spark, d).groupBy(F.coalesce("parent", F.lit("(root)")).alias("folder")).agg(F.count("*").alias("n"))
 
 
 # H: tags, references and namespaces of pages
@@ -334,15 +335,11 @@ def packages_from_ns(spark, d):
 # P: packages
 
 
-P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part WHERE p_size = 7),
-used AS (SELECT DISTINCT p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount >= 0.09)"""
-
-
-WHOLE_P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part),
+P_SQL = """declared AS (SELECT DISTINCT p_name AS package FROM part),
 used AS (SELECT DISTINCT p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey)"""
 
 
-def whole_packages(spark, d):
+def packages(spark, d):
     """All parts are declared, those of any lineitem row used."""
     part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("package"))
     wanted = t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
@@ -350,22 +347,15 @@ def whole_packages(spark, d):
 
 
 def package_query(name: str, sql: str):
-    """Registers f(declared, used) on the sampled packages and, as name_whole, on those of all rows."""
+    """Registers f(declared, used) on the packages of all rows."""
 
     def add(f):
         query(name, sql)(lambda spark, d: f(*packages(spark, d)))
-        query(f"{name}_whole", sql.replace(P_SQL, WHOLE_P_SQL))(lambda spark, d: f(*whole_packages(spark, d)))
         return f
 
     return add
 
 
-def packages(spark, d):
-    part = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    wanted = t(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_partkey").alias("p_partkey"))
-    return part.where("p_size = 7").select(F.col("p_name").alias("package")).distinct(), part.join(wanted, "p_partkey", "left_semi").select(F.col("p_name").alias("package")).distinct()
-
-
 @package_query("package_usage", f"WITH {P_SQL} SELECT coalesce(d.package, u.package) AS package, d.package IS NOT NULL AS is_declared, u.package IS NOT NULL AS is_used FROM declared d FULL JOIN used u ON d.package = u.package")
 def package_usage(declared, used):
     return relate.usage(declared, used)

@@ -58,7 +58,7 @@ def test_depths_cycles_and_expansion(spark):
 def test_control_flow_and_rules(spark):
     n = spark.createDataFrame([("t", "a", None, 0, 9, 0, "Sequence"), ("t", "b", "a", 1, 2, 1, "Assign"), ("t", "c", "a", 3, 6, 1, "While"), ("t", "d", "c", 4, 5, 2, "LogMessage")], "tree string, id string, parent string, lft int, rgt int, depth int, tag string")
     flow = {(r["src"], r["dst"], r["kind"]) for r in trees.control_flow(n, ["tree"]).collect()}
-    assert flow == {("a", "b", "contains"), ("b", "c", "next"), ("c", "d", "contains"), ("d", "c", "loop-back")}
+    assert flow == {("a", "b", "contains"), ("b", "c", "seq-next"), ("c", "d", "loop-enter"), ("d", "c", "loop-back")}
     assert trees.depth_metrics(n, ["tree"]).first().asDict() == {"tree": "t", "nodes": 4, "max_depth": 2, "leaves": 2}
     assert {r["kind"]: r["n"] for r in trees.type_counts(n, ["tree"]).collect()} == {"loop": 1, "log": 1, "other": 2}
     assert {r["id"]: r["container"] for r in trees.containers(n, ["tree"]).collect()} == {"a": None, "b": "Sequence", "c": "Sequence", "d": "While"}

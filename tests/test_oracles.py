@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from procgraph import suite
+from procgraph import suite, suite_checks  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,6 +26,7 @@ def rows(columns, values):
 @pytest.mark.parametrize("name", sorted(suite.QUERIES))
 def test_matches_sql(spark, con, name):
     df = suite.QUERIES[name](spark, DATA)
+    assert name in suite.ORACLES
     want = con.sql(suite.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
