@@ -56,14 +56,34 @@ def json_head(found: re.Match) -> bool:
         return False
 
 
+def pem_body(body: str) -> bool:
+    """Whether it is base64 of one DER sequence of just the length it states, of an OpenSSH key, or encrypted."""
+    import base64
+
+    lines = [x.strip() for x in body.strip().splitlines()]
+    coded = "".join(x for x in lines if ":" not in x)
+    try:
+        data = base64.b64decode(coded, validate=True)
+    except ValueError:
+        return False
+    if len(coded) < len("".join(lines)):  # headers name a cipher: the length is hidden
+        return len(data) > 0
+    if data[:15] == b"openssh-key-v1\0":
+        return True
+    if len(data) < 2 or data[0] != 0x30:
+        return False
+    size, more = data[1], data[1] & 0x7F if data[1] > 0x80 else 0
+    return len(data) == 2 + more + (int.from_bytes(data[2 : 2 + more]) if more else size)
+
+
 #: kind: (keywords, pattern anchored at the keyword, check of the whole match)
 CHECKED = {
     "github": (GITHUB, re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: base62_crc(m[0][4:-6]) == m[0][-6:]),
     "npm": (("npm_",), re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: base62_crc(m[0][4:-6]) == m[0][-6:]),
     "jwt": (("eyJ",), re.compile(r"eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+"), json_head),
-    "pem": (("-----BEGIN",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s0-9A-Za-z+/=:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"), lambda m: True),
-    "card": (("card",), re.compile(r"card(?:[ _-]?(?:number|no))?[\"']?\x20*[:=#]?\x20*[\"']?(?<![0-9])([0-9](?:[ -]?[0-9]){12,18})(?![0-9])"), lambda m: luhn(re.sub("[ -]", "", m[1]))),
-    "iban": (("iban",), re.compile(r"(?:iban|IBAN)[\"']?\x20*[:=]?\x20*[\"']?([A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})(?![0-9A-Z])"), lambda m: mod97(m[1])),
+    "pem": (("-----BEGIN",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:[\s0-9A-Za-z+/=:,]|-(?!----))*+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"), lambda m: pem_body(m[1])),
+    "card": (("card",), re.compile(r"(?i:card)(?i:[ _-]?(?:number|no))?[\"']?\x20*[:=#]?\x20*[\"']?(?<![0-9])([0-9](?:[ -]?[0-9]){12,18})(?![0-9])"), lambda m: luhn(re.sub("[ -]", "", m[1]))),
+    "iban": (("iban",), re.compile(r"(?i:iban)[\"']?\x20*[:=]?\x20*[\"']?([A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})(?![0-9A-Z])"), lambda m: mod97(m[1])),
 }
 
 
