@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from procgraph.llm.common import cut, n_words
 
-#: Bins of the sampling key within a source; rows are ordered within a bin.
-BINS = 4096
+#: Rows of a source that a bin of the sampling key holds or fewer, about; rows are ordered within a bin.
+ROWS_PER_BIN = 2000
 
 
 def uniform(doc_id: Column, seed: int = 0) -> Column:
@@ -46,7 +46,35 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     return level.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int = BINS, **targets) -> DataFrame:
+def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None, targets: dict) -> DataFrame:
+    """(row, size, source_size, target, copies): row is the whole row of docs, so that its columns never clash."""
+    size = n_words(F.col("text").cast("string"))
+    sized = docs.select(F.struct("*").alias("row"), size.alias("size"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), (quality if quality is not None else length_quality(size)).alias("weight"))
+    sized = sized.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    key = F.when(F.col("weight") > 0, F.pow(uniform(F.col("id"), seed), 1 / F.col("weight")))
+    sized = sized.withColumn("key", F.coalesce(key, F.lit(0.0)))
+    bins = bins or max(64, docs.count() // ROWS_PER_BIN)  # of one unit of the logarithm; the count comes from the footers
+    place = F.coalesce(F.floor(F.log(-F.log("key")) * bins), F.lit(-(2**60)))  # a key of 1 comes first
+    last = F.when(F.col("size") > 0, F.lit(2**60)).otherwise(F.lit(2**60) + 1 + F.pmod(F.xxhash64("id"), F.lit(bins)))  # keys of 0; empty texts move no sum
+    sized = sized.withColumn("bin", F.when(F.col("key") > 0, place).otherwise(last))
+    by_bin = cut(sized.groupBy("group", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("bin_size")))
+    goal = source_targets(by_bin.select("source", F.col("bin_size").alias("size")), **targets)
+    goal = goal.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    in_source = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = (
+        by_bin.drop("source").withColumn("before", F.coalesce(F.sum("bin_size").over(in_source), F.lit(0)))
+        .join(goal, "group").withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).drop("bin_size")
+    )
+    rows = sized.drop("source", "weight").join(cut(plan), ["group", "bin"])
+    order = Window.partitionBy("group", "bin").orderBy(F.desc("key"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    nearer = 2 * (F.col("budget") - F.col("start")) >= F.col("size")  # its end lies no further beyond than its start before
+    copies = F.col("epochs") + ((F.col("start") < F.col("budget")) & nearer).cast("long")
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int | None = None, **targets) -> DataFrame:
     """docs' columns with __size, __source_size, __target, __copies and __taken for every row.
 
     A row is taken floor(target / source size) times whole. What the target has
@@ -56,48 +84,22 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int
     while the running sum of sizes stays within the budget; the row that would
     cross it is taken too if that comes nearer to the target.
 
-    The running sum needs no source in one task: keys are binned (by u^(1/w),
-    which lies in 0..1), sums by source and bin are prefix-summed, and rows are
-    ordered within their bin only.
+    The running sum needs no source in one task: keys are binned by the logarithm of
+    the exponential key, whose spread is alike at every weight, into so many bins that one
+    holds about ROWS_PER_BIN rows; sums by source and bin are prefix-summed, and rows are
+    ordered within their bin only. The result doesn't depend on the bins.
 
     Null and empty texts have size 0 and are in every epoch and in the sample
     alike. Rows that repeat a doc_id have the same u and stand together in the order.
     Sources may be null. An empty table gives none; columns of docs that are
-    called like the added ones are dropped.
+    called like the added ones are dropped, all others stay.
     """
-    added = ["__size", "__source_size", "__target", "__copies", "__taken"]
-    docs = docs.drop(*added, "__key", "__bin", "__source")
-    sized = docs.withColumn("__size", n_words(F.col("text").cast("string")))
-    sized = sized.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    weight = quality if quality is not None else length_quality(F.col("__size"))
-    key = F.when(weight > 0, F.pow(uniform(F.col("doc_id"), seed), 1 / weight)).otherwise(0.0)
-    sized = sized.withColumn("__key", F.coalesce(key, F.lit(0.0))).withColumn("__bin", F.floor((1 - F.col("__key")) * bins).cast("int"))
-    by_bin = cut(sized.groupBy("__source", "__bin").agg(F.first("source").alias("source"), F.sum("__size").alias("bin_size")))
-    goal = source_targets(by_bin.select("source", F.col("bin_size").alias("size")), **targets)
-    goal = goal.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
-    in_source = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = (
-        by_bin.drop("source").withColumn("before", F.coalesce(F.sum("bin_size").over(in_source), F.lit(0)))
-        .join(goal, "__source").withColumn("epochs", epochs)
-        .select(
-            "__source", "__bin", F.col("before").alias("__before"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-            F.col("epochs").alias("__epochs"), (F.col("target") - F.col("epochs") * F.col("source_size")).alias("__budget"),
-        )
-    )
-    rows = sized.join(cut(plan), ["__source", "__bin"])
-    order = Window.partitionBy("__source", "__bin").orderBy(F.desc("__key"), "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
-    nearer = 2 * (F.col("__budget") - F.col("__start")) >= F.col("__size")  # its end lies no further beyond than its start before
-    rows = rows.withColumn("__start", start)
-    copies = F.col("__epochs") + ((F.col("__start") < F.col("__budget")) & nearer).cast("long")
-    return rows.withColumn("__copies", copies).select(
-        *docs.columns, "__size", "__source_size", "__target", "__copies", (F.col("__copies") * F.col("__size")).alias("__taken")
-    )
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with its own columns."""
-    mixed = mix(docs, **options)
-    names = [c for c in docs.columns if c in mixed.columns]
-    return mixed.where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    added = {"__size": "size", "__source_size": "source_size", "__target": "target", "__copies": "copies"}
+    docs = docs.drop(*added, "__taken")
+    return _mixed(docs, quality, seed, bins, targets).select("row.*", *(F.col(c).alias(a) for a, c in added.items()), (F.col("copies") * F.col("size")).alias("__taken"))
+
+
+def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int | None = None, **targets) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with all its own columns."""
+    mixed = _mixed(docs, quality, seed, bins, targets).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
