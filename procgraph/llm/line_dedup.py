@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from procgraph.llm.common import cut, doc_text, mix
 from procgraph.llm.token_ids import text_batches
 
 KEYS_PER_SHARD = 50_000
-SALTS = 8
+#: Postings that one copy of a shard's filter probes, about, and the least number of copies.
+ROWS_PER_PROBE = 400_000
+LEAST_COPIES = 8
 
 
 class CuckooFilter:
@@ -188,30 +191,39 @@ def delete(state: LineState, ids: DataFrame) -> LineState:
 def drops(state: LineState) -> DataFrame:
     """(doc_id, keys): for each document the 16-byte keys of lines it loses.
 
-    Postings pass the filters first, by shard and dealt by document over SALTS
-    copies so that no common line lands in one task; what passes is
-    joined with the exact counts, which removes false reports.
+    Postings meet the filters by shard, dealt by document over so many copies that one gets about
+    ROWS_PER_PROBE rows, so no common line lands in one task. What passes a filter is looked up there in the
+    shard's exact counts, which go along and remove false reports.
     """
 
     def run(key: tuple, held: pa.Table, rows: pa.Table) -> pa.Table:
-        if not len(held) or not len(rows):
-            return rows.slice(0, 0).select(["k1", "k2", "doc_id"])
+        nothing = rows.slice(0, 0).select(["k1", "k2", "doc_id"])
+        exact = held.filter(pc.is_null(held["filter"]))
+        if not len(exact) or not len(rows):
+            return nothing
+        filters = held["filter"].drop_null()
         keys = rows["k1"].to_numpy().view(np.uint64)
-        return rows.filter(pa.array(CuckooFilter(data=held["filter"][0].as_py()).contains(keys))).select(["k1", "k2", "doc_id"])
+        likely = rows.filter(pa.array(CuckooFilter(data=filters[0].as_py()).contains(keys)))
+        found = likely.join(exact.select(["k1", "k2", "last_doc", "known"]), ["k1", "k2"], join_type="inner")
+        same = pc.or_(pc.fill_null(pc.equal(found["doc_id"], found["last_doc"]), False), pc.and_(pc.is_null(found["doc_id"]), pc.is_null(found["last_doc"])))
+        return found.filter(pc.invert(same)).select(["k1", "k2", "doc_id"])
 
-    salted = state.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter")
-    dealt = state.postings.select("k1", "k2", "doc_id", shard_of(state.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    likely = salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(run, "k1 long, k2 long, doc_id long")
     exact = state.refs.where(F.col("n_docs") >= state.min_docs)
-    hit = likely.join(exact, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    held = state.filters.select("shard", "filter", none("k1", "long"), none("k2", "long"), none("last_doc", "long"), F.lit(True).alias("known"))
+    held = held.unionByName(exact.select(shard_of(state.shards).alias("shard"), none("filter", "binary"), "k1", "k2", "last_doc", F.lit(True).alias("known")))
+    copies = max(LEAST_COPIES, state.postings.count() // (state.shards * ROWS_PER_PROBE) + 1)
+    salted = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = state.postings.select("k1", "k2", "doc_id", shard_of(state.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int").alias("salt"))
+    hit = salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(run, "k1 long, k2 long, doc_id long")
     return hit.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
 KEPT = "text string, n_lines long, n_dropped long"
 
 
-def apply_drops(docs: DataFrame, lost: DataFrame, least_chars: int) -> DataFrame:
-    """docs with __kept struct<text, n_lines, n_dropped>."""
+def _without_lines(docs: DataFrame, lost: DataFrame, least_chars: int) -> DataFrame:
+    """(row, kept): the whole row of docs, so that its columns never clash, and struct<text, n_lines, n_dropped>."""
 
     @F.pandas_udf(KEPT)
     def without(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -226,9 +238,14 @@ def apply_drops(docs: DataFrame, lost: DataFrame, least_chars: int) -> DataFrame
                 out.append((t, len(lines), 0))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("keys").alias("__keys"))
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__lost_id")), "left")
-    return joined.withColumn("__kept", without(F.col("text").cast("string"), F.col("__keys"))).drop("__lost_id", "__keys")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), "keys")
+    return rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left").select("row", without("text", "keys").alias("kept"))
+
+
+def apply_drops(docs: DataFrame, lost: DataFrame, least_chars: int) -> DataFrame:
+    """docs with __kept struct<text, n_lines, n_dropped>."""
+    return _without_lines(docs.drop("__kept"), lost, least_chars).select("row.*", F.col("kept").alias("__kept"))
 
 
 def dedup(docs: DataFrame, least_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -239,10 +256,10 @@ def dedup(docs: DataFrame, least_chars: int = 40, min_docs: int = 5) -> DataFram
     repeat a doc_id count each and lose the same lines; null doc_ids come before
     all others. An empty table gives none. Other columns stay; __kept is replaced.
     """
-    docs = docs.drop("__kept")
     return apply_drops(docs, drops(index(docs, least_chars, min_docs)), least_chars)
 
 
-def dedup_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, its own columns, with text as dedup() leaves it."""
-    return dedup(docs, **options).withColumn("text", F.col("__kept.text")).select(*[c for c in docs.columns if c != "__kept"])
+def dedup_documents(docs: DataFrame, least_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """docs, all its own columns, with text as dedup() leaves it."""
+    kept = _without_lines(docs, drops(index(docs, least_chars, min_docs)), least_chars)
+    return kept.select(*(F.col("kept.text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
