@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procgraph.llm.common import cut
@@ -13,22 +13,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round hangs every neighbour of a node onto the smallest neighbour
     (large stars), then every smaller one (small stars); the edges end as stars
-    around the smallest ids, in about log(n) rounds. Only aggregates and
-    equi-joins; each round is checkpointed.
+    around the smallest ids, in about log(n) rounds. A half round is one shuffle by node and a
+    sorted pass over its neighbours, which are streamed and spill, not held; each round is checkpointed.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
+    beside = Window.partitionBy("a").orderBy("b")  # running from the smallest neighbour on
+    fresh, least = F.lag("b").over(beside).eqNullSafe(F.col("b")), F.first("b").over(beside)
+    sorted_ = lambda df: df.select("a", "b", fresh.alias("repeated"), least.alias("least")).where("not repeated")
+    now, state = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a")
-        small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(small.select("a", F.col("least").alias("b")))
-        now = cut(small.distinct())
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        large = sorted_(both).where("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))
+        small = sorted_(large).select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+        now = cut(small)
         last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
     else:
         raise RuntimeError("components didn't settle")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    heads = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(heads)

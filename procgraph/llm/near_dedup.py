@@ -18,11 +18,12 @@ from procgraph.llm.token_ids import WordMemory, hash_words, ragged, text_batches
 
 #: Ids (8 bytes each) up to which the ids whose full sets are read are broadcast; beyond, texts are dealt by id.
 MOST_BROADCAST = 4_000_000
-#: Bytes of a shingle hash in a full set: two sets of thousands collide with a probability below one in a million.
-HASH_BYTES = 6
-#: Ids, and shingles of full sets, that one tile holds; larger groups have more tiles.
-TILE = 128
-TILE_SHINGLES = 60_000
+#: Ids, and shingles of full sets, that one tile holds (about 2 and 20 MB), and ids that it is asked by; larger groups have more tiles.
+TILE = 4096
+TILE_SHINGLES = 1_000_000
+TILE_ASKS = 4096
+#: Further rounds in which each component of a posting list is held against the largest by one pair of members, before all members meet.
+ROUNDS = 1
 
 
 @dataclass(frozen=True)
@@ -103,15 +104,12 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes of documents, HASH_BYTES each."""
-
-    def short(s: np.ndarray) -> bytes:
-        return np.unique(s >> np.uint64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    """(doc_id, set): the sorted 64-bit shingle hashes of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(rule.width)
         for table in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([short(s) for s in shingles(texts_of(table))], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([s.tobytes() for s in shingles(texts_of(table))], pa.binary())], names=["doc_id", "set"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, set binary")
 
@@ -168,7 +166,7 @@ def confirmed(near: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                one, two = (np.pad(np.frombuffer(z, np.uint8).reshape(-1, HASH_BYTES), ((0, 0), (0, 8 - HASH_BYTES))).view(np.uint64).reshape(-1) for z in (x, y))
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= rule.percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -258,10 +256,10 @@ def linked(wanted: DataFrame, members: DataFrame, classes: DataFrame, sets: Data
     """(a, b) for each row (id, component) of wanted that has a near member: one of them.
 
     members has (id, component). A component's full sets are held in tiles of about TILE_SHINGLES,
-    and meet about TILE ids at once; an id's shingles are counted against a whole tile.
+    and meet about TILE_ASKS ids at once; an id's shingles are counted against a whole tile.
     """
     sized = members.join(classes.select("id", "n_shingles"), "id")
-    asks = wanted.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("askers"))
+    asks = wanted.groupBy("component").agg(F.ceil(F.count("*") / TILE_ASKS).alias("askers"))
     shape = sized.join(asks, "component").groupBy("component").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("parts"), F.first("askers").alias("askers"))
     shape = cut(shape)
     counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -270,22 +268,19 @@ def linked(wanted: DataFrame, members: DataFrame, classes: DataFrame, sets: Data
     asked = wanted.join(shape, "component").withColumn("part", counted("parts")).select(F.xxhash64("component", "part", place[1]).alias("tile"), F.lit(1).alias("side"), "id")
     rows = held.unionByName(asked).join(sets, "id")
 
-    def hashes(data: bytes) -> np.ndarray:
-        return np.pad(np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES), ((0, 0), (0, 8 - HASH_BYTES))).view(np.uint64).reshape(-1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [None, ()]
 
         def meet(held, others):
             if known[0] is not held:
-                each = [hashes(x) for x in held["set"].to_pylist()]
+                each = [np.frombuffer(x, np.uint64) for x in held["set"].to_pylist()]
                 values, owners = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
                 order = np.argsort(values, kind="stable")
                 known[:] = held, (values[order], owners[order], np.array([len(x) for x in each]), held["id"].to_numpy())
             values, owners, sizes, ids = known[1]
             pairs = []
             for x, data in zip(others["id"].to_pylist(), others["set"].to_pylist()):
-                own = hashes(data)
+                own = np.frombuffer(data, np.uint64)
                 start = np.searchsorted(values, own)
                 both = np.bincount(owners[ragged(start, np.searchsorted(values, own, "right") - start)], minlength=len(sizes))
                 near = ids[100 * both >= rule.percent * (len(own) + sizes - both)]
@@ -303,7 +298,8 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(id, component) of classes with a near one.
 
     Each posting list is first tied to its smallest id, a star and not all
-    pairs. Lists that then still hold several components are settled in full,
+    pairs; in ROUNDS more, one member of each component that is left in a list is held against one of the
+    list's largest. Lists that then still hold several components are settled in full,
     but only between components: an id outside the list's largest one asks for
     components, not for pairs. So everything that could join two components is
     checked, and a large group of copies costs as many rows as it has members.
@@ -311,18 +307,26 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     lists = postings(classes, rule)
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
     lists = cut(lists.join(heads, "token"))
-    stars = lists.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    near = cut(candidates(stars, classes, rule))
-    found = cut(confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("id")), docs, rule), rule))
-    groups = connected_components(found)
-    members = cut(lists.select("id").distinct().join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    marked = lists.select("token", "id", "posted").join(members, "id")
-    by_list = marked.groupBy("token", "component").agg(F.count("*").alias("n"))
-    main = by_list.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    ids = cut(lists.select("id").distinct())
+    pairs, found, sets = lists.where("id <> a").select("a", F.col("id").alias("b")).distinct(), None, None
+    for turn in range(ROUNDS + 1):
+        near = cut(candidates(pairs, classes, rule))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        more = sets_of(wanted.join(sets, "id", "left_anti") if sets else wanted, docs, rule)
+        sets = sets.unionByName(more) if sets else more
+        new = confirmed(near, sets, rule)
+        found = cut(found.unionByName(new) if found else new)
+        members = cut(ids.join(connected_components(found), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        marked = lists.select("token", "id", "posted").join(members, "id")
+        pick = F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("b")
+        by_list = cut(marked.groupBy("token", "component").agg(F.count("*").alias("n"), pick))
+        main = by_list.groupBy("token").agg(F.max_by(F.struct("component", "b"), F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+        main = cut(main.select("token", F.col("main.component").alias("main"), F.col("main.b").alias("a"), "n"))
+        pairs = by_list.drop("n").join(main, "token").where("component <> main").select("a", "b").distinct()
     several = marked.join(main.select("token", "main", "n"), "token")
     asks = cut(meetings(several, classes, rule))
-    asked = members.join(asks.select("component").distinct(), "component").select("id").unionByName(asks.select("id"))
-    more = linked(asks, members, classes, sets_of(asked, docs, rule), rule)
+    asked = members.join(asks.select("component").distinct(), "component").select("id").unionByName(asks.select("id")).distinct()
+    more = linked(asks, members, classes, sets.unionByName(sets_of(asked.join(sets, "id", "left_anti"), docs, rule)), rule)
     return connected_components(found.unionByName(more))
 
 
@@ -356,5 +360,6 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs, all columns, that stay: one document of each group."""
-    gone = near_duplicates(docs, rule).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, rule).where("not kept").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))  # so that no column clashes
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
