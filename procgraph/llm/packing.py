@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from procgraph.llm.common import doc_text
-from procgraph.llm.token_ids import ByteEncoder, text_batches, vocabulary_path
+from procgraph.llm.token_ids import UnitEncoder, text_batches, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -26,7 +26,7 @@ class LevelPacker:
     """
 
     def __init__(self, size: int, first_id: int):
-        self.size, self.next_id = size, first_id
+        self.size, self.next_id, self.seen = size, first_id, 0
         self.levels = np.zeros(size + 1, np.int64)
         self.open: list[list] = [[] for _ in range(size + 1)]  # by level: (sequence_id, pieces)
         self.out: list[tuple] = []
@@ -40,6 +40,7 @@ class LevelPacker:
         self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.seen += len(ids)
         whole = len(ids) // self.size * self.size
         for at in range(0, whole, self.size):
             self._place((doc_id, at, ids[at : at + self.size], len(ids)), self._new_id(), 0)
@@ -64,9 +65,20 @@ class LevelPacker:
             n[level + s] += 1
             self.open[level + s].append((sequence, pieces))
 
-    def close(self) -> list[tuple]:
-        """Cuts what partly filled windows hold anew: full windows, then ever smaller powers of two, so nothing is padded."""
-        held = [p for level in self.open for _, pieces in level for p, _ in pieces]
+    def close(self, most_padding: float = 0.02) -> list[tuple]:
+        """Ends all windows. Those of a power of two stand, needing no padding; the others stand, fullest first, while what
+        they are padded with stays within most_padding of all tokens seen. What the rest hold is cut anew: full windows, then ever
+        smaller powers of two."""
+        spare, held = most_padding * self.seen, []
+        for level in range(self.size - 1, 0, -1):
+            for sequence, pieces in self.open[level]:
+                padding = 0 if level & (level - 1) == 0 else self.size - level
+                if padding <= spare:
+                    spare -= padding
+                    for p, offset in pieces:
+                        self._place(p, sequence, offset)
+                else:
+                    held += [p for p, _ in pieces]
         left = sum(len(p[2]) for p in held)
         room, offset, sequence = 0, 0, -1
         for doc_id, start, ids, total in held:
@@ -88,29 +100,29 @@ class LevelPacker:
         return out
 
 
-def pack(docs: DataFrame, ranks: str | None = None, size: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 1024, end_id: int = 0, most_padding: float = 0.02) -> DataFrame:
     """One row for each piece of a document's ids (its text's ids, then end_id) and its place in a window.
 
     Each task packs what it scans: no row moves between tasks, a lost task is
     packed anew the same way, and sequence ids hold the partition in their
-    upper bits. Sequences have `size` tokens but for at most log2(size) at each
-    partition's end, which have a power of two.
+    upper bits. Sequences have `size` tokens but for those that a partition's end leaves
+    open: padding, at most most_padding of its tokens, fills them up, or they have a power of two (LevelPacker.close).
 
     A null or empty text has only the end id. Rows that repeat a doc_id and a
     null doc_id are packed as documents of their own; an empty table gives no
     rows; other columns aren't read.
     """
-    ranks = ranks or vocabulary_path("byte_bpe_50k.tiktoken")
+    vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = ByteEncoder(ranks), LevelPacker(size, TaskContext.get().partitionId() << 33)
+        encode, packer = UnitEncoder(vocabulary), LevelPacker(size, TaskContext.get().partitionId() << 33)
         for table in text_batches(batches):
-            for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
-                packer.add(doc_id, np.append(encode(text), np.uint32(end_id)).astype("<u4"))
+            for doc_id, ids in zip(table["doc_id"].to_pylist(), encode(table["text"].to_pylist())):
+                packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
             yield as_batch(packer.done())
-        yield as_batch(packer.close())
+        yield as_batch(packer.close(most_padding))
 
     names = [f.split()[0] for f in PIECES.split(", ")]
 

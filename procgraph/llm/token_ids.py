@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from struct import pack
 from unicodedata import is_normalized
 
@@ -88,14 +91,15 @@ class WordEncoder:
     Words never meet in such a vocabulary, so each distinct word of a batch is
     encoded once. At most `most` short words are remembered: memory is bounded
     and the ids don't depend on it. Words of letters go straight to the
-    library's model; all others through its whole chain.
+    library's model; all others through its whole chain. A special token's string in a
+    text is that token, as the library has it, unless plain_specials says that it is ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, plain_specials: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.model, self.memory = self.tokenizer.model, WordMemory(self._encode, most)
         as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {i: as_text(chr(i))[0][0] for i in range(0x21, 0x2000) if chr(i).isalpha()}
@@ -110,7 +114,7 @@ class WordEncoder:
                 rest.append(i)
                 continue
             head = head.lower()
-            if not head.isalpha():  # a capital whose small form adds a mark
+            if not head.isalpha() or max(head) > "\u1fff":  # a capital whose small form adds a mark or lies beyond the letters
                 rest.append(i)
                 continue
             if (made := known.get(head)) is None:
@@ -149,3 +153,73 @@ class ByteEncoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+
+
+#: White space that tokenizers' patterns know besides the ASCII kind; before an ASCII one it would be cut off from its run.
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][\x20\x09-\x0D]")
+UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+").findall
+
+
+class UnitEncoder:
+    """Ids of whole texts by a byte-level vocabulary of the `tokenizers` library.
+
+    A text is taken in units, a run of ASCII white space with the word after it:
+    no token of such a vocabulary reaches over the end of a word, so each
+    distinct unit is encoded once. At most `most` short ones are remembered; the
+    ids don't depend on it. Letters, with a blank before or marks behind, go straight to the library's model, all others
+    through its whole chain. Special tokens as in WordEncoder.
+    """
+
+    def __init__(self, path: str, most: int = 600_000, plain_specials: bool = False):
+        import os
+
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.model, self.most, self.known = self.tokenizer.model, most, {}
+        as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {i: as_text(chr(i))[0][0] for i in range(0x20, 0x2000) if chr(i).isalpha() or chr(i) == " "}
+
+    def _encode(self, units: list) -> list:
+        out, rest, plain, tails, letters = [b""] * len(units), [], self.model.tokenize, {"": b""}, self.letters
+        blank = letters[0x20]
+        for i, unit in enumerate(units):
+            head = unit.rstrip(".,;:!?")
+            bare = head[1:] if head[:1] == " " else head
+            if not bare.isalpha():
+                rest.append(i)
+                continue
+            if not bare.isascii():
+                if max(bare) > "\u1fff":
+                    rest.append(i)
+                    continue
+                bare = bare.translate(letters)
+            made = array("I", [t.id for t in plain(blank + bare if head[0] == " " else bare)]).tobytes()
+            if len(head) < len(unit):
+                tail = unit[len(head) :]
+                if tail not in tails:
+                    tails[tail] = array("I", [t.id for t in plain(tail)]).tobytes()
+                made += tails[tail]
+            out[i] = made
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def __call__(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text; a null one has none."""
+        odd = [bool(t) and not t.isascii() and OTHER_SPACE.search(t) is not None for t in texts]
+        units = [[t] if x else UNITS(t or "") for t, x in zip(texts, odd)]
+        new = set(chain.from_iterable(units)).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set(chain.from_iterable(units))
+        new = list(new)
+        self.known.update(zip(new, self._encode(new)))
+        of = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(of, u)), "<u4") for u in units]
+        for u in new:
+            if len(u) > 64:
+                del self.known[u]
+        return out
