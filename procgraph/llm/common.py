@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import tempfile
 import uuid
@@ -24,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(where)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -47,14 +48,14 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def batched(docs: DataFrame, docs_per_batch: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, batch): documents dealt by their id into batches of about docs_per_batch rows.
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts; a scan of one column without a shuffle."""
+    return doc_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    The row count comes from the Parquet footers. Equal ids share a batch.
-    """
-    rows = docs.select("doc_id").count()
-    n = max(1, math.ceil(rows / docs_per_batch))
-    return doc_text(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+
+def batched(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text, batch): documents dealt by their id into n batches. Equal ids share a batch."""
+    return doc_text(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
 
 def ids_of(column) -> np.ndarray:

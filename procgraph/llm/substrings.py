@@ -7,11 +7,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from procgraph.llm.common import batched, ids_of, mix, planes, unplanes
+from procgraph.llm.common import batched, ids_of, mix, planes, text_bytes, unplanes
 from procgraph.llm.token_ids import WordMemory, hash_words, words_in
 
-#: Documents whose words one group holds at a time; windows of a batch are pre-aggregated.
-DOCS_PER_BATCH = 1024
+#: Bytes of text whose words one group holds at a time, pre-aggregating its windows, and whose windows one bucket compares. Results don't depend on them.
+BATCH_BYTES, BUCKET_BYTES = 5 << 20, 20 << 20
+#: What a second, independent hash of a window starts from: copies are settled on 128 bits.
+SECOND = np.uint64(0xA0761D6478BD642F)
 #: First-level windows travel as 48 bits: a collision only adds a candidate, which the next level settles on 64.
 SHORT = np.uint64(2**48 - 1)
 FORWARD, BACK = "bucket int, batch int, kind int, data binary", "batch int, data binary"
@@ -76,6 +78,20 @@ def unpack(data: bytes, width: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def runs(rows: np.ndarray, starts: np.ndarray) -> bytes:
+    """Windows (row, start) as runs of neighbours: the first of each run and how many there are."""
+    order = np.lexsort((starts, rows))
+    rows, starts = rows[order], starts[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (starts[1:] - starts[:-1] > 1)])) if len(rows) else np.zeros(0, int)
+    last = np.append(new[1:], len(rows))[: len(new)] - 1
+    return len(new).to_bytes(4, "little") + b"".join(planes(x.astype(np.int32)) for x in (rows[new], starts[new], starts[last] - starts[new] + 1))
+
+
+def unruns(data: bytes) -> list[np.ndarray]:
+    n = 4 * int.from_bytes(data[:4], "little")
+    return [unplanes(data[4 + i * n : 4 + (i + 1) * n], "<i4") for i in range(3)]
+
+
 def back(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"batch": pa.array([b for b, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
@@ -131,8 +147,16 @@ def repeated(dealt: DataFrame, buckets: int, length: int, halves: DataFrame | No
     return sent.groupBy("bucket").applyInArrow(meet, BACK)
 
 
+def first_of(values: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """The place of the first of each run of equal windows."""
+    if not len(values):
+        return np.zeros(0, int)
+    new = np.concatenate([[True], (values[1:] != values[:-1]) | (seconds[1:] != seconds[:-1])])
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def later_copies(dealt: DataFrame, buckets: int, length: int, halves: DataFrame, part: int) -> DataFrame:
-    """(batch, data): (row, start) of every window of `length` words whose words also start earlier."""
+    """(batch, data): runs of the windows of `length` words whose words also start earlier."""
 
     def send(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         if not len(table):
@@ -140,62 +164,66 @@ def later_copies(dealt: DataFrame, buckets: int, length: int, halves: DataFrame,
         batch, name = Batch(table), key[0].as_py()
         h = batch.hashes()
         at = _candidates(batch, h, _held(found), part, length)
-        values = window_hashes(h, length)[at]
+        values, seconds = window_hashes(h, length)[at], window_hashes(mix(h ^ SECOND), length)[at]
         rows = batch.rows[at]
         starts = (at - batch.offsets[:-1][rows]).astype(np.int32)
         docs, rows = batch.docs[rows], rows.astype(np.int32)
-        order = np.lexsort((starts, docs, values))  # the order of values, then of occurrence
-        values, docs, starts, rows = values[order], docs[order], starts[order], rows[order]
-        new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        lead = np.flatnonzero(new)
-        later = (docs != docs[lead][group]) | (starts != starts[lead][group])
+        order = np.lexsort((starts, docs, seconds, values))  # the order of values, then of occurrence
+        values, seconds, docs, starts, rows = (x[order] for x in (values, seconds, docs, starts, rows))
+        lead = first_of(values, seconds)
+        later = (docs != docs[lead]) | (starts != starts[lead])
         alike = ~later  # with the first itself, rows that repeat its doc_id
-        first = forward(name, buckets, values[alike], 8, 0, docs[alike], starts[alike], rows[alike])
-        local = forward(name, buckets, mix(values[later]), 8, 1, docs[later], starts[later], rows[later])
-        return pa.concat_tables([first, local])
+        first = forward(name, buckets, values[alike], 8, 0, seconds[alike], docs[alike], starts[alike], rows[alike])
+        data = runs(rows[later], starts[later])  # these are settled, and come back to this batch
+        own = pa.table({"bucket": pa.array([name % buckets], pa.int32()), "batch": pa.array([name], pa.int32()), "kind": pa.array([1], pa.int32()), "data": pa.array([data], pa.binary())})
+        return pa.concat_tables([first, own])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         out, names, own = [], [], []
         for b, kind, d in zip(*(table[c].to_pylist() for c in ("batch", "kind", "data"))):
-            values, docs, starts, rows = unpack(d, 8, "<i8", "<i4", "<i4")
             if kind:
-                out.append((b, len(rows).to_bytes(4, "little") + planes(rows) + planes(starts)))
+                out.append((b, d))
             else:
-                own.append((values, docs, starts, rows))
+                own.append(unpack(d, 8, "<u8", "<i8", "<i4", "<i4"))
                 names.append(b)
         if own:
-            values, docs, starts, rows = (np.concatenate(x) for x in zip(*own))
+            values, seconds, docs, starts, rows = (np.concatenate(x) for x in zip(*own))
             source = np.repeat(names, [len(o[0]) for o in own])
-            order = np.lexsort((starts, docs, values))
-            v, d, s = values[order], docs[order], starts[order]
-            new = np.concatenate([[True], v[1:] != v[:-1]])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            order = np.lexsort((starts, docs, seconds, values))
+            d, s = docs[order], starts[order]
+            lead = first_of(values[order], seconds[order])
             gone = order[(d != d[lead]) | (s != s[lead])]
-            for b in np.unique(source[gone]):
-                mine = gone[source[gone] == b]
-                out.append((int(b), len(mine).to_bytes(4, "little") + planes(rows[mine]) + planes(starts[mine])))
+            gone = gone[np.argsort(source[gone], kind="stable")]
+            of, edges = np.unique(source[gone], return_index=True)
+            out += [(int(b), runs(rows[mine], starts[mine])) for b, mine in zip(of, np.split(gone, edges[1:]))]
         return back(out)
 
     sent = dealt.groupBy("batch").cogroup(halves.groupBy("batch")).applyInArrow(send, FORWARD)
     return sent.groupBy("bucket").applyInArrow(meet, BACK)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, start: int = 10, docs_per_batch: int = DOCS_PER_BATCH) -> DataFrame:
+def shape(docs: DataFrame, batch_bytes: int, bucket_bytes: int) -> tuple[int, int]:
+    """Numbers of batches and buckets."""
+    size = text_bytes(docs)
+    return size // batch_bytes + 1, size // bucket_bytes + 1
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, start: int = 10, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every whole text without the words of windows that also start earlier.
 
     Windows of `window` words are judged on the input; earlier is a smaller
     doc_id, or the same one and an earlier start. Windows of `start` words that
     repeat are found first; those alone are extended, level by level, to twice
     the length, up to `window`, where the first of each is settled. Documents
-    move once, dealt into batches; levels exchange packed hashes by value.
+    move once, dealt into batches; levels exchange packed hashes by value. Windows of the last level are settled on 128 bits.
 
     Null and empty texts have no words. A null doc_id comes first. Rows that
     repeat a doc_id are one document: windows at the same start in them don't
     remove each other. One row for each row of docs; an empty table gives none;
     other columns aren't read.
     """
-    dealt, n = batched(docs, docs_per_batch)
+    n_batches, n = shape(docs, batch_bytes, bucket_bytes)
+    dealt = batched(docs, n_batches)
     length, held = start, repeated(dealt, n, start)
     while 2 * length < window:
         length, held = 2 * length, repeated(dealt, n, 2 * length, held, length)
@@ -207,11 +235,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int = 10, docs_per_
         batch = Batch(table)
         delta = np.zeros(len(batch.codes) + 1, np.int64)
         for d in found["data"].to_pylist():
-            k = int.from_bytes(d[:4], "little")
-            rows, starts = unplanes(d[4 : 4 + 4 * k], "<i4"), unplanes(d[4 + 4 * k :], "<i4")
+            rows, starts, many = unruns(d)
             at = batch.offsets[:-1][rows] + starts
             np.add.at(delta, at, 1)
-            np.add.at(delta, at + window, -1)
+            np.add.at(delta, at + many - 1 + window, -1)
         left = np.cumsum(delta)[:-1] == 0
         before = np.concatenate([[0], np.cumsum(left)])
         edges = before[batch.offsets]
@@ -226,11 +253,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int = 10, docs_per_
     return dealt.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def repeat_levels(docs: DataFrame, start: int = 10, docs_per_batch: int = DOCS_PER_BATCH) -> list[tuple[int, DataFrame]]:
+def repeat_levels(docs: DataFrame, start: int = 10, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> list[tuple[int, DataFrame]]:
     """(length, repeated windows by batch) of every level, doubled until no candidates survive."""
     from procgraph.llm.common import cut
 
-    dealt, n = batched(docs, docs_per_batch)
+    n_batches, n = shape(docs, batch_bytes, bucket_bytes)
+    dealt = batched(docs, n_batches)
     length, held, levels = start, cut(repeated(dealt, n, start)), []
     while not held.isEmpty():
         levels.append((length, held))
