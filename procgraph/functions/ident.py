@@ -88,3 +88,32 @@ def bump(text: Column, kind: str) -> Column:
     base = F.regexp_replace(pre, r"[0-9]+$", "")
     counted = F.when(number == "", F.concat(pre, F.lit(".1"))).otherwise(F.concat(base, (number.cast("bigint") + 1).cast("string")))
     return F.when(pre == "", F.concat(join(major, minor, patch + 1), F.lit("-alpha.1"))).otherwise(F.concat(join(major, minor, patch), F.lit("-"), counted))
+
+
+def next_version(text: Column, kind: str, tag: str = "rc") -> Column:
+    """The version after `kind` of change; build metadata is dropped, an invalid version gives null.
+
+    major, minor and patch of a pre-release only complete it; premajor, preminor and prepatch count on and add the tag;
+    prerelease adds the tag to the next patch, or counts on in its own tag, or starts another one; release drops the pre-release.
+    """
+    major, minor, patch, pre = (version_part(text, p) for p in ("major", "minor", "patch", "pre"))
+    dotted = lambda *parts: F.concat_ws(".", *[p.cast("string") for p in parts])
+    core, zero, tagged = dotted(major, minor, patch), F.lit(0), lambda c: F.concat(c, F.lit(f"-{tag}"))
+    counted = {"major": dotted(major + 1, zero, zero), "minor": dotted(major, minor + 1, zero), "patch": dotted(major, minor, patch + 1)}
+    if kind == "release":
+        out = core
+    elif kind in counted:
+        out = F.when(pre != "", core).otherwise(counted[kind])
+    elif kind.removeprefix("pre") in counted:
+        out = tagged(counted[kind.removeprefix("pre")])
+    else:
+        number = F.regexp_extract(pre, f"^{tag}\\.([0-9]+)$", 1)
+        out = F.when(pre == "", tagged(counted["patch"])).when(pre == tag, F.concat(tagged(core), F.lit(".1")))
+        out = out.when(number != "", F.concat(tagged(core), F.lit("."), (number.cast("bigint") + 1).cast("string"))).otherwise(tagged(core))
+    return F.when(major.isNotNull(), out)
+
+
+def camel(name: Column) -> Column:
+    """snake_case as camelCase."""
+    parts = F.split(name, "_")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 2**31 - 1))))), "")

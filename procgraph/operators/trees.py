@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procgraph.operators.graph import cut
+
 # Tags that hold other activities.
 CONTAINERS = (
     "Sequence", "If", "TryCatch", "Parallel", "Pick", "Switch",
@@ -52,3 +54,31 @@ def containers(nodes: DataFrame, tree: list[str]) -> DataFrame:
     """Each node with its container: the parent, if that is one."""
     up = nodes.where(F.col("tag").isin(*CONTAINERS)).select(*tree, F.col("id").alias("parent"), F.col("tag").alias("container"))
     return nodes.join(up, [*tree, "parent"], "left").withColumn("is_container", F.col("tag").isin(*CONTAINERS))
+
+
+# Parts of a path that are branches of a container.
+BRANCHES = ("Then", "Else", "Catch", "Finally", "Body", "Default", "Cases", "Activities", "Triggers", "Actions")
+
+
+def branch_of(path: Column) -> Column:
+    """The first part of a path, without its index, that is a branch of a container; null without one."""
+    parts = F.transform(F.split(path, "/"), lambda p: F.split(p, r"\[")[0])
+    return F.try_element_at(F.filter(parts, lambda p: p.isin(*BRANCHES)), F.lit(1))
+
+
+def by_branch(nodes: DataFrame, tree: list[str]) -> DataFrame:
+    """Activities of each container's branches, Body where a path names none: nodes has node_id and parent."""
+    return nodes.groupBy(*tree, "parent", F.coalesce(branch_of(F.col("node_id")), F.lit("Body")).alias("branch")).agg(F.count("*").alias("n"))
+
+
+def flatten(nodes: DataFrame, most: int = 100) -> DataFrame:
+    """nodes(id, parent, name) with path: the names from the root down, joined by dots. One join a level, over that level's nodes alone."""
+    level = nodes.where("parent is null").withColumn("path", F.col("name"))
+    out, below = level, nodes.where("parent is not null")
+    for _ in range(most):
+        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        level = cut(below.join(up, "parent").withColumn("path", F.concat_ws(".", "above", "name")).select(*out.columns))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"a tree of more than {most} levels, or a circle of parents")

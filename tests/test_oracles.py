@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from procgraph import suite, suite_checks  # noqa: F401
+from procgraph import suite, suite_checks, suite_listing  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
