@@ -156,14 +156,24 @@ def crp_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, s
 
 
 def tabulated(c: np.ndarray, log_g: np.ndarray, u: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of dishes with 2 to TABULATED customers, from the weights of every number of tables."""
+    """Tables of dishes with 2 to TABULATED customers, from the weights of every number of tables.
+
+    The n-th customer opens one with a probability below g / ((1 - discount) n), so the tables after the first are rarer than
+    in a Poisson law of that mean: weights go as far as it leaves more than 1e-17, with most dishes to a few tables.
+    """
     tables, logs = np.ones(len(c), np.int64), log_stirling(discount)
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(TABULATED + 2))
-    for n in range(2, TABULATED + 1):
-        for at in range(edges[n], edges[n + 1], 400_000 // n):
-            some = order[at : min(at + 400_000 // n, edges[n + 1])]
-            w = logs[n, 1 : n + 1] + log_g[some, None] * np.arange(1, n + 1)
+    log_mean = log_g - math.log(1 - discount) + np.log(1 + np.log(c))
+    ladder = np.unique(np.concatenate([[2, 3], np.round(4 * 1.3 ** np.arange(23)).astype(int), [TABULATED]]))
+    wide = np.full(len(c), TABULATED)
+    for k in ladder[::-1]:
+        wide[(k * (1 + log_mean - math.log(k)) < -39) & (log_mean < math.log(k))] = k
+    wide = ladder[np.searchsorted(ladder, np.minimum(wide, c))]
+    order = np.argsort(wide, kind="stable")
+    edges = np.searchsorted(wide[order], ladder), np.searchsorted(wide[order], ladder, "right")
+    for k, first, last in zip(ladder.tolist(), *(e.tolist() for e in edges)):
+        for at in range(first, last, max(1, 400_000 // k)):
+            some = order[at : min(at + max(1, 400_000 // k), last)]
+            w = logs[c[some], 1 : k + 1] + log_g[some, None] * np.arange(1, k + 1)
             w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
             tables[some] = 1 + (w[:, :-1] < (u[some] * w[:, -1])[:, None]).sum(1)
     return tables
@@ -180,20 +190,22 @@ def by_series(c: np.ndarray, log_g: np.ndarray, mean: np.ndarray, u: np.ndarray,
     low = np.maximum(1, np.floor(mean).astype(np.int64) - wide)
     width = np.minimum(np.floor(mean).astype(np.int64) + wide, c) - low + 1
     order, at = np.argsort(width, kind="stable"), 0
-    j = np.arange(1, 65)
-    of_j = log_gamma(j * discount + 1.0) - log_gamma(j + 1.0)
-    sign = -np.sin(np.pi * j * discount) * np.where(j % 2, -1.0, 1.0)
+    all_j = np.arange(1, 225)
+    of_all = log_gamma(all_j * discount + 1.0) - log_gamma(all_j + 1.0)
+    all_signs = -np.sin(np.pi * all_j * discount) * np.where(all_j % 2, -1.0, 1.0)
+    ratio = (low + width) / c.astype(float) ** discount  # of terms that follow each other, about
     while at < len(order):
-        some = order[at : at + max(1, int(1_000_000 // (64 * width[order[min(at + 200, len(order) - 1)]])))]
+        some = order[at : at + max(1, int(1_000_000 // (128 * width[order[min(at + 200, len(order) - 1)]])))]
         at += len(some)
+        terms = next(n for z, n in ((0.08, 16), (0.3, 32), (0.8, 64), (1.4, 128), (np.inf, 224)) if ratio[some].max() <= z)
+        j, of_j, sign = all_j[:terms], of_all[:terms], all_signs[:terms]
         t = low[some, None] + np.arange(width[some].max())
         upto = (np.arange(t.shape[1]) < width[some, None]) & (t <= c[some, None])
         t = np.minimum(t, c[some, None]).astype(float)
         n = c[some, None].astype(float)
         of_c = log_gamma(np.maximum(n - j * discount, 0.1)) - log_gamma(n)
         choose = log_gamma(t + 1)[:, :, None] - log_gamma(np.maximum(t[:, :, None] - j + 1, 1.0))
-        terms = np.exp(choose + (of_c + of_j)[:, None, :]) * sign * (t[:, :, None] >= j)
-        total = terms.sum(2)
+        total = (np.exp(choose + (of_c + of_j)[:, None, :]) * sign * (t[:, :, None] >= j)).sum(2)
         w = np.log(np.maximum(total, 1e-300)) + t * (log_g[some, None] - math.log(discount)) - log_gamma(t + 1)
         w = np.where(upto & (total > 0), w, -np.inf)
         w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
@@ -232,7 +244,7 @@ def draw_tables(c: np.ndarray, g: np.ndarray, key: np.ndarray, discount: float,
         low, high = np.where(small, a, low), np.where(small, high, a)
     a = np.maximum((low + high) / 2, -discount * (1 - 1e-9))
     mean = np.clip((g[many] - a) / discount, 1, n)
-    calm = mean + 9 * np.sqrt(mean) + 12 <= 1.2 * n**discount
+    calm = mean + 9 * np.sqrt(mean) + 12 <= 2 * n**discount
     one, two = many[calm], many[~calm]
     tables[one] = by_series(c[one], log_g[one], mean[calm], u[one], discount)
     tables[two] = by_rejection(c[two], log_g[two], a[~calm], key[two], discount, salt)
@@ -260,7 +272,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Ta
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
-    """(slice, data): doc_ids, numbers of words, distinct words as sorted hashes and each word's place among them."""
+    """(slice, data): doc_ids, numbers of words, distinct words as hashes, the most frequent first, and each word's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -268,9 +280,13 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         memory, part = WordMemory(hash_words, 150_000), TaskContext.get().partitionId()
         for number, rows in enumerate(slices(batches, model.slice_bytes)):
             codes, offsets, words = words_in(lower(texts_of(rows)))
-            hashes, rank = np.unique(np.array(memory(words.to_pylist()), np.uint64), return_inverse=True)
+            hashes, place = np.unique(np.array(memory(words.to_pylist()), np.uint64), return_inverse=True)
+            codes = place[codes]
+            order = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")  # frequent words have small codes, which compress
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
             ids = np.array([-(2**63) if x is None else x for x in rows["doc_id"].to_pylist()], np.int64)
-            data = pack(ids, np.diff(offsets).astype(np.uint32), hashes, rank[codes].astype(np.uint32))
+            data = pack(ids, np.diff(offsets).astype(np.uint32), hashes[order], rank[codes])
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([data], pa.binary())], names=["slice", "data"])
 
     return doc_text(docs).mapInArrow(run, "slice long, data binary")
@@ -281,7 +297,10 @@ class Slice:
 
     def __init__(self, data: bytes, buckets: int, spread: np.ndarray):
         self.ids, n, hashes, codes = unpack(data)
-        n = n.astype(np.int64)
+        order = np.argsort(hashes)  # lists in the order of hashes compress
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hashes, codes, n = hashes[order], rank[codes], n.astype(np.int64)
         ends = np.cumsum(n + 1) - 1
         total = int(ends[-1]) + 1 if len(ends) else 0
         is_end = np.zeros(total, bool)
