@@ -432,12 +432,102 @@ def test_oracles(spark, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def components_of(texts, width):
+    """The brute-force answer: smallest id reachable by links of 0.8 and more, for every id."""
+    sets = {}
+    for i, t in texts.items():
+        w = WORDS((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    of, ids = {i: i for i in sets}, sorted(sets)
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            one, two = sets[a], sets[b]
+            if one and 100 * min(len(one), len(two)) >= 80 * max(len(one), len(two)) and 100 * len(one & two) >= 80 * len(one | two):
+                x, y = sorted((root(a), root(b)))
+                of[y] = x
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_of_a_thousand_documents(spark, width):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = components_of({r["doc_id"]: r["text"] for r in docs.collect()}, width)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, near_dedup.Rule(width=width)).collect()}
+    assert got == want
+
+
 def test_pipeline(spark):
+    """Each stage on its own input, against brute force or what its operator, tested above, says."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: stages[name](spark, df, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, "/root/testdata/sf0.001")
-        assert docs.columns == want, name
+    good = run("quality rules", docs).cache()
+    assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in fertility.judge(docs).where("kept").collect()}
+    lines = run("line dedup", good).cache()
+    texts = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert texts == kept_lines({r["doc_id"]: r["text"] for r in good.collect()})
+    one = run("near-dedup", lines).cache()
+    assert {r["doc_id"] for r in one.collect()} == {i for i, c in components_of(texts, 5).items() if i == c}
+    mixed = run("mixing", one).cache()
+    taken = Counter(r["doc_id"] for r in mixed.collect())
+    assert taken == {r["doc_id"]: r["__copies"] for r in mixing.mix(one).collect() if r["__copies"]}
+    assert [df.columns for df in (good, lines, one, mixed)] == [want] * 4
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    pieces = Counter()
+    for r in run("packing", mixed).collect():
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces == {i: n * (len(t.encode(texts[i], add_special_tokens=False).ids) + 1) for i, n in taken.items()}
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_fertility_measures(docs):
+    """Tokens, shares and entropy of every text by the libraries themselves, one word at a time; the verdict from them and the fences."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    rows = fertility.judge(docs)
+    fences = {r["fence"]: r for r in fertility.fences(fertility.measure(docs)).collect()}
+    for r in rows.collect():
+        words = WORDS(TEXTS[r["doc_id"]] or "")[:3000]
+        if len(words) == 3000:
+            continue
+        ids = [i for w in words for i in pieces.encode(w)]
+        assert (r["n_symbols"], r["n_tokens"]) == (sum(len(re.findall("[#*$%&|<>]", w)) for w in words), len(ids))
+        if not ids:
+            assert r["chars_per_token"] is None
+            continue
+        chars, of_bytes = sum(map(len, words)), sum(len(t.encode(" " + w, add_special_tokens=False).ids) for w in words)
+        p = np.array(list(Counter(ids).values())) / len(ids)
+        measures = chars / len(ids), chars / of_bytes, sum(map(pieces.is_byte, ids)) / len(ids), float(-(p * np.log2(p)).sum())
+        assert np.allclose(measures, [r[c] for c in ("chars_per_token", "chars_per_byte_token", "byte_fallback_share", "token_entropy")])
+        band, fence = fertility.BANDS[r["band"]], fences[r["fence"]]
+        slack = max(1.0, fence["usual_tokens"] / len(ids)) ** 0.5
+        fits = all(band["least_chars"] <= x <= band["most_chars"] for x in measures[:2]) and measures[2] <= band["most_fallback"]
+        fits &= all(abs(r[c] - fence[f"{c}_fence"]["middle"]) <= 5 * slack * fence[f"{c}_fence"]["sigma"] for c in fertility.FENCED)
+        assert r["kept"] == (fits and not r["base_failed"])
+
+
+def test_fingerprints_estimate_jaccard(spark):
+    """Likeness is within 3 standard errors of the generalised Jaccard similarity over a thousand pairs, and unbiased; equal texts have equal fingerprints."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 40) % 50) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000, texts[0])], "doc_id long, text string")
+    got, errors = by_id(fingerprints.fingerprint(docs)), []
+    assert got[0]["fingerprint"] == got[1000]["fingerprint"]
+    for i in range(999):
+        a, b = Counter(WORDS(texts[i])), Counter(WORDS(texts[i + 1]))
+        j = sum((a & b).values()) / sum((a | b).values())
+        errors.append((got[i]["near_next"] - j) / np.sqrt(max(j * (1 - j), 0.01) / 32))
+    assert abs(np.mean(errors)) < 3 / np.sqrt(len(errors)) * 1.2 and np.mean(np.abs(errors) > 3) < 0.01
