@@ -47,9 +47,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
 
 
 def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None, targets: dict) -> DataFrame:
-    """(row, size, source_size, target, copies): row is the whole row of docs, so that its columns never clash."""
+    """size, source_size, target and copies of every row, with the columns of docs as row_0, row_1 ..., so that they never clash and those not asked for don't move."""
     size = n_words(F.col("text").cast("string"))
-    sized = docs.select(F.struct("*").alias("row"), size.alias("size"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), (quality if quality is not None else length_quality(size)).alias("weight"))
+    sized = docs.select(*[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(docs.columns)], size.alias("size"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), (quality if quality is not None else length_quality(size)).alias("weight"))
     sized = sized.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     key = F.when(F.col("weight") > 0, F.pow(uniform(F.col("id"), seed), 1 / F.col("weight")))
     sized = sized.withColumn("key", F.coalesce(key, F.lit(0.0)))
@@ -71,7 +71,11 @@ def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None,
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     nearer = 2 * (F.col("budget") - F.col("start")) >= F.col("size")  # its end lies no further beyond than its start before
     copies = F.col("epochs") + ((F.col("start") < F.col("budget")) & nearer).cast("long")
-    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select(*[f"row_{i}" for i in range(len(docs.columns))], "size", "source_size", "target", copies.alias("copies"))
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"row_{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
 def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int | None = None, **targets) -> DataFrame:
@@ -96,10 +100,10 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int
     """
     added = {"__size": "size", "__source_size": "source_size", "__target": "target", "__copies": "copies"}
     docs = docs.drop(*added, "__taken")
-    return _mixed(docs, quality, seed, bins, targets).select("row.*", *(F.col(c).alias(a) for a, c in added.items()), (F.col("copies") * F.col("size")).alias("__taken"))
+    return _mixed(docs, quality, seed, bins, targets).select(*_named(docs), *(F.col(c).alias(a) for a, c in added.items()), (F.col("copies") * F.col("size")).alias("__taken"))
 
 
 def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: int = 0, bins: int | None = None, **targets) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with all its own columns."""
     mixed = _mixed(docs, quality, seed, bins, targets).where("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*_named(docs))
