@@ -12,6 +12,7 @@ from procgraph.llm.common import read
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text has no words and fails the base rule. See fertility.judge."""
     return fertility.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_tokens", "chars_per_token", "chars_per_byte_token", "byte_fallback_share", "token_entropy", "band",
@@ -19,37 +20,45 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text has no words, rows of one doc_id are one document. See substrings.remove_repeats."""
     kept = substrings.remove_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text has no spans. See secrets.scan."""
     return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
 
 
 def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; texts without words have the fingerprint "". See fingerprints.fingerprint."""
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
 def op5_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; texts without words are linked with nothing. See near_dedup.near_duplicates."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), near_dedup.Rule(width=2))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text is one empty line. See line_dedup.dedup."""
     kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("__kept.text"), F.lit("")), 256)
     return kept.select("doc_id", F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece; a null text has its end id alone. See packing.pack."""
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each doc_id; a null text has its end token alone. See pitman_yor.score."""
     return pitman_yor.score(read(spark, sf_dir, "documents"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text has size 0, a null source is one. See mixing.mix."""
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
@@ -58,6 +67,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, read from the files; a null text has its end id alone. See token_files.write_token_files."""
     return token_files.token_table(read(spark, sf_dir, "documents"))
 
 
