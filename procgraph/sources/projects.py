@@ -1,4 +1,4 @@
-"""Project folders as DataFrames: metadata, workflow catalog, XML nodes, coded workflows."""
+"""Project folders as DataFrames: metadata, workflow catalog, XML nodes with visual ids, coded workflows and calls."""
 
 from __future__ import annotations
 
