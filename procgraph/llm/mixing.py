@@ -49,7 +49,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
 def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None, targets: dict) -> DataFrame:
     """size, source_size, target and copies of every row, with the columns of docs as row_0, row_1 ..., so that they never clash and those not asked for don't move."""
     size = n_words(F.col("text").cast("string"))
-    sized = docs.select(*[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(docs.columns)], size.alias("size"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), (quality if quality is not None else length_quality(size)).alias("weight"))
+    sized = docs.select(*[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(docs.columns)], size.alias("size"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), (quality if quality is not None else F.lit(None)).alias("weight"))
+    if quality is None:
+        sized = sized.withColumn("weight", length_quality(F.col("size")))  # the size is counted once
     sized = sized.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     key = F.when(F.col("weight") > 0, F.pow(uniform(F.col("id"), seed), 1 / F.col("weight")))
     sized = sized.withColumn("key", F.coalesce(key, F.lit(0.0)))
