@@ -1,4 +1,4 @@
-"""The ten registered queries: each derives its contract's columns from an operator of this subpackage."""
+"""The registered queries: each derives its contract's columns from an operator of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.llm import fertility, fingerprints, line_dedup, mixing, near_dedup, packing, pitman_yor, secrets, substrings, token_files
+from procgraph.llm import clustering, fertility, filter_audit, fingerprints, line_dedup, mixing, near_dedup, packing, pitman_yor, secrets, substrings, token_files, trie_bpe
 from procgraph.llm.common import read
 
 
@@ -71,6 +71,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 rows for each source of documents; null and empty sources are one. See filter_audit.audit."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; a null text has no ids. See trie_bpe.encode and trie_bpe.decode."""
+    decoded = trie_bpe.decode(trie_bpe.encode(read(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_block_norm_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of embeddings with 64 finite components. See clustering.cluster."""
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pitman_yor,
         op9_source_mixing,
         op10_token_files,
+        op11_filter_audit,
+        op12_trie_bpe,
+        op13_block_norm_clustering,
     )
 }
 
@@ -157,3 +176,72 @@ WITH words AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS first FROM docs GROUP BY text
+), known AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+        len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 5 * length(d.text),
+        regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS fails
+    FROM docs d JOIN firsts f ON d.text = f.text LEFT JOIN known k ON d.doc_id = k.doc_id
+), kinds AS (
+    SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL
+), letters AS (
+    SELECT unnest([1, 2, 3, 4, 5]) AS f
+), orders AS (
+    SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, array_to_string(list_transform([a.f, b.f, c.f, d.f, e.f], lambda x: substr('ABCDE', x, 1)), '') AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+    SELECT filter_order, fs, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM orders
+), met AS (
+    SELECT part, filter_order, step, fs[step] AS f, good, toxic, n, fails[fs[step]] AS failed, list_bool_or(list_transform(fs[1:step - 1], lambda x: fails[x])) AS gone_before,
+        list_count(list_filter(fails, lambda x: x)) = 1 AS one
+    FROM kinds, steps
+), counted AS (
+    SELECT part, filter_order, step, f,
+        coalesce(sum(n) FILTER (WHERE NOT failed AND NOT coalesce(gone_before, false)), 0) AS kept,
+        coalesce(sum(n) FILTER (WHERE failed AND NOT coalesce(gone_before, false)), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE failed AND gone_before), 0) AS redundant,
+        coalesce(sum(n) FILTER (WHERE failed AND one), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (WHERE failed AND NOT coalesce(gone_before, false) AND good), 0) AS good_lost,
+        coalesce(sum(n) FILTER (WHERE failed AND NOT coalesce(gone_before, false) AND toxic), 0) AS toxic_lost
+    FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+_ROUND = """, near{i} AS MATERIALIZED (
+    SELECT any_value(vec_id) AS vec_id, any_value(x) AS x, min_by(j, (d, j)) AS cluster, min(d) AS distance
+    FROM (SELECT nth, vec_id, x, j, CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT) AS d FROM vectors, centroids{i})
+    GROUP BY nth
+), centroids{n} AS MATERIALIZED (
+    SELECT j, coalesce(mean, c) AS c FROM centroids{i} LEFT JOIN (
+        SELECT cluster, list(CAST(floor(total / n) AS DOUBLE) ORDER BY place) AS mean
+        FROM (SELECT cluster, place, sum(v) AS total, count(*) AS n FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{i}) GROUP BY cluster, place)
+        GROUP BY cluster
+    ) ON j = cluster
+)"""
+
+ORACLES["op13_block_norm_clustering"] = (
+    """
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), centroids0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS j, x AS c FROM vectors ORDER BY sha256('2:' || vec_id) LIMIT 40
+)"""
+    + "".join(_ROUND.format(i=i, n=i + 1) for i in range(6))
+    + """
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM near5 JOIN centroids5 ON j = cluster
+"""
+)
