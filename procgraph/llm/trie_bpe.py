@@ -18,6 +18,12 @@ from procgraph.llm.token_ids import WordEncoder, text_batches, texts_of, vocabul
 
 #: Symbols up to which a piece goes into the trie; a longer one shares no prefix worth a node a symbol and is walked alone.
 LONGEST_IN_TRIE = 64
+#: Bytes of text whose new words are one trie, words and pairs of tokens that a task remembers: some 130 MB together.
+TRIE_BYTES = 2 << 20
+MOST_WORDS = 400_000
+MOST_CHECKED = 200_000
+#: Tokens that are decoded at once, about.
+DECODED = 1 << 20
 
 
 class Merges:
@@ -41,7 +47,7 @@ class Merges:
             left, right, made = vocab[a], vocab[b], vocab[a + b]
             if made in self.rank or max(self.rank.get(left, -1), self.rank.get(right, -1)) >= rank:
                 raise ValueError(f"{a} + {b} has several merges, or one before those of its parts")
-            self.rank[made], self.parts[made], self.pairs[left, right] = rank, (left, right), rank
+            self.rank[made], self.parts[made], self.pairs[left << 20 | right] = rank, (left, right), rank
         whole_tokens = {t for t in vocab.values() if t not in self.parts}
         for made, (left, right) in self.parts.items():  # parts come before what they make
             if left in whole_tokens and right in whole_tokens and self._border(left, right, self.rank[made]):
@@ -50,7 +56,7 @@ class Merges:
         self.ending = {s[: -len(suffix)]: t for s, t in tokens if s.endswith(suffix)}
         self.inner = {s: t for s, t in tokens if not s.endswith(suffix)}
         self.longest = max(map(len, [*self.ending, *self.inner]))
-        self.names = {t: s for s, t in vocab.items()} | {x["id"]: x["content"] for x in whole["added_tokens"]}
+        self.inner_reach, self.ending_reach = self._reach(self.inner), self._reach(self.ending)
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in whole["added_tokens"]):
             raise ValueError("added tokens must be plain strings")
@@ -64,7 +70,7 @@ class Merges:
         """
         rank, none, tied = self.rank, -1, False
         while True:
-            own = self.pairs.get((left, right))
+            own = self.pairs.get(left << 20 | right)
             if own is not None and (own < until or own == until and tied):
                 return False
             a, b = rank.get(left, none), rank.get(right, none)
@@ -79,25 +85,39 @@ class Merges:
         key = left << 20 | right
         known = self.checked.get(key)
         if known is None:
-            if len(self.checked) > 2_000_000:
+            if len(self.checked) > MOST_CHECKED:
                 self.checked.clear()
             known = self.checked[key] = self._border(left, right, float("inf"))
         return known
 
-    def last_token(self, tokens: dict[str, int], recent: str, depth: int, last: list[int]) -> tuple[int, int]:
+    @staticmethod
+    def _reach(tokens: dict[str, int]) -> dict[str, int]:
+        """The longest token with each ending of three symbols, so that no longer one is tried."""
+        out: dict[str, int] = {}
+        for token in tokens:
+            out[token[-3:]] = max(len(token), out.get(token[-3:], 2))
+        return out
+
+    def last_token(self, tokens: dict[str, int], reach: dict[str, int], recent: str, depth: int, last: list[int]) -> tuple[int, int]:
         """(last token, depth before it) of the prefix of `depth` symbols that ends with `recent`; last has the states of shorter ones."""
-        for at in range(depth - len(recent), depth):
-            token = tokens.get(recent[at - depth :])
-            if token is not None and (at == 0 or self.fits(last[at], token)):
-                return token, at
+        get, checked, size = tokens.get, self.checked, len(recent)
+        for length in range(min(size, reach.get(recent[-3:], 2)), 0, -1):
+            token = get(recent[size - length :])
+            if token is not None:
+                at = depth - length
+                if at == 0:
+                    return token, 0
+                fits = checked.get(last[at] << 20 | token)
+                if fits or fits is None and self.fits(last[at], token):
+                    return token, at
         raise ValueError(f"no token of the vocabulary ends {recent!r}")
 
     def walk(self, piece: str) -> bytes:
         """Ids of a piece along its own path."""
         last, before, most = [0] * (len(piece) + 1), [0] * (len(piece) + 1), self.longest
         for depth in range(1, len(piece)):
-            last[depth], before[depth] = self.last_token(self.inner, piece[max(0, depth - most) : depth], depth, last)
-        return self.path(*self.last_token(self.ending, piece[-most:], len(piece), last), last, before)
+            last[depth], before[depth] = self.last_token(self.inner, self.inner_reach, piece[max(0, depth - most) : depth], depth, last)
+        return self.path(*self.last_token(self.ending, self.ending_reach, piece[-most:], len(piece), last), last, before)
 
     @staticmethod
     def path(token: int, depth: int, last: list[int], before: list[int]) -> bytes:
@@ -116,21 +136,42 @@ class Merges:
                 continue
             node = root
             for symbol in piece:
-                node = node.setdefault(symbol, {})
+                below = node.get(symbol)
+                if below is None:
+                    below = node[symbol] = {}
+                node = below
             node[""] = piece
-        last, before, most, inner, ending = [0] * (LONGEST_IN_TRIE + 1), [0] * (LONGEST_IN_TRIE + 1), self.longest, self.inner, self.ending
+        last, before, most = [0] * (LONGEST_IN_TRIE + 1), [0] * (LONGEST_IN_TRIE + 1), self.longest
+        get, reach, checked = self.inner.get, self.inner_reach.get, self.checked.get
         stack = [(1, symbol, node) for symbol, node in root.items()]
         while stack:
             depth, recent, node = stack.pop()
             if (piece := node.pop("", None)) is not None:
-                found[piece] = self.path(*self.last_token(ending, recent, depth, last), last, before)
+                found[piece] = self.path(*self.last_token(self.ending, self.ending_reach, recent, depth, last), last, before)
             if node:
-                last[depth], before[depth] = self.last_token(inner, recent, depth, last)
-                for symbol, child in node.items():
-                    stack.append((depth + 1, (recent + symbol)[-most:], child))
+                size = len(recent)
+                length = min(size, reach(recent[-3:], 2))
+                while True:  # as last_token, without a call for each node
+                    if (token := get(recent[size - length :])) is not None:
+                        at = depth - length
+                        if at == 0 or (fits := checked(last[at] << 20 | token)) or fits is None and self.fits(last[at], token):
+                            break
+                    length -= 1
+                last[depth], before[depth] = token, at
+                recent = recent[1 - most :]
+                stack += [(depth + 1, recent + symbol, child) for symbol, child in node.items()]
         return found
 
 
+@lru_cache(maxsize=2)
+def names_of(path: str) -> list[str]:
+    """The string of each id, special tokens included; "" where there is none."""
+    with open(path) as f:
+        whole = json.load(f)
+    names = {t: s for s, t in whole["model"]["vocab"].items()} | {x["id"]: x["content"] for x in whole["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
 @lru_cache(maxsize=2)
 def merges_of(path: str) -> Merges:
     return Merges(path)
@@ -142,13 +183,15 @@ class TrieEncoder(WordEncoder):
     Normal forms, lower case and the cut of words into pieces are the library's; its merges aren't used.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         super().__init__(path, most)
         self.merges = merges_of(path)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
 
     def _pieces(self, word: str) -> list[str]:
         """The byte-level pieces of a word without special tokens."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         head = word.rstrip(".,;:!?")
         if head.isalpha() and max(head) <= "\u1fff" and "\u03a3" not in head and is_normalized("NFC", head):
             small = head.lower()
@@ -180,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(vocabulary)
-        for table in text_batches(batches):
+        for table in text_batches(batches, TRIE_BYTES):
             data, ends = encoder(texts_of(table))
             offsets = pa.py_buffer((4 * ends).astype(np.int64).tobytes())
             ids = pa.Array.from_buffers(pa.large_binary(), len(table), [None, offsets, pa.py_buffer(data)]).cast(pa.binary())
@@ -194,10 +237,14 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = merges_of(vocabulary).names
-        name = [names.get(i, "") for i in range(max(names) + 1)].__getitem__
-        for batch in batches:
-            texts = [" ".join(map(name, np.frombuffer(x, "<u4").tolist())) for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+        name = names_of(vocabulary).__getitem__
+        for whole in batches:
+            done = np.cumsum(whole["n_tokens"].to_numpy())
+            start = 0
+            while start < len(whole):
+                end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + DECODED, "right")))
+                batch, start = whole.slice(start, end - start), end
+                texts = [" ".join(map(name, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch["ids"]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
