@@ -41,6 +41,8 @@ class Merges:
         suffix, vocab = model["end_of_word_suffix"] or "", model["vocab"]
         if model["continuing_subword_prefix"] or model["ignore_merges"] or model["dropout"] or not suffix:
             raise ValueError("not a plain BPE vocabulary with an end-of-word suffix")
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("ids beyond 16 bits")
         self.rank, self.parts, self.pairs, self.checked = {}, {}, {}, {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -55,7 +57,6 @@ class Merges:
         tokens = [(s, t) for s, t in vocab.items() if t in whole_tokens]
         self.ending = {s[: -len(suffix)]: t for s, t in tokens if s.endswith(suffix)}
         self.inner = {s: t for s, t in tokens if not s.endswith(suffix)}
-        self.longest = max(map(len, [*self.ending, *self.inner]))
         self.inner_reach, self.ending_reach = self._reach(self.inner), self._reach(self.ending)
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in whole["added_tokens"]):
@@ -82,7 +83,7 @@ class Merges:
                 until, right, tied = b, self.parts[right][0], True
 
     def fits(self, left: int, right: int) -> bool:
-        key = left << 20 | right
+        key = left << 16 | right
         known = self.checked.get(key)
         if known is None:
             if len(self.checked) > MOST_CHECKED:
@@ -98,68 +99,83 @@ class Merges:
             out[token[-3:]] = max(len(token), out.get(token[-3:], 2))
         return out
 
-    def last_token(self, tokens: dict[str, int], reach: dict[str, int], recent: str, depth: int, last: list[int]) -> tuple[int, int]:
-        """(last token, depth before it) of the prefix of `depth` symbols that ends with `recent`; last has the states of shorter ones."""
-        get, checked, size = tokens.get, self.checked, len(recent)
-        for length in range(min(size, reach.get(recent[-3:], 2)), 0, -1):
-            token = get(recent[size - length :])
-            if token is not None:
-                at = depth - length
-                if at == 0:
-                    return token, 0
-                fits = checked.get(last[at] << 20 | token)
-                if fits or fits is None and self.fits(last[at], token):
-                    return token, at
-        raise ValueError(f"no token of the vocabulary ends {recent!r}")
-
-    def walk(self, piece: str) -> bytes:
-        """Ids of a piece along its own path."""
-        last, before, most = [0] * (len(piece) + 1), [0] * (len(piece) + 1), self.longest
-        for depth in range(1, len(piece)):
-            last[depth], before[depth] = self.last_token(self.inner, self.inner_reach, piece[max(0, depth - most) : depth], depth, last)
-        return self.path(*self.last_token(self.ending, self.ending_reach, piece[-most:], len(piece), last), last, before)
-
-    @staticmethod
-    def path(token: int, depth: int, last: list[int], before: list[int]) -> bytes:
-        ids = [token]
+    def states(self, piece: str, start: int, end: int, last: list[int], before: list[int]) -> None:
+        """Sets the states of the prefixes of start to end symbols: last token and depth before it; those of shorter ones are set."""
+        get, reach, checked = self.inner.get, self.inner_reach.get, self.checked.get
+        for depth in range(start, end + 1):
+            length = reach(piece[max(0, depth - 3) : depth], 2)
+            if length > depth:
+                length = depth
+            while True:
+                if (token := get(piece[depth - length : depth])) is not None:
+                    at = depth - length
+                    if at == 0 or (fits := checked(last[at] << 16 | token)) or fits is None and self.fits(last[at], token):
+                        break
+                length -= 1
+            last[depth], before[depth] = token, at
+
+    def ids(self, piece: str, last: list[int], before: list[int]) -> bytes:
+        """Ids of a piece from the states of its prefixes: the token that fits and ends the word, then back from state to state."""
+        size = len(piece)
+        length = min(size, self.ending_reach.get(piece[-3:], 2))
+        while (token := self.ending.get(piece[size - length :])) is None or length < size and not self.fits(last[size - length], token):
+            length -= 1
+        ids, depth = [token], size - length
         while depth:
             ids.append(last[depth])
             depth = before[depth]
-        return array("I", ids[::-1]).tobytes()
+        ids.reverse()
+        return array("I", ids).tobytes()
+
+    def walk(self, piece: str) -> bytes:
+        """Ids of a piece along its own path."""
+        last, before = [0] * len(piece), [0] * len(piece)
+        self.states(piece, 1, len(piece) - 1, last, before)
+        return self.ids(piece, last, before)
 
     def encode(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece: a depth-first walk over the trie of them all sets the state of every prefix once."""
+        """Ids of each piece: a depth-first walk over the trie of them all sets the state of every shared prefix once.
+
+        A node maps symbols to nodes, or to a piece where no other has the same prefix; "" is the piece that ends there.
+        """
         found, root = {}, {}
         for piece in pieces:
             if len(piece) > LONGEST_IN_TRIE:
                 found[piece] = self.walk(piece)
                 continue
             node = root
-            for symbol in piece:
+            for depth, symbol in enumerate(piece, 1):
                 below = node.get(symbol)
                 if below is None:
-                    below = node[symbol] = {}
+                    node[symbol] = piece
+                    break
+                if below.__class__ is str:  # a piece alone so far: it moves one down
+                    node[symbol] = {below[depth : depth + 1]: below}
+                    below = node[symbol]
                 node = below
-            node[""] = piece
-        last, before, most = [0] * (LONGEST_IN_TRIE + 1), [0] * (LONGEST_IN_TRIE + 1), self.longest
+            else:
+                node[""] = piece
+        last, before, fits = [0] * (LONGEST_IN_TRIE + 1), [0] * (LONGEST_IN_TRIE + 1), self.fits
         get, reach, checked = self.inner.get, self.inner_reach.get, self.checked.get
         stack = [(1, symbol, node) for symbol, node in root.items()]
         while stack:
-            depth, recent, node = stack.pop()
+            depth, prefix, node = stack.pop()
+            if node.__class__ is str:
+                if len(node) > depth:
+                    self.states(node, depth, len(node) - 1, last, before)
+                found[node] = self.ids(node, last, before)
+                continue
             if (piece := node.pop("", None)) is not None:
-                found[piece] = self.path(*self.last_token(self.ending, self.ending_reach, recent, depth, last), last, before)
-            if node:
-                size = len(recent)
-                length = min(size, reach(recent[-3:], 2))
-                while True:  # as last_token, without a call for each node
-                    if (token := get(recent[size - length :])) is not None:
-                        at = depth - length
-                        if at == 0 or (fits := checked(last[at] << 20 | token)) or fits is None and self.fits(last[at], token):
-                            break
-                    length -= 1
-                last[depth], before[depth] = token, at
-                recent = recent[1 - most :]
-                stack += [(depth + 1, recent + symbol, child) for symbol, child in node.items()]
+                found[piece] = self.ids(piece, last, before)
+                if not node:
+                    continue
+            length = reach(prefix[-3:], 2)  # as in states, without a call for each node
+            at = depth - length if length < depth else 0
+            while (token := get(prefix[at:])) is None or at and not ((ok := checked(last[at] << 16 | token)) or ok is None and fits(last[at], token)):
+                at += 1
+            last[depth], before[depth] = token, at
+            depth += 1
+            stack += [(depth, prefix + symbol, below) for symbol, below in node.items()]
         return found
 
 
@@ -172,11 +188,6 @@ def names_of(path: str) -> list[str]:
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
-@lru_cache(maxsize=2)
-def merges_of(path: str) -> Merges:
-    return Merges(path)
-
-
 class TrieEncoder(WordEncoder):
     """Ids of whole texts as WordEncoder has them, the words not known yet through a trie.
 
@@ -185,14 +196,14 @@ class TrieEncoder(WordEncoder):
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         super().__init__(path, most)
-        self.merges = merges_of(path)
+        self.merges = Merges(path)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
 
     def _pieces(self, word: str) -> list[str]:
         """The byte-level pieces of a word without special tokens."""
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
         head = word.rstrip(".,;:!?")
+        if head.isascii() and head.isalpha():
+            return [head.lower(), word[len(head) :]] if len(head) < len(word) else [head.lower()]
         if head.isalpha() and max(head) <= "\u1fff" and "\u03a3" not in head and is_normalized("NFC", head):
             small = head.lower()
             if small.isalpha() and max(small) <= "\u1fff":
@@ -202,15 +213,33 @@ class TrieEncoder(WordEncoder):
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
 
     def _encode(self, words: list) -> list:
-        special, made = self.merges.special, []
+        special, made, ids, new, known = self.merges.special, [], {}, set(), self.memory.known
         for word in words:
             if self.specials and "<" in word and (cut := self.specials.split(word))[1:]:
-                made.append([x for i, part in enumerate(cut) if part for x in ([special[part]] if i % 2 else self._pieces(part))])
+                pieces = []
+                for i, part in enumerate(cut):
+                    if i % 2:
+                        ids[part] = array("I", [special[part]]).tobytes()  # a piece never has < and letters
+                        pieces.append(part)
+                    elif part:
+                        pieces += self._pieces(part)
             else:
-                made.append(self._pieces(word))
-        ids = self.merges.encode({x for pieces in made for x in pieces if isinstance(x, str)})
-        ids |= {t: array("I", [t]).tobytes() for t in special.values()}
-        return [b"".join([ids[x] for x in pieces]) for pieces in made]
+                pieces = self._pieces(word)
+            made.append(pieces)
+            for x in pieces:
+                if x not in ids and x not in new:
+                    if x.isascii() and x in known and x.isalpha() and x.islower():  # remembered as a word
+                        ids[x] = known[x]
+                    else:
+                        new.add(x)
+        ids |= self.merges.encode(new)
+        return [ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for p in made]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> TrieEncoder:
+    """One encoder a worker process: what it remembers serves its next tasks too."""
+    return TrieEncoder(path)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -222,7 +251,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TrieEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for table in text_batches(batches, TRIE_BYTES):
             data, ends = encoder(texts_of(table))
             offsets = pa.py_buffer((4 * ends).astype(np.int64).tobytes())
