@@ -1,4 +1,4 @@
-"""Fix-points over edges(src, dst): depth, reachability, cycles, paths.
+"""Fix-points over edges(src, dst): depth, reachability, cycles with their witnesses, paths.
 
 Loops run one job a level over a frontier; the frontier, not the graph, is what
 moves. Frontiers are checkpointed in the folder that all executors share.
@@ -7,21 +7,35 @@ moves. Frontiers are checkpointed in the folder that all executors share.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
+def shared(df: DataFrame) -> str:
+    """The folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder: a checkpoint keeps what the optimizer knows of its columns, and that doubles with each round of some loops."""
+    path = f"{shared(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def call_depth(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): least number of calls from an entry (node); entries have 0, unreached nodes are absent.
 
@@ -136,6 +150,43 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     return inside.select("src", "dst", "component")
 
 
+def witness_cycles(edges: DataFrame) -> DataFrame:
+    """(component, cycle, length): for each strongly connected component with a cycle, a shortest one through its least node, which it starts with.
+
+    Frontiers spread over the component's edges from the least node, each node with the smallest node that reached it
+    first; when one closes the cycle, the component stops. The way back then follows these parents, a step for all
+    components at once. Both loops take as many rounds as the longest such cycle has nodes, and move no graph but its frontier.
+    """
+    inner = written(cyclic_edges(edges))
+    start = written(inner.groupBy("component").agg(F.min("src").alias("start")))
+    inner = written(inner.join(start, "component"))
+    closing = inner.where("dst = start").select("component", F.col("src").alias("node"), "start")
+    frontier = seen = written(start.select("component", F.col("start").alias("node"), F.lit(None).cast(inner.schema["src"].dataType).alias("parent")))
+    open_, walks, depth = start, None, 0
+    while True:
+        depth += 1
+        ends = frontier.join(closing, ["component", "node"]).groupBy("component").agg(F.min("node").alias("node"), F.first("start").alias("start"))
+        ends = written(ends.select("component", "start", F.array("node").alias("cycle"), F.col("node").alias("at")))
+        walks = ends if walks is None else walks.unionByName(ends)
+        open_ = written(open_.join(ends.select("component"), "component", "left_anti"))
+        if open_.isEmpty():
+            break
+        step = inner.join(frontier.join(open_.select("component"), "component", "left_semi").select("component", F.col("node").alias("src")), ["component", "src"])
+        step = step.groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = written(step.join(seen.select("component", "node"), ["component", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        if depth % 10 == 0:
+            seen, walks = written(seen), written(walks)
+    parents, walks, done = seen.select("component", F.col("node").alias("at"), "parent"), written(walks), None
+    while True:
+        whole = walks.where("at = start")
+        done = written(whole if done is None else done.unionByName(whole))
+        back = walks.where("at <> start").join(parents, ["component", "at"])
+        walks = written(back.select("component", "start", F.concat(F.array("parent"), "cycle").alias("cycle"), F.col("parent").alias("at")))
+        if walks.isEmpty():
+            return done.select("component", "cycle", F.size("cycle").cast("long").alias("length"))
+
+
 def cycle_type(length) -> F.Column:
     return F.when(length == 1, "self").when(length == 2, "mutual").otherwise("complex")
 

@@ -1,4 +1,4 @@
-"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag)."""
+"""Trees as rows with nested-set positions: nodes(tree, lft, rgt, depth, parent, tag)."""
 
 from __future__ import annotations
 
@@ -50,6 +50,90 @@ def control_flow(nodes: DataFrame, tree: list[str]) -> DataFrame:
     return edges.unionByName(beside.where(loop).select(*tree, F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("loop-back").alias("kind")))
 
 
+def enclosing(nodes: DataFrame, tree: list[str], holds: Column, name: str = "container") -> DataFrame:
+    """nodes with `name`: the id of the nearest ancestor that holds others; null without one.
+
+    Places are walked once a tree: a running sum over openings and closings says how many such nodes are open at each place, and of those
+    opened at one level the latest, a running maximum over lft, is the one still open. Two windows, no join, at any depth.
+    """
+    here = nodes.select("*", F.coalesce(holds, F.lit(False)).alias("__holds"))
+    event = lambda place, delta, asks: F.struct(place.cast("long").alias("pos"), delta.cast("int").alias("delta"), F.lit(asks).alias("asks"))
+    opens = event(F.col("lft"), F.when(F.col("__holds"), 1).otherwise(0), True)
+    closes = F.when(F.col("__holds"), F.array(opens, event(F.col("rgt"), F.lit(-1), False))).otherwise(F.array(opens))
+    events = here.select(F.struct(*nodes.columns).alias("__row"), *tree, "id", "__holds", F.explode(closes).alias("__e"))
+    before = F.sum("__e.delta").over(Window.partitionBy(*tree).orderBy("__e.pos").rowsBetween(Window.unboundedPreceding, -1))
+    asked = events.withColumn("__level", F.coalesce(before, F.lit(0))).where("__e.asks")
+    # a node asks at its own level; one that holds others answers at the next
+    answer = F.when(F.col("__holds"), F.array(F.struct(F.col("__level").alias("level"), F.lit(True).alias("asks")), F.struct((F.col("__level") + 1).alias("level"), F.lit(False).alias("asks"))))
+    placed = asked.withColumn("__p", F.explode(F.coalesce(answer, F.array(F.struct(F.col("__level").alias("level"), F.lit(True).alias("asks"))))))
+    latest = F.max(F.when(~F.col("__p.asks"), F.struct(F.col("__e.pos").alias("pos"), F.col("id").alias("id")))).over(Window.partitionBy(*tree, "__p.level").orderBy("__e.pos").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("__latest", latest).where("__p.asks").select("__row.*", F.col("__latest.id").alias(name))
+
+
+def unpruned(nodes: DataFrame, tree: list[str], keep: Column) -> DataFrame:
+    """The roots, and the nodes to keep that a walk finds which doesn't go below one that isn't kept."""
+    root = F.col("parent").isNull()
+    met = enclosing(nodes.withColumn("__keep", F.coalesce(keep, F.lit(False)) | root), tree, ~F.col("__keep"), "__above")
+    return met.where("__keep and __above is null").drop("__keep", "__above")
+
+
+# Tags of activities, besides those that have a display name or "Activity" in their tag.
+ACTIVITY_TAGS = (
+    "Sequence", "Flowchart", "If", "While", "ForEach", "DoWhile",
+    "TryCatch", "Assign", "WriteLine", "InvokeWorkflowFile",
+    "Click", "Type", "GetText", "Delay", "LogMessage",
+)
+
+
+def is_activity(tag: Column, has_name: Column) -> Column:
+    return tag.isin(*ACTIVITY_TAGS) | has_name | tag.contains("Activity")
+
+
+def interval_counts(points: DataFrame, spans: DataFrame, group: list[str], key: str) -> DataFrame:
+    """(group, id, key, n): how many points (group, pos, key) lie within each span (group, id, lft, rgt).
+
+    The running count of a key at a span's end less that at its start, a point there not counted: spans meet the keys of their group, never its points.
+    """
+    keys = points.select(*group, key).distinct()
+    ends = spans.join(keys, group).select(*group, key, "id", F.explode(F.array(F.struct(F.col("lft").cast("long").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").cast("long").alias("pos"), F.lit(1).alias("sign")))).alias("e"))
+    rows = points.select(*group, key, F.lit(None).cast(spans.schema["id"].dataType).alias("id"), F.struct(F.col("pos").cast("long").alias("pos"), F.lit(0).alias("sign")).alias("e")).unionByName(ends)
+    so_far = F.sum(F.when(F.col("e.sign") == 0, 1).otherwise(0)).over(Window.partitionBy(*group, key).orderBy("e.pos", F.abs("e.sign")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", so_far).where("e.sign <> 0").groupBy(*group, "id", key).agg(F.sum(F.col("so_far") * F.col("e.sign")).alias("n")).where("n > 0")
+
+
+def descendants(nodes: DataFrame, tree: list[str]) -> DataFrame:
+    """nodes below a container, with `run`: the topmost container of those, each directly in the next, that the node lies in.
+
+    A container's descendants are the nodes of its run inside it: they stop at what is no container, whose own children are in no run with it.
+    """
+    held = enclosing(nodes.withColumn("__is", F.col("tag").isin(*CONTAINERS)), tree, F.col("__is"))
+    top = F.col("__is") & (F.col("container").isNull() | (F.col("container") != F.col("parent")))
+    below = enclosing(held.withColumn("__top", top), tree, F.col("__top"), "run")
+    return below.where("container = parent").drop("__is", "__top", "container")
+
+
+def container_statistics(nodes: DataFrame, tree: list[str]) -> DataFrame:
+    """For each container (tree, id): total_child_activities, visual_activities, max_depth below it, and activity_type_counts as a map.
+
+    nodes has lft, rgt, depth, parent, tag and is_visual. Containers without a child have zeros and an empty map.
+    """
+    inside = descendants(nodes, tree)
+    containers_ = nodes.where(F.col("tag").isin(*CONTAINERS)).select(*tree, "id", "lft", "rgt", "depth")
+    # its own run is that of its children: the one it is in, or the one it starts
+    spans = containers_.join(inside.select(*tree, F.col("parent").alias("id"), "run").distinct(), [*tree, "id"])
+    group = [*tree, "run"]
+    points = inside.select(*group, F.col("lft").alias("pos"), "tag", F.coalesce("is_visual", F.lit(False)).alias("is_visual"), F.col("depth").alias("level"))
+    by_tag = interval_counts(points.withColumn("kind", F.struct("tag", "is_visual")), spans, group, "kind")
+    by_type = by_tag.groupBy(*tree, "id", F.col("kind.tag").alias("tag")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind.is_visual"), F.col("n")).otherwise(0)).alias("visual"))
+    counts = by_type.groupBy(*tree, "id").agg(F.sum("n").alias("total"), F.sum("visual").alias("visual"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("types"))
+    deepest = interval_counts(points, spans, group, "level").groupBy(*tree, "id").agg(F.max("level").alias("deepest"))
+    out = containers_.join(counts, [*tree, "id"], "left").join(deepest, [*tree, "id"], "left")
+    return out.select(
+        *tree, "id", F.coalesce("total", F.lit(0)).alias("total_child_activities"), F.coalesce("visual", F.lit(0)).alias("visual_activities"),
+        F.coalesce(F.col("deepest") - F.col("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce("types", F.create_map().cast("map<string,bigint>")).alias("activity_type_counts"),
+    )
+
+
 def containers(nodes: DataFrame, tree: list[str]) -> DataFrame:
     """Each node with its container: the parent, if that is one."""
     up = nodes.where(F.col("tag").isin(*CONTAINERS)).select(*tree, F.col("id").alias("parent"), F.col("tag").alias("container"))

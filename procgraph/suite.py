@@ -64,6 +64,37 @@ def two_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("src", F.explode("dst").alias("dst")).distinct()
 
 
+# A graph that falls apart: each part calls the one of its brand and type that shipped after it on its last such day, some types also that of the first
+
+G_SQL = """day AS (
+    SELECT l_partkey AS src, p_type, l_shipdate, l_orderkey, l_linenumber, lead(l_partkey) OVER (PARTITION BY p_brand, p_type, year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS dst
+    FROM lineitem JOIN part ON l_partkey = p_partkey
+), edge AS (
+    SELECT src, max({'d': l_shipdate, 'o': l_orderkey, 'l': l_linenumber, 'dst': dst}).dst AS dst FROM day WHERE dst IS NOT NULL GROUP BY src
+    UNION SELECT src, min({'d': l_shipdate, 'o': l_orderkey, 'l': l_linenumber, 'dst': dst}).dst FROM day WHERE dst IS NOT NULL AND p_type < 'M' GROUP BY src
+), node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge), entry AS (SELECT DISTINCT src AS node FROM edge WHERE src < 5)"""
+
+
+def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all lineitem rows within brand, type and year; they make several components, with cycles and without."""
+    part = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    order = Window.partitionBy("p_brand", "p_type", F.year("l_shipdate")).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    day = t(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("dst", F.lead("l_partkey").over(order)).where("dst is not null")
+    when = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "dst")
+    ends = day.groupBy(F.col("l_partkey").alias("src")).agg(F.max(when).alias("last"), F.min(F.when(F.col("p_type") < "M", when)).alias("first"))
+    return ends.select("src", F.explode(F.array("last.dst", "first.dst")).alias("dst")).where("dst is not null").distinct()
+
+
+def brand_query(name: str, sql: str):
+    """Registers f(edges) on the edges within brands."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(brand_edges(spark, d)))
+        return f
+
+    return add
+
+
 def edge_query(name: str, sql: str):
     """Registers f(edges) on the edges of all rows."""
 
@@ -88,12 +119,12 @@ def depth_histogram(e):
     return graph.call_depth(e, entries(e)).groupBy(F.greatest(F.lit(0).cast("long"), "depth").alias("depth")).agg(F.count("*").alias("workflows"))
 
 
-@edge_query("reachable", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM reached")
+@brand_query("reachable", f"WITH RECURSIVE {G_SQL}, {DEPTH_SQL} SELECT node FROM reached")
 def reachable(e):
     return graph.call_depth(e, entries(e)).select("node")
 
 
-@edge_query("orphans", f"WITH RECURSIVE {E_SQL}, {DEPTH_SQL} SELECT node FROM node EXCEPT SELECT node FROM reached")
+@brand_query("orphans", f"WITH RECURSIVE {G_SQL}, {DEPTH_SQL} SELECT node FROM node EXCEPT SELECT node FROM reached")
 def orphans(e):
     return graph.orphans(e, entries(e))
 
@@ -125,12 +156,12 @@ def cycle_count_by_type(spark, d):
 CLOSURE_SQL = "reach AS (SELECT src, dst FROM edge UNION SELECT reach.src, edge.dst FROM reach JOIN edge ON reach.dst = edge.src)"
 
 
-@edge_query("cyclic_nodes", f"WITH RECURSIVE {E_SQL}, {CLOSURE_SQL} SELECT src AS node FROM reach WHERE src = dst")
+@brand_query("cyclic_nodes", f"WITH RECURSIVE {G_SQL}, {CLOSURE_SQL} SELECT src AS node FROM reach WHERE src = dst")
 def cyclic_nodes(e):
     return graph.cyclic_nodes(e).select("node")
 
 
-@edge_query("cyclic_edges", f"WITH RECURSIVE {E_SQL}, {CLOSURE_SQL} SELECT edge.src, edge.dst FROM edge JOIN reach ON reach.src = edge.dst AND reach.dst = edge.src")
+@brand_query("cyclic_edges", f"WITH RECURSIVE {G_SQL}, {CLOSURE_SQL} SELECT edge.src, edge.dst FROM edge JOIN reach ON reach.src = edge.dst AND reach.dst = edge.src")
 def cyclic_edges(e):
     return graph.cyclic_edges(e).select("src", "dst")
 
