@@ -1,4 +1,4 @@
-"""Predicates over expression text and the classes drawn from them."""
+"""Predicates over expression text and the classes drawn from them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Fragments that mark an expression in either language, and in C# alone.
 SHARED_MARKS = (".ToString()", "Path.Combine(", "String.Format(", "new ", " = ")
 CSHARP_MARKS = ("??", "?.", "=>")
-SYSTEM_PREFIXES = ("System", "clr-namespace:System", "http://schemas.microsoft.com", "http://schemas.openxmlformats.org")
 
 
 def contains_any(text: Column, marks: tuple[str, ...]) -> Column:
@@ -27,13 +26,6 @@ def is_expression(text: Column, language: str = "VisualBasic") -> Column:
     return (text.startswith("{") & text.endswith("}")) | contains_any(text, CSHARP_MARKS) | ternary | shared
 
 
-def invocation_kind(target: Column, known: Column | None = None) -> Column:
-    """missing without a target, dynamic for an expression, invoke-coded for C#, else invoke (missing if not known)."""
-    dynamic = contains_any(target, ("{", "}", "[", "]", "Path.Combine", "+"))
-    kind = F.when(target.isNull() | (F.trim(target) == ""), "missing").when(dynamic, "dynamic").when(F.lower(target).endswith(".cs"), "invoke-coded")
-    return kind.when(~known, "missing").otherwise("invoke") if known is not None else kind.otherwise("invoke")
-
-
 def call_kind(target: Column) -> Column:
     """invoke-missing without a target, invoke-dynamic for an expression (in brackets or with a mark of one), else invoke."""
     return F.when(target.isNull() | (target == ""), "invoke-missing").when(is_expression(target), "invoke-dynamic").otherwise("invoke")
@@ -107,16 +99,6 @@ def resource_kind(name: Column, value: Column) -> Column:
     )
 
 
-def package_of(namespace: Column) -> Column:
-    """The package a namespace comes from; null for system ones."""
-    system = F.lit(False)
-    for prefix in SYSTEM_PREFIXES:
-        system = system | namespace.startswith(prefix)
-    assembly = F.regexp_extract(namespace, "assembly=([^;]+)", 1)
-    named = F.regexp_extract(namespace, r"clr-namespace:([A-Za-z0-9_.]+)", 1)
-    return F.when(system, F.lit(None).cast("string")).when(assembly != "", assembly).when(named != "", named)
-
-
 def dependency_class(name: Column, vendor_prefix: str, local: Column) -> Column:
     """vendor, local, custom (two capitalised words or a dotted second part) or ambiguous."""
     return F.when(name.startswith(vendor_prefix), "vendor").when(local, "local").when(name.rlike(r"^[A-Z][a-z]+[A-Z][a-z]+"), "custom").otherwise("ambiguous")

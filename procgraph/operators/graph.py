@@ -1,7 +1,7 @@
 """Fix-points over edges(src, dst): depth, reachability, cycles with their witnesses, paths.
 
 Loops run one job a level over a frontier; the frontier, not the graph, is what
-moves. Frontiers are checkpointed in the folder that all executors share.
+moves. Frontiers are written to the folder that all executors share.
 """
 
 from __future__ import annotations
@@ -41,18 +41,18 @@ def call_depth(edges: DataFrame, entries: DataFrame, most: int | None = None) ->
 
     A level writes its new nodes alone; the levels before are read where they lie, and folded into one table every tenth level.
     """
-    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    frontier = seen = cut(entries.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    frontier = seen = written(entries.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     depth = 0
     while most is None or depth < most:
         depth += 1
         step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = written(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % 10 == 0:
-            seen = cut(seen)
+            seen = written(seen)
     return seen
 
 
@@ -98,7 +98,7 @@ def trim(edges: DataFrame) -> DataFrame:
     now, n = edges, edges.count()
     while n:
         starts, ends = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
-        kept = cut(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
+        kept = written(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
         before, now, n = n, kept, kept.count()
         if n == before:
             break
@@ -106,14 +106,21 @@ def trim(edges: DataFrame) -> DataFrame:
 
 
 def greatest_ancestor(edges: DataFrame) -> DataFrame:
-    """(node, color): the greatest node that reaches it, itself included."""
-    color = cut(nodes_of(edges).withColumn("color", F.col("node")))
-    frontier = color
+    """(node, color): the greatest node that reaches it, itself included.
+
+    A round writes the nodes alone whose color rises; colors are the greatest of all rows of a node, folded every tenth round.
+    """
+    color = frontier = written(nodes_of(edges).withColumn("color", F.col("node")))
+    rounds, most = 0, F.max("color").alias("color")
     while not frontier.isEmpty():
+        rounds += 1
         offer = edges.join(frontier.toDF("src", "offer"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("offer").alias("offer"))
-        frontier = cut(color.join(offer, "node").where("offer > color").select("node", F.col("offer").alias("color")))
-        color = cut(color.join(frontier.toDF("node", "raised"), "node", "left").select("node", F.coalesce("raised", "color").alias("color")))
-    return color
+        now = color.join(offer.select("node"), "node", "left_semi").groupBy("node").agg(most)
+        frontier = written(now.join(offer, "node").where("offer > color").select("node", F.col("offer").alias("color")))
+        color = color.unionByName(frontier)
+        if rounds % 10 == 0:
+            color = written(color.groupBy("node").agg(most))
+    return written(color.groupBy("node").agg(most))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
@@ -122,23 +129,23 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     Edges are trimmed, nodes take the color of their greatest ancestor, and what
     reaches a color's own node inside the color is its component; the rest goes round again.
     """
-    one = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    one = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     loops = one.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    left, found = trim(cut(one.where("src <> dst"))), None
+    left, found = trim(written(one.where("src <> dst"))), None
     while not left.isEmpty():
         color = greatest_ancestor(left)
         of_src, of_dst = color.toDF("src", "color"), color.toDF("dst", "dst_color")
-        inner = cut(left.join(of_src, "src").join(of_dst, "dst").where("color = dst_color").select("src", "dst", "color"))
-        seen = frontier = cut(color.where("node = color").select("node", F.col("color").alias("component")))
+        inner = written(left.join(of_src, "src").join(of_dst, "dst").where("color = dst_color").select("src", "dst", "color"))
+        seen = frontier = written(color.where("node = color").select("node", F.col("color").alias("component")))
         while not frontier.isEmpty():
             step = inner.join(frontier.toDF("dst", "color"), ["dst", "color"]).select(F.col("src").alias("node"), F.col("color").alias("component")).distinct()
-            frontier = cut(step.join(seen.select("node"), "node", "left_anti"))
-            seen = cut(seen.unionByName(frontier))
+            frontier = written(step.join(seen.select("node"), "node", "left_anti"))
+            seen = seen.unionByName(frontier)
         large = seen.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         more = seen.join(large, "component", "left_semi").select("node", "component")
-        found = cut(more if found is None else found.unionByName(more))
+        found = written(more if found is None else found.unionByName(more))
         rest = inner.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        left = trim(cut(rest.select("src", "dst")))
+        left = trim(written(rest.select("src", "dst")))
     return loops if found is None else found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 

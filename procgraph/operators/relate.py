@@ -1,4 +1,4 @@
-"""Resolution joins, integrity, sets and latest-row windows."""
+"""Resolution joins, integrity, sets and latest-row windows."""
 
 from __future__ import annotations
 

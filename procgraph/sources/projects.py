@@ -1,4 +1,4 @@
-"""Project folders as DataFrames: metadata, workflow catalog, XML nodes with visual ids, coded workflows and calls."""
+"""Project folders as DataFrames: metadata, workflow catalog, XML nodes with visual ids, coded workflows and calls."""
 
 from __future__ import annotations
 
@@ -11,15 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procgraph.functions import ident
+from procgraph.functions import csharp, expressions, ident
 
 EXCLUDED = (".local/**", ".settings/**", ".screenshots/**", "TestResults/**")
 PROJECT = "name STRING, main STRING, schemaVersion STRING, projectId STRING, description STRING, projectVersion STRING, targetFramework STRING, expressionLanguage STRING, dependencies MAP<STRING, STRING>, entryPoints ARRAY<STRUCT<filePath STRING, uniqueId STRING>>, designOptions STRUCT<outputType STRING>, _corrupt STRING"
 NODES = "path string, lft int, rgt int, depth int, parent int, tag string, display_name string, attributes map<string,string>, annotation string, text string, is_visual boolean, node_id string, visual_parent string, error string"
 #: The attribute that holds a note on its element.
 ANNOTATION = "Annotation.AnnotationText"
-#: Coded files that hold no workflow.
-NO_WORKFLOW = ("assemblyinfo.cs", "globalusings.cs", "program.cs", "startup.cs")
+# Parts of the names of coded files that hold no workflow.
+NO_WORKFLOW = ("assemblyinfo", "globalusings", "program.cs", "startup.cs")
 # Tags that are metadata or structure and show no activity of their own, and those that count without a display name.
 HIDDEN = (
     "Members", "HintSize", "Property", "TypeArguments", "WorkflowFileInfo",
@@ -62,7 +62,7 @@ def projects(found: DataFrame) -> DataFrame:
 def workflows(found: DataFrame, bay: str, patterns: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """The catalog of .xaml files (any spelling) and coded workflows that no pattern excludes."""
     name = F.element_at(F.split("path", "/"), -1)
-    xaml, code = F.lower("path").endswith(".xaml"), F.lower("path").endswith(".cs") & ~F.lower(name).isin(*NO_WORKFLOW)
+    xaml, code = F.lower("path").endswith(".xaml"), F.lower("path").endswith(".cs") & ~expressions.contains_any(F.lower(name), NO_WORKFLOW)
     kept = found.where((xaml | code) & ~excluded(F.col("path"), patterns))
     content_hash = F.sha2("content", 256)
     return kept.select(
@@ -128,28 +128,30 @@ def activities(nodes: DataFrame) -> DataFrame:
 
 
 def invocations(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(src, target, kind, dst): calls of other workflows, resolved by path, else by file name."""
-    from procgraph.functions.expressions import invocation_kind
+    """(src, target, kind, dst, lft, activity, unresolved): calls of other workflows, those built at run time too (without lft and dst).
 
-    calls = nodes.where("tag = 'InvokeWorkflowFile' and error is null").select(F.col("path"), F.col("attributes")["WorkflowFileName"].alias("raw"))
-    calls = calls.select(ident.workflow_id(F.col("path")).alias("src"), "raw", ident.workflow_id(F.col("raw")).alias("target"))
-    exact = catalog.select(F.col("workflow_id").alias("target"), F.col("workflow_id").alias("exact")).distinct()
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    by_name = catalog.groupBy(base("workflow_id").alias("base")).agg(F.min("workflow_id").alias("named"))
-    hit = calls.join(exact, "target", "left").withColumn("base", base("target")).join(by_name, "base", "left")
-    dst = F.coalesce("exact", "named")
-    return hit.select("src", "target", invocation_kind(F.col("raw"), dst.isNotNull()).alias("kind"), dst.alias("dst"))
+    Kinds are invoke, invoke-missing, invoke-dynamic and invoke-coded, as callgraph.resolved_calls has them; dst is a workflow id.
+    """
+    from procgraph.operators import callgraph, workflows
+
+    raw = F.col("attributes")["WorkflowFileName"]
+    calls = nodes.where("tag = 'InvokeWorkflowFile' and error is null").where(F.length(raw) > 0).select("path", raw.alias("raw"), "lft", F.col("attributes")["DisplayName"].alias("activity"))
+    known = catalog.select(F.col("workflow_id").alias("id"), "path", F.col("path").alias("rank"))
+    found = callgraph.resolved_calls(calls, known).select(ident.workflow_id(F.col("path")).alias("src"), "target", "kind", "dst", "lft", ident.posix(F.col("activity")).alias("activity"), "unresolved")
+    made = workflows.dynamic_calls(workflows.texts(nodes))
+    none = lambda kind: F.lit(None).cast(kind)
+    made = made.select(ident.workflow_id(F.col("path")).alias("src"), "target", F.lit("invoke-dynamic").alias("kind"), none("string").alias("dst"), none("int").alias("lft"), "activity", F.concat(F.lit("dynamic:"), "target").alias("unresolved"))
+    return found.unionByName(made)
 
 
 def coded(found: DataFrame) -> DataFrame:
-    """Usings, namespace, first class with its base, and methods of coded workflows."""
-    text = F.decode("content", "UTF-8")
-    code = found.where(F.lower("path").endswith(".cs")).dropDuplicates(["path"]).select("path", text.alias("code"))
-    head = r"class\s+(\w+)(?:\s*:\s*(\w+))?"
-    return code.select(
-        "path", F.regexp_extract_all("code", F.lit(r"(?m)^\s*using\s+([\w.]+)\s*;"), 1).alias("usings"), F.regexp_extract("code", r"namespace\s+([\w.]+)", 1).alias("namespace"),
-        F.regexp_extract("code", head, 1).alias("class_name"), F.regexp_extract("code", head, 2).alias("base_class"),
-        F.regexp_extract_all("code", F.lit(r"public\s+(?:override\s+|async\s+|static\s+)*[\w<>\[\],]+\s+(\w+)\s*\("), 1).alias("methods"),
+    """Usings, namespace, first class with its base, methods with their parameters, arguments and packages of coded workflows."""
+    code = found.where(F.lower("path").endswith(".cs")).dropDuplicates(["path"]).select("path", F.decode("content", "UTF-8").alias("code"))
+    read = code.select("path", "code", csharp.usings(F.col("code")).alias("usings"), csharp.methods(F.col("code")).alias("signatures"))
+    part = lambda pattern, i: F.trim(F.regexp_extract("code", pattern, i))
+    return read.select(
+        "path", "usings", part(csharp.NAMESPACE, 1).alias("namespace"), part(csharp.CLASS, 1).alias("class_name"), part(csharp.CLASS, 2).alias("base_class"), F.col("signatures.name").alias("methods"),
+        "signatures", csharp.arguments(F.col("signatures")).alias("arguments"), csharp.packages(F.col("usings"), F.col("code")).alias("packages"),
     )
 
 

@@ -336,13 +336,6 @@ def visual_activities(spark, d):
     return tags.where(~F.col("tag").isin("html", "head", "meta", "link", "script", "style", "title", "body")).groupBy("page_id").agg(F.count("*").alias("visual"))
 
 
-@query("activity_package", "SELECT package, count(*) AS n FROM (SELECT CASE WHEN tag IN ('a', 'link') THEN 'links' WHEN tag IN ('p', 'div', 'span', 'h1', 'h2', 'h3', 'li', 'ul') THEN 'text' ELSE 'other' END AS package FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)) GROUP BY package")
-def activity_package(spark, d):
-    catalog = spark.createDataFrame([("a", "links"), ("link", "links"), *[(x, "text") for x in ("p", "div", "span", "h1", "h2", "h3", "li", "ul")]], "tag string, package string")
-    tags = t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
-    return tags.join(F.broadcast(catalog), "tag", "left").groupBy(F.coalesce("package", F.lit("other")).alias("package")).agg(F.count("*").alias("n"))  # a fixed catalog
-
-
 @query("resource_refs", """SELECT page_id, ref, CASE WHEN regexp_matches(lower(ref), '\\.(xaml|json|txt|csv|xlsx)$') THEN 'file' WHEN starts_with(ref, 'http') THEN 'url' WHEN contains(ref, '{') AND contains(ref, '}') THEN 'dynamic' END AS kind
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '(href|src)="([^"]+)"', 2)) AS ref FROM pages)""")
 def resource_refs(spark, d):
@@ -356,13 +349,6 @@ def namespaces(spark, d):
     return t(spark, d, "pages").groupBy(pick(1).alias("prefix"), pick(2).alias("namespace")).agg(F.count("*").alias("n"))
 
 
-@query("packages_from_ns", """SELECT ns, CASE WHEN starts_with(ns, 'clr-namespace:System') THEN NULL WHEN regexp_extract(ns, 'assembly=([^;]+)', 1) <> '' THEN regexp_extract(ns, 'assembly=([^;]+)', 1) END AS package
-FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'clr-namespace:System.' || p_brand ELSE 'clr-namespace:' || p_brand || ';assembly=' || replace(p_type, ' ', '.') END AS ns FROM part)""")
-def packages_from_ns(spark, d):
-    ns = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("clr-namespace:System."), "p_brand")).otherwise(F.concat(F.lit("clr-namespace:"), "p_brand", F.lit(";assembly="), F.replace("p_type", F.lit(" "), F.lit("."))))
-    return t(spark, d, "part").select(ns.alias("ns")).distinct().select("ns", expressions.package_of(F.col("ns")).alias("package"))
-
-
 # P: packages
 
 
@@ -446,12 +432,6 @@ def resolve_target_priority(spark, d):
     return relate.resolve_targets(calls, part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("path")), " ").withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
-@query("invocation_kind", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing' WHEN contains(text, '{') OR contains(text, '}') OR contains(text, '[') OR contains(text, ']') OR contains(text, 'Path.Combine') OR contains(text, '+') THEN 'dynamic'
-WHEN ends_with(lower(text), '.cs') THEN 'invoke-coded' ELSE 'invoke' END AS kind FROM documents) GROUP BY kind""")
-def invocation_kind(spark, d):
-    return t(spark, d, "documents").groupBy(expressions.invocation_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("referential_integrity", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') ON o_custkey = c_custkey")
 def referential_integrity(spark, d):
     urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procgraph.operators import graph, packages, pseudocode, relate, rules, trees
+from procgraph.operators import callgraph, graph, packages, pseudocode, relate, rules, trees
 from procgraph.suite import G_SQL, brand_edges, query, t
 
 # Customers are workflows, their orders the activities; urgent ones call the customer of the day's next order (else the next customer), pending high ones their own
@@ -193,3 +193,51 @@ UNION ALL SELECT bay, 'all', NULL, count(*), max(depth), min(id) FILTER (WHERE h
 def activity_collection(spark, d):
     activities, dependencies = brand_activities(spark, d)
     return packages.collection(activities, packages.resolved(activities, dependencies, ["bay"]), ["bay"])
+
+
+# The call graph of parts: files by brand and name, each line of an order a call of the supplier's next part in one of several spellings
+
+MODEL_SQL = """catalog AS (SELECT 'w' || p_partkey AS id, replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '_') || p_size || '.xaml' AS path, p_partkey AS rank FROM part),
+call AS (
+    SELECT CASE l_linenumber WHEN 1 THEN 'w' || l_partkey WHEN 2 THEN 'bay#gone#0' ELSE 'bay#w' || l_partkey || '#0' END AS src,
+        CASE WHEN l_linenumber = 3 THEN '["Flow" + name]' WHEN l_linenumber = 4 THEN 'none/' || l_partkey WHEN l_quantity < 4 THEN 'other\\' || split_part(c.path, '/', 2) WHEN l_quantity < 16 THEN replace(c.path, '/', '\\') END AS target,
+        CASE l_returnflag WHEN 'A' THEN 'invoke' WHEN 'N' THEN 'invoke-dynamic' ELSE CASE WHEN l_linenumber = 5 THEN 'invoke-coded' ELSE 'invoke-missing' END END AS kind
+    FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS next FROM lineitem) LEFT JOIN catalog c ON c.id = 'w' || next
+), made AS (SELECT CASE WHEN contains(src, '#') THEN split_part(src, '#', 2) ELSE src END AS src, target, regexp_replace(replace(target, '\\', '/'), '(\\.xaml|\\.XAML)$', '') AS path, kind FROM call),
+by_path AS (SELECT regexp_replace(path, '\\.xaml$', '') AS path, min_by(id, rank) AS id FROM catalog GROUP BY 1),
+by_name AS (SELECT split_part(regexp_replace(path, '\\.xaml$', ''), '/', 2) AS name, min_by(id, rank) AS id FROM catalog GROUP BY 1),
+dependency AS (
+    SELECT m.src, CASE WHEN target IS NOT NULL THEN coalesce(p.id, n.id) END AS dst, target, CASE WHEN target IS NULL OR coalesce(p.id, n.id) IS NULL THEN 'missing' WHEN kind = 'invoke' THEN 'static' WHEN kind = 'invoke-missing' THEN 'missing' WHEN kind = 'invoke-dynamic' THEN 'dynamic' ELSE kind END AS type
+    FROM made m JOIN catalog c ON m.src = c.id LEFT JOIN by_path p ON m.path = p.path LEFT JOIN by_name n ON split_part(m.path, '/', -1) = n.name
+), entry AS (SELECT id AS node FROM catalog WHERE split_part(path, '/', 2) IN (SELECT split_part(path, '/', 2) FROM catalog WHERE rank < 3)),
+edge AS (SELECT DISTINCT src, dst FROM dependency WHERE dst IS NOT NULL),
+walk AS (SELECT node, 0 AS depth FROM entry UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 70), reached AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+reach AS (SELECT src, dst FROM edge UNION SELECT reach.src, edge.dst FROM reach JOIN edge ON reach.dst = edge.src),
+ring AS (SELECT r.src, min(r.dst) AS least FROM reach r JOIN reach b ON r.src = b.dst AND r.dst = b.src GROUP BY r.src)"""
+
+
+def part_calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalog, calls, entries) of all parts and lines."""
+    key = lambda c: F.concat(F.lit("w"), F.col(c).cast("string"))
+    path = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), F.lit(".xaml"))
+    catalog = t(spark, d, "part").select(key("p_partkey").alias("id"), path.alias("path"), F.col("p_partkey").alias("rank"))
+    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    lines = t(spark, d, "lineitem").withColumn("next", F.concat(F.lit("w"), after.cast("string"))).join(catalog.select(F.col("id").alias("next"), "path"), "next", "left")
+    number, flag, part, little = F.col("l_linenumber"), F.col("l_returnflag"), key("l_partkey"), F.col("l_quantity")
+    source = F.when(number == 1, part).when(number == 2, "bay#gone#0").otherwise(F.concat(F.lit("bay#"), part, F.lit("#0")))
+    target = F.when(number == 3, '["Flow" + name]').when(number == 4, F.concat(F.lit("none/"), F.col("l_partkey").cast("string"))).when(little < 4, F.concat(F.lit("other\\"), F.split_part("path", F.lit("/"), F.lit(2)))).when(little < 16, F.replace("path", F.lit("/"), F.lit("\\")))
+    kind = F.when(flag == "A", "invoke").when(flag == "N", "invoke-dynamic").when(number == 5, "invoke-coded").otherwise("invoke-missing")
+    return catalog, lines.select(source.alias("from"), target.alias("target"), kind.alias("kind")), catalog.where("rank < 3").select("path")
+
+
+@query("call_dependencies", f"WITH RECURSIVE {MODEL_SQL} SELECT src, dst, target, type, count(*) AS n FROM dependency GROUP BY ALL")
+def call_dependencies(spark, d):
+    catalog, calls, _ = part_calls(spark, d)
+    return callgraph.dependencies(calls, catalog).groupBy("src", "dst", "target", "type").agg(F.count("*").alias("n"))
+
+
+@query("call_graph_metrics", f"""WITH RECURSIVE {MODEL_SQL} SELECT (SELECT count(*) FROM catalog) AS total_workflows, (SELECT count(*) FROM entry) AS entry_points, (SELECT count(*) FROM catalog) - (SELECT count(*) FROM reached) AS orphaned_workflows,
+    (SELECT CAST(max(depth) AS BIGINT) FROM reached) AS max_call_depth, count(*) AS total_dependencies, count(*) FILTER (WHERE type = 'static') AS static_invocations, count(*) FILTER (WHERE type = 'dynamic') AS dynamic_invocations,
+    count(*) FILTER (WHERE type = 'missing') AS missing_invocations, (SELECT count(DISTINCT least) FROM ring) AS cycles_detected FROM dependency""")
+def call_graph_metrics(spark, d):
+    return callgraph.metrics(callgraph.call_graph(*part_calls(spark, d)))

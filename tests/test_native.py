@@ -35,7 +35,7 @@ def test_project_folder_to_tables(spark, tmp_path):
     shown = [r["display_name"] for r in tables["activities"].where("path = 'Main.xaml'").orderBy("lft").collect()]
     assert shown == ["Main", "Check", "Call", "Say"]
     calls = {(r["src"], r["kind"], r["dst"]) for r in tables["invocations"].collect()}
-    assert calls == {("Main", "invoke", "lib/Helper"), ("lib/Helper", "missing", None)}
+    assert calls == {("Main", "invoke", "lib/Helper"), ("lib/Helper", "invoke-missing", None)}
     code = tables["coded"].first()
     assert (code["usings"], code["namespace"], code["class_name"], code["base_class"], code["methods"]) == (["System"], "My.Flows", "Run", "CodedWorkflow", ["Execute"])
     assert warehouse.summary(tables["workflows"], tables["nodes"]).first()["failed"] >= 1
