@@ -29,6 +29,11 @@ def below(folder: Column, path: Column) -> Column:
     return F.when(folder == "", path).otherwise(F.concat(folder, F.lit("/"), path))
 
 
+def one_spelling(path: Column) -> Column:
+    """The path with .xaml in small letters, as file systems that don't tell them apart have it."""
+    return F.regexp_replace(path, r"(?i)\.xaml$", ".xaml")
+
+
 def resolved_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """calls (path, raw, ...) with target, kind and dst, an id of catalog(path, id, rank), by their raw targets.
 
@@ -38,17 +43,17 @@ def resolved_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     the top, the caller's folder and the one above; else "missing:<target>". All steps are equi-joins.
     """
     rows = calls.withColumn("__call", F.monotonically_increasing_id())
-    target = F.regexp_replace(ident.posix(F.col("raw")), r"^(\./)+", "")
+    target = one_spelling(F.regexp_replace(ident.posix(F.col("raw")), r"^(\./)+", ""))
+    catalog = catalog.select("id", "rank", one_spelling(F.col("path")).alias("path"))
     rows = graph.cut(rows.withColumns({"target": target, "__dynamic": expressions.contains_any(F.col("raw"), DYNAMIC_MARKS)}))
     own = folder_of(F.col("path"))
     places = F.array(*[F.struct(F.lit(i).alias("order"), below(f, F.col("target")).alias("__at")) for i, f in enumerate((F.lit(""), own, folder_of(own)))])
     known = catalog.groupBy(F.col("path").alias("__at")).agg(F.min_by("id", "rank").alias("id"))
     near = rows.where("not __dynamic").select("__call", F.inline(places)).join(known, "__at")
     near = near.groupBy("__call").agg(F.min_by("id", "order").alias("__near"))
-    found = relate.resolve_targets(rows.where("not __dynamic").select("target").distinct(), catalog.select("id", "rank", "path"))
     # exact and suffix matches are one step: the first in the order of the catalog
     keyed = catalog.select("id", "rank", F.explode(F.concat(F.array("path"), relate.suffixes(F.col("path")))).alias("target"))
-    first = keyed.join(found.select("target").distinct(), "target", "left_semi").groupBy("target").agg(F.min_by("id", "rank").alias("__first"))
+    first = keyed.join(rows.where("not __dynamic").select("target").distinct(), "target", "left_semi").groupBy("target").agg(F.min_by("id", "rank").alias("__first"))
     out = rows.join(near, "__call", "left").join(first, "target", "left")
     kind = F.when(F.col("__dynamic"), "invoke-dynamic").when(F.lower("raw").endswith(".cs"), "invoke-coded").when(F.col("__near").isNotNull(), "invoke").otherwise("invoke-missing")
     dst = F.when(~F.col("__dynamic"), F.coalesce("__first", "__near"))
