@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procgraph.operators import callgraph, graph, packages, pseudocode, relate, rules, trees
+from procgraph.operators import callgraph, documents, graph, lookup, packages, pseudocode, relate, rules, trees
+from procgraph.sources import discovery
 from procgraph.suite import G_SQL, brand_edges, query, t
 
 # Customers are workflows, their orders the activities; urgent ones call the customer of the day's next order (else the next customer), pending high ones their own
@@ -241,3 +242,45 @@ def call_dependencies(spark, d):
     count(*) FILTER (WHERE type = 'missing') AS missing_invocations, (SELECT count(DISTINCT least) FROM ring) AS cycles_detected FROM dependency""")
 def call_graph_metrics(spark, d):
     return callgraph.metrics(callgraph.call_graph(*part_calls(spark, d)))
+
+
+# Documents of trees, and the nearest marker above a place
+
+FIELDS = {"nodeId": "id", "activityType": "tag", "parentId": "parent"}
+
+
+@query("tree_documents", f"""WITH {PLACED_SQL}, leaf AS (SELECT parent, id, '{{"nodeId":"' || id || '","activityType":"' || tag || '","parentId":"' || parent || '","children":[]}}' AS doc FROM node WHERE depth = 3),
+two AS (SELECT n.parent, n.id, CAST(split_part(n.id, '.', 2) AS BIGINT) AS nth, '{{"nodeId":"' || n.id || '","activityType":"' || n.tag || '","parentId":"' || n.parent || '","children":[' || coalesce(l.doc, '') || ']}}' AS doc FROM node n LEFT JOIN leaf l ON l.parent = n.id WHERE n.depth = 2),
+kids AS (SELECT parent, string_agg(doc, ',' ORDER BY nth) AS docs FROM two GROUP BY parent),
+one AS (SELECT n.tree, n.id, CAST(substr(n.id, 2) AS BIGINT) AS place, '{{"nodeId":"' || n.id || '","activityType":"' || n.tag || '","parentId":"' || n.parent || '","children":[' || coalesce(docs, '') || ']}}' AS doc FROM node n LEFT JOIN kids ON kids.parent = n.id WHERE n.depth = 1),
+below AS (SELECT tree, string_agg(doc, ',' ORDER BY place) AS docs FROM one GROUP BY tree)
+SELECT n.tree, '{{"nodeId":"' || n.id || '","activityType":"' || n.tag || '","parentId":null,"children":[' || coalesce(docs, '') || ']}}' AS document FROM node n LEFT JOIN below b ON n.tree = b.tree WHERE n.depth = 0""")
+def tree_documents(spark, d):
+    return documents.tree_documents(placed_tree(spark, d), ["tree"], FIELDS)
+
+
+@query("flat_nodes", f"WITH {PLACED_SQL} SELECT tree, id, tag, parent FROM node")
+def flat_nodes(spark, d):
+    return documents.flat_nodes(tree_documents(spark, d), ["tree"], FIELDS).drop("place")
+
+
+@query("nearest_markers", """WITH place AS (SELECT p_partkey, string_split(p_brand || '/' || p_type || '/' || replace(p_name, ' ', '/'), '/') AS parts FROM part),
+marker AS (SELECT DISTINCT array_to_string(parts[1:1 + (p_partkey % 4)], '/') AS folder FROM place JOIN part USING (p_partkey) WHERE p_size = 50),
+way AS (SELECT p_partkey, unnest(range(0, len(parts) + 1)) AS distance, parts FROM place)
+SELECT p.p_partkey, arg_min(m.folder || '/project.json', w.distance) AS found, CAST(min(w.distance) AS INTEGER) AS distance
+FROM place p LEFT JOIN (way w JOIN marker m ON array_to_string(w.parts[1:len(w.parts) - w.distance], '/') = m.folder) ON p.p_partkey = w.p_partkey GROUP BY p.p_partkey""")
+def nearest_markers(spark, d):
+    """Parts lie in folders of brand, type and name; those of size 50 have a project file somewhere above."""
+    part = t(spark, d, "part").withColumn("folder", F.concat_ws("/", "p_brand", "p_type", F.replace("p_name", F.lit(" "), F.lit("/"))))
+    parts = F.split("folder", "/")
+    files = part.where("p_size = 50").select(F.concat(F.array_join(F.slice(parts, F.lit(1), (1 + F.col("p_partkey") % 4).cast("int")), "/"), F.lit("/project.json")).alias("path"))
+    return discovery.nearest_above(part.select("p_partkey", "folder"), files, "project.json").select("p_partkey", "found", "distance")
+
+
+@query("resolve_projects", None)
+def resolve_projects(spark, d):
+    """Questions are the names of nations with a letter less, projects are customers by segment and number and nations by name; tested against every pair, as SQL has no matching blocks."""
+    nation = t(spark, d, "nation").select(F.lower("n_name").alias("slug"), F.col("n_name").alias("name"))
+    customer = t(spark, d, "customer").select(F.concat_ws("-", F.lower("c_mktsegment"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_name").alias("name"))
+    questions = t(spark, d, "nation").select(F.expr("left(n_name, length(n_name) - 1)").alias("query")).unionByName(t(spark, d, "region").select(F.col("r_name").alias("query")))
+    return lookup.resolve_projects(questions, nation.unionByName(customer))

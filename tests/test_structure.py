@@ -1,12 +1,15 @@
 """Expansion in reading order, witness cycles, containers by intervals, packages, the call graph and signatures, against fixtures and brute force."""
 
+import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from procgraph.functions import csharp
-from procgraph.operators import callgraph, graph, packages, pseudocode, rules, trees
+from procgraph.operators import callgraph, documents, graph, lookup, packages, pseudocode, rules, trees
+from procgraph.sources import discovery
 
 LINES = [
     ("main.xaml", 1, "Start Main", "LogMessage", "Main/Start", None), ("main.xaml", 2, "Call Process", "InvokeWorkflowFile", "Main/InvokeWorkflowFile", "process.xaml"), ("main.xaml", 3, "End Main", "LogMessage", "Main/End", None),
@@ -200,3 +203,60 @@ namespace My.Flows { public class Run : CodedWorkflow<Map<int, string>>, IOther
     assert rows[1]["a"] == [] and [a["name"] for a in rows[2]["a"]] == ["n"]
     one = lambda x: spark.createDataFrame([(x,)], "x string").select(csharp.split_at_commas(F.col("x"))).first()[0]
     assert [one(x) for x in ("", "a", "a,b", "M<a,b>,c", "a,,b", "a,")] == [[], ["a"], ["a", "b"], ["M<a,b>", "c"], ["a", "", "b"], ["a"]]
+
+
+def test_tree_documents_round_trip(spark):
+    rng = random.Random(11)
+    rows = [r for i in range(8) for r in random_tree(rng, f"t{i}")] + [("two", "x", None, 0, 1, 0, 'say "a}"', True), ("two", "y", None, 2, 3, 0, None, True)]
+    # a level is filtered out: its children hang on the level above it
+    parent = {r[1]: r[2] for r in rows}
+    gone = {r[1] for r in rows if r[5] == 2}
+    rows = [(*r[:2], parent[r[2]] if r[2] in gone else r[2], *r[3:]) for r in rows if r[1] not in gone]
+    nodes = spark.createDataFrame(rows, "tree string, id string, parent string, lft int, rgt int, depth int, tag string, is_visual boolean")
+    fields = {"nodeId": "id", "activityType": "tag", "parentId": "parent"}
+    docs = documents.tree_documents(nodes, ["tree"], fields)
+    assert docs.count() == 9
+    two = json.loads(docs.where("tree = 'two'").first()["document"])
+    assert two["nodeId"] == "root" and [c["activityType"] for c in two["children"]] == ['say "a}"', None]
+    flat = documents.flat_nodes(docs, ["tree"], fields).where("id <> 'root'").orderBy("tree", "place").collect()
+    assert [(r["tree"], r["id"], r["tag"], r["parent"]) for r in flat] == [(r[0], r[1], r[6], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[3]))]
+    assert documents.tree_documents(nodes.limit(0), ["tree"], fields).count() == 0 and documents.flat_nodes(docs.limit(0), ["tree"], fields).count() == 0
+
+
+def test_discovery(spark):
+    files = spark.createDataFrame([(p,) for p in ("project.json", "a/b/Project.json", "a\\b\\c\\Main.xaml", "a/out/manifest.json", "a/out/workflows.index.json", "w/.procgraph-warehouse/bays.json", "half/manifest.json", "x/output/projects.json")], "path string")
+    places = spark.createDataFrame([("a/b/c",), ("a",), ("",), ("a/b",), ("w/in",), ("w",), ("x",), ("half",), ("a/out",)], "folder string")
+    near = {r["folder"]: (r["found"], r["distance"]) for r in discovery.nearest_above(places, files, "project.json").collect()}
+    assert near["a/b/c"] == ("a/b/Project.json", 1) and near["a"] == ("project.json", 1) and near[""] == ("project.json", 0) and near["a/b"] == ("a/b/Project.json", 0)
+    assert {r["folder"]: r["found"] for r in discovery.nearest_above(places, files.where("path <> 'project.json'"), "project.json").collect()}["w"] is None
+    homes = {r["folder"]: r["warehouse"] for r in discovery.warehouse_of(places, files).collect()}
+    assert (homes["w"], homes["w/in"], homes["x"], homes["half"], homes["a/out"], homes["a/b"]) == ("w/.procgraph-warehouse", "w/.procgraph-warehouse", "x/output", None, "a/out", None)
+    asked = spark.createDataFrame([("a/b",), ("a/b/PROJECT.json",), ("a/b/c",), ("c/project.json",)], "path string")
+    got = {r["path"]: (r["folder"], r["error"]) for r in discovery.project_folders(asked, files).collect()}
+    assert got == {"a/b": ("a/b", None), "a/b/PROJECT.json": ("a/b", None), "a/b/c": (None, "No project.json found in directory: a/b/c"), "c/project.json": (None, "Project file not found: c/project.json")}
+    texts_ = spark.createDataFrame([("n", '{"bays": [{"bayId": "one"}, {"recordId": "two"}]}'), ("o", '{"projects": [{"projectSlug": "p"}, {"slug": "s"}, {}]}'), ("bad", "{")], "folder string, content string")
+    assert [(r["folder"], r["bay"]) for r in discovery.bays(texts_).orderBy("folder", "place").collect()] == [("n", "one"), ("n", "two"), ("o", "p"), ("o", "s"), ("o", "")]
+
+
+def test_projects_by_name(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeilnorst-") for _ in range(rng.randint(1, 14)))
+    projects = {word(): word().title() for _ in range(150)} | {"invoice-bot": "Invoice Bot", "x": ""}
+    questions = [word() for _ in range(25)] + ["INVOICE-BOT", "invoice", "Invoice bot", "zzzz", ""]
+    got = {}
+    table = spark.createDataFrame(list(projects.items()), "slug string, name string")
+    listed = spark.createDataFrame([("invoice", "invoice-bot")], "part string, slug string")
+    for r in lookup.resolve_projects(spark.createDataFrame([(q,) for q in questions], "query string"), table, listed).orderBy("query", "n").collect():
+        got.setdefault(r["query"], []).append((r["slug"], round(r["confidence"], 9), r["match"]))
+    for q in questions:
+        rows = []
+        for slug, name in projects.items():
+            low = q.lower()
+            ratio = max(SequenceMatcher(None, low, x.lower()).ratio() for x in (slug, name))
+            if low in (slug.lower(), name.lower()):
+                rows.append((slug, 1.0, "exact"))
+            elif q == "invoice" and slug == "invoice-bot":
+                rows.append((slug, round(len(q) / len(slug), 9), "partial"))
+            elif ratio >= 0.4:
+                rows.append((slug, round(ratio, 9), "fuzzy"))
+        assert got.get(q, []) == sorted(rows, key=lambda r: (-r[1], r[0]))[:5], q
