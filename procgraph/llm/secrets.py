@@ -19,6 +19,8 @@ BASE = {
     "access": (("AKIA",), re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A run of letters that a part of a web token has.
+RUN = re.compile(r"[0-9A-Za-z_-]+")
 #: Kinds that the method adds: keyword, pattern, and the check of its embedded sum.
 GITHUB = tuple(f"gh{c}_" for c in "pousr")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -120,7 +122,10 @@ class Scanner:
                             spans.append((start, kind, m.end()))
                 else:
                     _, pattern, holds = CHECKED[kind]
-                    if (m := pattern.match(text, start)) and holds(m):
+                    m = pattern.match(text, start)
+                    if m is None and kind == "jwt":  # what follows the run decides, so no other hit in it can match
+                        ends[kind] = RUN.match(text, start).end()
+                    if m and holds(m):
                         ends[kind] = m.end()
                         spans.append((m.start(m.re.groups), kind, m.end(m.re.groups)))
         spans += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
