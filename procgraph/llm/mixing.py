@@ -53,12 +53,11 @@ def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None,
     if quality is None:
         sized = sized.withColumn("weight", length_quality(F.col("size")))  # the size is counted once
     sized = sized.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    key = F.when(F.col("weight") > 0, F.pow(uniform(F.col("id"), seed), 1 / F.col("weight")))
-    sized = sized.withColumn("key", F.coalesce(key, F.lit(0.0)))
+    # -ln(u) / w, not u^(1/w), which small weights would round to 0; null where nothing is drawn
+    sized = sized.withColumn("key", F.when(F.col("weight") > 0, -F.log(uniform(F.col("id"), seed)) / F.col("weight")))
     bins = bins or max(64, docs.count() // ROWS_PER_BIN)  # of one unit of the logarithm; the count comes from the footers
-    place = F.coalesce(F.floor(F.log(-F.log("key")) * bins), F.lit(-(2**60)))  # a key of 1 comes first
-    last = F.when(F.col("size") > 0, F.lit(2**60)).otherwise(F.lit(2**60) + 1 + F.pmod(F.xxhash64("id"), F.lit(bins)))  # keys of 0; empty texts move no sum
-    sized = sized.withColumn("bin", F.when(F.col("key") > 0, place).otherwise(last))
+    last = F.when(F.col("size") > 0, F.lit(2**60)).otherwise(F.lit(2**60) + 1 + F.pmod(F.xxhash64("id"), F.lit(bins)))  # no weight; empty texts move no sum
+    sized = sized.withColumn("bin", F.coalesce(F.floor(F.log("key") * bins), last))
     by_bin = cut(sized.groupBy("group", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("bin_size")))
     goal = source_targets(by_bin.select("source", F.col("bin_size").alias("size")), **targets)
     goal = goal.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
@@ -69,7 +68,7 @@ def _mixed(docs: DataFrame, quality: Column | None, seed: int, bins: int | None,
         .join(goal, "group").withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).drop("bin_size")
     )
     rows = sized.drop("source", "weight").join(cut(plan), ["group", "bin"])
-    order = Window.partitionBy("group", "bin").orderBy(F.desc("key"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("group", "bin").orderBy(F.asc_nulls_last("key"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     nearer = 2 * (F.col("budget") - F.col("start")) >= F.col("size")  # its end lies no further beyond than its start before
     copies = F.col("epochs") + ((F.col("start") < F.col("budget")) & nearer).cast("long")
