@@ -26,9 +26,9 @@ def arguments_presence(spark, d):
 
 
 @query("provenance", """SELECT 'provenance' AS rule, 'fail' AS severity, event_id || '/' || field AS subject, 'Missing provenance field: ' || field AS message
-FROM (SELECT event_id, props, unnest(['k', 'rpaxVersion']) AS field FROM events) WHERE NOT list_contains(json_keys(props), field)""")
+FROM (SELECT event_id, props, unnest(['k', 'toolVersion']) AS field FROM events) WHERE NOT list_contains(json_keys(props), field)""")
 def provenance(spark, d):
-    return rules.provenance(t(spark, d, "events").select(F.col("event_id").cast("string").alias("bay"), F.col("props").alias("content")), ("k", "rpaxVersion"))
+    return rules.provenance(t(spark, d, "events").select(F.col("event_id").cast("string").alias("bay"), F.col("props").alias("content")), ("k", "toolVersion"))
 
 
 @query("artifacts_presence", """SELECT 'artifacts_presence' AS rule, 'fail' AS severity, u.user_id || '/' || r.file AS subject, 'Required artifact missing: ' || r.file AS message

@@ -77,11 +77,11 @@ def test_kinds_namespaces_and_packages(spark):
 
 
 def test_rules_on_artifacts(spark):
-    files = spark.createDataFrame([("a", "manifest.json", '{"rpaxVersion": 1, "generatedAt": 2}'), ("a", "workflows.index.json", "{"), ("b", "workflows.index.json", "{}")], "bay string, file string, content string")
+    files = spark.createDataFrame([("a", "manifest.json", '{"toolVersion": 1, "generatedAt": 2}'), ("a", "workflows.index.json", "{"), ("b", "workflows.index.json", "{}")], "bay string, file string, content string")
     found = {(r["subject"], r["message"]) for r in rules.artifacts_presence(files).collect()}
     assert found == {("a/workflows.index.json", "Invalid JSON in workflows.index.json"), ("b/manifest.json", "Required artifact missing: manifest.json")}
-    manifests = spark.createDataFrame([("a", '{"rpaxVersion": 1, "generatedAt": 2}'), ("b", None)], "bay string, content string")
-    assert {r["message"] for r in rules.provenance(manifests).collect()} == {"Missing provenance field: rpaxSchemaVersion", "Manifest required for provenance validation"}
+    manifests = spark.createDataFrame([("a", '{"toolVersion": 1, "generatedAt": 2}'), ("b", None)], "bay string, content string")
+    assert {r["message"] for r in rules.provenance(manifests, ("toolVersion", "schemaVersion", "generatedAt")).collect()} == {"Missing provenance field: schemaVersion", "Manifest required for provenance validation"}
     issues, status = rules.run_rules(spark, {"presence": lambda: rules.artifacts_presence(files).withColumn("rule", F.lit("presence")), "broken": lambda: files.select("absent")})
     assert {r["rule"]: (r["issues"], r["status"]) for r in status.collect()} == {"presence": (2, "fail"), "broken": (1, "fail")}
     assert issues.where("rule = 'broken'").first()["message"].startswith("Rule execution failed")
