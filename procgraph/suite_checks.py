@@ -31,10 +31,13 @@ def provenance(spark, d):
     return rules.provenance(t(spark, d, "events").select(F.col("event_id").cast("string").alias("bay"), F.col("props").alias("content")), ("k", "toolVersion"))
 
 
-@query("artifacts_presence", """SELECT 'artifacts_presence' AS rule, 'fail' AS severity, u.user_id || '/' || r.file AS subject, 'Required artifact missing: ' || r.file AS message
-FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('purchase'), ('signup')) r(file) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = r.file)""")
+@query("artifacts_presence", """WITH e AS (SELECT user_id || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR) AS bay, event_type FROM events)
+SELECT 'artifacts_presence' AS rule, 'fail' AS severity, u.bay || '/' || r.file AS subject, 'Required artifact missing: ' || r.file AS message
+FROM (SELECT DISTINCT bay FROM e) u CROSS JOIN (VALUES ('purchase'), ('signup')) r(file) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.bay = u.bay AND e.event_type = r.file)""")
 def artifacts_presence(spark, d):
-    first = t(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("bay"), F.col("event_type").alias("file")).agg(F.min_by("props", "event_id").alias("content"))
+    """Each user's day is a project, its events the artifacts by type."""
+    bay = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    first = t(spark, d, "events").groupBy(bay.alias("bay"), F.col("event_type").alias("file")).agg(F.min_by("props", "event_id").alias("content"))
     return rules.artifacts_presence(first, ("purchase", "signup"))
 
 
