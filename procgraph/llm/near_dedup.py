@@ -208,8 +208,27 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "side")
 
 
+class Spanning:
+    """Labels of a tile's members, joined as rows touch them: a row yields one member of each label it touches, which then are one.
+
+    So all rows of a tile yield no more than rows and members together, however many pairs touch.
+    """
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, touched: np.ndarray) -> np.ndarray:
+        found, first = np.unique(self.labels[touched], return_index=True)
+        if len(found) > 1:
+            self.labels[np.isin(self.labels, found)] = found[0]
+        return touched[first]
+
+
 def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(id, component): ids with a component that isn't theirs, one member of which agrees with them in enough coordinates.
+    """(id, own, component): ids, their component and others that hold a member which agrees with them in enough coordinates.
+
+    Not all such components are named, but so many that, over `own` and
+    `component` as edges, all are connected that meet.
 
     several has (token, id, posted, component, main, n) of posting lists of n ids. Those
     outside a list's main component meet all others, in tiles of about TILE
@@ -228,8 +247,13 @@ def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         column = lambda c: rows[c].combine_chunks() if isinstance(rows, pa.Table) else rows[c]
         return *(column(c).to_numpy() for c in names[2:8]), np.frombuffer(b"".join(column("signature").to_pylist()), "<u4").reshape(-1, rule.coordinates)
 
+    known = [None, None, None]
+
     def meet(held, others):
-        _, theirs, _, sizes, posts, _, values = numbers(held)
+        if known[0] is not held:
+            members = numbers(held)
+            known[:] = held, members, Spanning(members[1])
+        _, theirs, _, sizes, posts, _, values = known[1]
         ids, own, main, n, posted, where, signatures = numbers(others)
         bits = np.int64(1) << np.arange(rule.coordinates)
         for at in range(0, len(ids), 64):
@@ -242,31 +266,40 @@ def meetings(several: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
                 same = signatures[part][i] == values[j]
                 shared = same & ((posted[part][i] & posts[j])[:, None] & bits != 0)
                 near = (same.sum(1) >= rule.matches) & ((shared.argmax(1) == where[part][i]) | ~shared.any(1))
-                found = np.unique(np.stack([ids[part][i[near]], theirs[j[near]]]), axis=1)
-                if found.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["id", "component"])
+                i, j = i[near], j[near]
+                starts = np.flatnonzero(np.diff(i, prepend=-1))
+                named = [known[2].join(touched) for touched in np.split(j, starts[1:])] if len(i) else []
+                if named:
+                    who = np.repeat(i[starts], [len(x) for x in named])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][who]), pa.array(own[part][who]), pa.array(theirs[np.concatenate(named)])], names=["id", "own", "component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tiles(batches, meet)
 
-    return dealt(members.select(*names).unionByName(asked.select(*names))).mapInArrow(run, "id long, component long").distinct()
+    return dealt(members.select(*names).unionByName(asked.select(*names))).mapInArrow(run, "id long, own long, component long").distinct()
 
 
-def linked(wanted: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) for each row (id, component) of wanted that has a near member: one of them.
+def gathered(wanted: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tile, side, id, component, set): the ids of wanted beside the members of their group.
 
-    members has (id, component). A component's full sets are held in tiles of about TILE_SHINGLES,
-    and meet about TILE_ASKS ids at once; an id's shingles are counted against a whole tile.
+    wanted has (id, group) and members (id, component, group, n_shingles). A group's full sets are held in tiles of about
+    TILE_SHINGLES, and meet about TILE_ASKS ids at once.
     """
-    sized = members.join(classes.select("id", "n_shingles"), "id")
-    asks = wanted.groupBy("component").agg(F.ceil(F.count("*") / TILE_ASKS).alias("askers"))
-    shape = sized.join(asks, "component").groupBy("component").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("parts"), F.first("askers").alias("askers"))
+    asks = wanted.groupBy("group").agg(F.ceil(F.count("*") / TILE_ASKS).alias("askers"))
+    shape = members.join(asks, "group").groupBy("group").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("parts"), F.first("askers").alias("askers"))
     shape = cut(shape)
     counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id"), F.col("askers"))
-    held = members.join(shape, "component").withColumn("asker", counted("askers")).select(F.xxhash64("component", place[0], "asker").alias("tile"), F.lit(0).alias("side"), "id")
-    asked = wanted.join(shape, "component").withColumn("part", counted("parts")).select(F.xxhash64("component", "part", place[1]).alias("tile"), F.lit(1).alias("side"), "id")
-    rows = held.unionByName(asked).join(sets, "id")
+    held = members.join(shape, "group").withColumn("asker", counted("askers")).select(F.xxhash64("group", place[0], "asker").alias("tile"), F.lit(0).alias("side"), "id", "component")
+    asked = wanted.join(shape, "group").withColumn("part", counted("parts")).select(F.xxhash64("group", "part", place[1]).alias("tile"), F.lit(1).alias("side"), "id", F.lit(None).cast("long").alias("component"))
+    return held.unionByName(asked).join(sets, "id")
+
+
+def linked(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links between ids and members of a tile, enough to join all components that have one.
+
+    An id's shingles are counted against the whole tile, so near misses never leave it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [None, ()]
@@ -276,22 +309,21 @@ def linked(wanted: DataFrame, members: DataFrame, classes: DataFrame, sets: Data
                 each = [np.frombuffer(x, np.uint64) for x in held["set"].to_pylist()]
                 values, owners = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
                 order = np.argsort(values, kind="stable")
-                known[:] = held, (values[order], owners[order], np.array([len(x) for x in each]), held["id"].to_numpy())
-            values, owners, sizes, ids = known[1]
+                known[:] = held, (values[order], owners[order], np.array([len(x) for x in each]), held["id"].to_numpy(), Spanning(held["component"].to_numpy()))
+            values, owners, sizes, ids, spanning = known[1]
             pairs = []
             for x, data in zip(others["id"].to_pylist(), others["set"].to_pylist()):
                 own = np.frombuffer(data, np.uint64)
                 start = np.searchsorted(values, own)
                 both = np.bincount(owners[ragged(start, np.searchsorted(values, own, "right") - start)], minlength=len(sizes))
-                near = ids[100 * both >= rule.percent * (len(own) + sizes - both)]
-                if len(near):
-                    pairs.append((x, int(near.min())))
+                near = np.flatnonzero(100 * both >= rule.percent * (len(own) + sizes - both))
+                pairs += [(x, y) for y in ids[spanning.join(near)].tolist() if x != y] if len(near) else []
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
         return tiles(batches, meet)
 
-    return dealt(rows.select("tile", "side", "id", "set")).mapInArrow(run, "a long, b long")
+    return dealt(rows.select("tile", "side", "id", "component", "set")).mapInArrow(run, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -300,9 +332,9 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     Each posting list is first tied to its smallest id, a star and not all
     pairs; in ROUNDS more, one member of each component that is left in a list is held against one of the
     list's largest. Lists that then still hold several components are settled in full,
-    but only between components: an id outside the list's largest one asks for
-    components, not for pairs. So everything that could join two components is
-    checked, and a large group of copies costs as many rows as it has members.
+    but only between components: an id outside the list's largest one asks for others. Components that meet so,
+    directly or through others, are a group, and its full sets are compared tile by tile. So everything that could join
+    two components is checked, and rows grow with members, not with pairs.
     """
     lists = postings(classes, rule)
     heads = lists.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token", "a")
@@ -325,8 +357,12 @@ def links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         pairs = by_list.drop("n").join(main, "token").where("component <> main").select("a", "b").distinct()
     several = marked.join(main.select("token", "main", "n"), "token")
     asks = cut(meetings(several, classes, rule))
-    asked = members.join(asks.select("component").distinct(), "component").select("id").unionByName(asks.select("id")).distinct()
-    more = linked(asks, members, classes, sets.unionByName(sets_of(asked.join(sets, "id", "left_anti"), docs, rule)), rule)
+    met = connected_components(asks.select(F.col("own").alias("a"), F.col("component").alias("b")))
+    met = cut(met.select(F.col("id").alias("component"), F.col("component").alias("group")))
+    grouped = cut(members.join(met, "component").join(classes.select("id", "n_shingles"), "id").select("id", "component", "group", "n_shingles"))
+    wanted = asks.select("id", F.col("own").alias("component")).distinct().join(met, "component").select("id", "group")
+    sets = sets.unionByName(sets_of(grouped.select("id").join(sets, "id", "left_anti"), docs, rule))
+    more = linked(gathered(wanted, grouped, sets), rule)
     return connected_components(found.unionByName(more))
 
 
