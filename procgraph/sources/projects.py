@@ -15,7 +15,7 @@ from procgraph.functions import csharp, expressions, ident
 
 EXCLUDED = (".local/**", ".settings/**", ".screenshots/**", "TestResults/**")
 PROJECT = "name STRING, main STRING, schemaVersion STRING, projectId STRING, description STRING, projectVersion STRING, targetFramework STRING, expressionLanguage STRING, dependencies MAP<STRING, STRING>, entryPoints ARRAY<STRUCT<filePath STRING, uniqueId STRING>>, designOptions STRUCT<outputType STRING>, _corrupt STRING"
-NODES = "path string, lft int, rgt int, depth int, parent int, tag string, display_name string, attributes map<string,string>, annotation string, text string, is_visual boolean, node_id string, visual_parent string, error string"
+NODES = "path string, lft int, rgt int, depth int, parent int, tag string, display_name string, attributes map<string,string>, annotation string, text string, is_visual boolean, node_id string, visual_parent string, error string, above string"
 #: The attribute that holds a note on its element.
 ANNOTATION = "Annotation.AnnotationText"
 # Parts of the names of coded files that hold no workflow.
@@ -77,7 +77,7 @@ def xml_nodes(found: DataFrame) -> DataFrame:
 
     A visual element has node_id, `/A/B/Tag[n]`: the tags on the way from the root, then its own with its place among the
     visual elements of that tag under the same parent; visual_parent is the node_id of the nearest visual ancestor of any element.
-    Its display name is `<tag>` where it has none, and its note is in annotation. Declarations of types and entities are refused.
+    Its display name is `<tag>` where it has none, its note is in annotation, and above has the tags on the way to it. Declarations of types and entities are refused.
     """
 
     def local(tag: str) -> str:
@@ -90,7 +90,7 @@ def xml_nodes(found: DataFrame) -> DataFrame:
                 raise ValueError("declarations are not allowed")
             root = ElementTree.fromstring(text)
         except (ElementTree.ParseError, ValueError) as e:
-            return [(path, *[None] * 12, str(e))]
+            return [(path, *[None] * 12, str(e), None)]
         rows, count, seen = [], 0, {}
         stack: list[tuple] = [(root, 0, None, "", None, None)]
         while stack:
@@ -105,7 +105,7 @@ def xml_nodes(found: DataFrame) -> DataFrame:
             if shown:
                 nth = seen[parent, tag] = seen.get((parent, tag), -1) + 1
                 own = f"{above}/{tag}[{nth}]"
-            row = [path, count, None, depth, parent, tag, attributes.get("DisplayName", f"<{tag}>"), attributes, note, (element.text or "").strip() or None, shown, own, visual, None]
+            row = [path, count, None, depth, parent, tag, attributes.get("DisplayName", f"<{tag}>"), attributes, note, (element.text or "").strip() or None, shown, own, visual, None, above]
             rows.append(row)
             stack.append((element, depth, parent, above, visual, row))
             stack += [(child, depth + 1, count, f"{above}/{tag}" if above else tag, own or visual, None) for child in reversed(list(element))]
