@@ -94,11 +94,11 @@ def dependencies(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return hit.select("src", dst.alias("dst"), "target", kind.alias("type"))
 
 
-def call_graph(catalog: DataFrame, calls: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
-    """nodes (id, path, is_entry_point, call_depth; -1 where no entry leads), dependencies, and cycles by a witness each."""
+def call_graph(catalog: DataFrame, calls: DataFrame, entries: DataFrame, most: int | None = None) -> dict[str, DataFrame]:
+    """nodes (id, path, is_entry_point, call_depth; -1 where no entry leads, in `most` calls if that is given), dependencies, and cycles by a witness each."""
     nodes, found = graph.cut(entry_nodes(catalog, entries)), graph.cut(dependencies(calls, catalog))
     edges = found.where("dst is not null").select("src", "dst").distinct()
-    depth = graph.call_depth(edges, nodes.where("is_entry_point").select(F.col("id").alias("node"))).withColumnRenamed("node", "id")
+    depth = graph.call_depth(edges, nodes.where("is_entry_point").select(F.col("id").alias("node")), most).withColumnRenamed("node", "id")
     nodes = nodes.join(depth, "id", "left").select("id", "path", "is_entry_point", F.coalesce("depth", F.lit(-1).cast("long")).alias("call_depth"))
     return {"nodes": nodes, "dependencies": found, "cycles": graph.witness_cycles(edges)}
 
