@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from procgraph.operators.graph import cut
 
@@ -50,24 +52,39 @@ def control_flow(nodes: DataFrame, tree: list[str]) -> DataFrame:
     return edges.unionByName(beside.where(loop).select(*tree, F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("loop-back").alias("kind")))
 
 
+def in_order(rows: DataFrame, tree: list[str]) -> DataFrame:
+    """rows by tree, and by lft within it: one shuffle and one sort, for tasks that read trees from start to end."""
+    return rows.repartition(*tree).sortWithinPartitions(*tree, "lft")
+
+
+def _nearest(tree: list[str]):
+    def task(batches):
+        at, open_ = None, []
+        for batch in batches:
+            found, keys = [], zip(*[batch[c].to_pylist() for c in tree])
+            for key, lft, rgt, own, holds in zip(keys, *[batch[c].to_pylist() for c in ("lft", "rgt", "id", "__holds")]):
+                if key != at:
+                    at, open_ = key, []
+                while open_ and open_[-1][0] < lft:
+                    open_.pop()
+                found.append(open_[-1][1] if open_ else None)
+                if holds:
+                    open_.append((rgt, own))
+            kept = [c for c in batch.schema.names if c != "__holds"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(found, batch["id"].type)], [*kept, "__found"])
+
+    return task
+
+
 def enclosing(nodes: DataFrame, tree: list[str], holds: Column, name: str = "container") -> DataFrame:
     """nodes with `name`: the id of the nearest ancestor that holds others; null without one.
 
-    Places are walked once a tree: a running sum over openings and closings says how many such nodes are open at each place, and of those
-    opened at one level the latest, a running maximum over lft, is the one still open. Two windows, no join, at any depth.
+    A task reads its trees in order and keeps the nodes that hold others and are still open, so its memory is one sort's and a tree's depth.
     """
-    here = nodes.select("*", F.coalesce(holds, F.lit(False)).alias("__holds"))
-    event = lambda place, delta, asks: F.struct(place.cast("long").alias("pos"), delta.cast("int").alias("delta"), F.lit(asks).alias("asks"))
-    opens = event(F.col("lft"), F.when(F.col("__holds"), 1).otherwise(0), True)
-    closes = F.when(F.col("__holds"), F.array(opens, event(F.col("rgt"), F.lit(-1), False))).otherwise(F.array(opens))
-    events = here.select(F.struct(*nodes.columns).alias("__row"), *tree, "id", "__holds", F.explode(closes).alias("__e"))
-    before = F.sum("__e.delta").over(Window.partitionBy(*tree).orderBy("__e.pos").rowsBetween(Window.unboundedPreceding, -1))
-    asked = events.withColumn("__level", F.coalesce(before, F.lit(0))).where("__e.asks")
-    # a node asks at its own level; one that holds others answers at the next
-    answer = F.when(F.col("__holds"), F.array(F.struct(F.col("__level").alias("level"), F.lit(True).alias("asks")), F.struct((F.col("__level") + 1).alias("level"), F.lit(False).alias("asks"))))
-    placed = asked.withColumn("__p", F.explode(F.coalesce(answer, F.array(F.struct(F.col("__level").alias("level"), F.lit(True).alias("asks"))))))
-    latest = F.max(F.when(~F.col("__p.asks"), F.struct(F.col("__e.pos").alias("pos"), F.col("id").alias("id")))).over(Window.partitionBy(*tree, "__p.level").orderBy("__e.pos").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("__latest", latest).where("__p.asks").select("__row.*", F.col("__latest.id").alias(name))
+    kind = nodes.schema["id"].dataType
+    schema = StructType([*nodes.schema.fields, StructField("__found", kind)])
+    rows = in_order(nodes.withColumn("__holds", F.coalesce(holds, F.lit(False))), tree)
+    return rows.mapInArrow(_nearest(tree), schema).withColumnRenamed("__found", name)
 
 
 def unpruned(nodes: DataFrame, tree: list[str], keep: Column) -> DataFrame:
@@ -89,18 +106,6 @@ def is_activity(tag: Column, has_name: Column) -> Column:
     return tag.isin(*ACTIVITY_TAGS) | has_name | tag.contains("Activity")
 
 
-def interval_counts(points: DataFrame, spans: DataFrame, group: list[str], key: str) -> DataFrame:
-    """(group, id, key, n): how many points (group, pos, key) lie within each span (group, id, lft, rgt).
-
-    The running count of a key at a span's end less that at its start, a point there not counted: spans meet the keys of their group, never its points.
-    """
-    keys = points.select(*group, key).distinct()
-    ends = spans.join(keys, group).select(*group, key, "id", F.explode(F.array(F.struct(F.col("lft").cast("long").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").cast("long").alias("pos"), F.lit(1).alias("sign")))).alias("e"))
-    rows = points.select(*group, key, F.lit(None).cast(spans.schema["id"].dataType).alias("id"), F.struct(F.col("pos").cast("long").alias("pos"), F.lit(0).alias("sign")).alias("e")).unionByName(ends)
-    so_far = F.sum(F.when(F.col("e.sign") == 0, 1).otherwise(0)).over(Window.partitionBy(*group, key).orderBy("e.pos", F.abs("e.sign")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", so_far).where("e.sign <> 0").groupBy(*group, "id", key).agg(F.sum(F.col("so_far") * F.col("e.sign")).alias("n")).where("n > 0")
-
-
 def descendants(nodes: DataFrame, tree: list[str]) -> DataFrame:
     """nodes below a container, with `run`: the topmost container of those, each directly in the next, that the node lies in.
 
@@ -112,26 +117,58 @@ def descendants(nodes: DataFrame, tree: list[str]) -> DataFrame:
     return below.where("container = parent").drop("__is", "__top", "container")
 
 
+def _statistics(tree: list[str]):
+    def task(batches):
+        at, open_, done, kinds = None, [], [], None
+
+        def close():
+            x = open_.pop()
+            done.append((*at, x["id"], x["total"], x["visual"], max(x["deepest"] - x["depth"], 0), sorted(x["types"].items())))
+            if x["linked"]:
+                up = open_[-1]
+                up["total"], up["visual"], up["deepest"] = up["total"] + x["total"], up["visual"] + x["visual"], max(up["deepest"], x["deepest"])
+                for tag, n in x["types"].items():
+                    up["types"][tag] = up["types"].get(tag, 0) + n
+
+        def flush():
+            columns = [pa.array(c, k) for c, k in zip(zip(*done), kinds)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, [*tree, "id", "total_child_activities", "visual_activities", "max_depth", "activity_type_counts"])
+
+        for batch in batches:
+            kinds = [*[batch[c].type for c in (*tree, "id")], pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.int64())]
+            keys = zip(*[batch[c].to_pylist() for c in tree])
+            for key, lft, rgt, own, parent, depth, tag, visual, holds in zip(keys, *[batch[c].to_pylist() for c in ("lft", "rgt", "id", "parent", "depth", "tag", "is_visual", "__holds")]):
+                while open_ and (key != at or open_[-1]["rgt"] < lft):
+                    close()
+                at = key
+                up = open_[-1] if open_ else None
+                linked = up is not None and up["id"] == parent
+                if linked:
+                    up["total"], up["visual"], up["deepest"] = up["total"] + 1, up["visual"] + bool(visual), max(up["deepest"], depth)
+                    up["types"][tag] = up["types"].get(tag, 0) + 1
+                if holds:
+                    open_.append({"rgt": rgt, "id": own, "depth": depth, "linked": linked, "total": 0, "visual": 0, "deepest": depth, "types": {}})
+            if done:
+                yield flush()
+        while open_:
+            close()
+        if done:
+            yield flush()
+
+    return task
+
+
 def container_statistics(nodes: DataFrame, tree: list[str]) -> DataFrame:
     """For each container (tree, id): total_child_activities, visual_activities, max_depth below it, and activity_type_counts as a map.
 
-    nodes has lft, rgt, depth, parent, tag and is_visual. Containers without a child have zeros and an empty map.
+    nodes has lft, rgt, depth, parent, tag and is_visual. What is below a container stops at what is no container. Containers without a child
+    have zeros and an empty map. A task reads its trees in order; a container that ends adds its counts to its parent's, if that is one.
     """
-    inside = descendants(nodes, tree)
-    containers_ = nodes.where(F.col("tag").isin(*CONTAINERS)).select(*tree, "id", "lft", "rgt", "depth")
-    # its own run is that of its children: the one it is in, or the one it starts
-    spans = containers_.join(inside.select(*tree, F.col("parent").alias("id"), "run").distinct(), [*tree, "id"])
-    group = [*tree, "run"]
-    points = inside.select(*group, F.col("lft").alias("pos"), "tag", F.coalesce("is_visual", F.lit(False)).alias("is_visual"), F.col("depth").alias("level"))
-    by_tag = interval_counts(points.withColumn("kind", F.struct("tag", "is_visual")), spans, group, "kind")
-    by_type = by_tag.groupBy(*tree, "id", F.col("kind.tag").alias("tag")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind.is_visual"), F.col("n")).otherwise(0)).alias("visual"))
-    counts = by_type.groupBy(*tree, "id").agg(F.sum("n").alias("total"), F.sum("visual").alias("visual"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("types"))
-    deepest = interval_counts(points, spans, group, "level").groupBy(*tree, "id").agg(F.max("level").alias("deepest"))
-    out = containers_.join(counts, [*tree, "id"], "left").join(deepest, [*tree, "id"], "left")
-    return out.select(
-        *tree, "id", F.coalesce("total", F.lit(0)).alias("total_child_activities"), F.coalesce("visual", F.lit(0)).alias("visual_activities"),
-        F.coalesce(F.col("deepest") - F.col("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce("types", F.create_map().cast("map<string,bigint>")).alias("activity_type_counts"),
-    )
+    rows = nodes.select(*tree, "id", "parent", "lft", "rgt", "depth", "tag", "is_visual", F.coalesce(F.col("tag").isin(*CONTAINERS), F.lit(False)).alias("__holds"))
+    long = [StructField(c, LongType()) for c in ("total_child_activities", "visual_activities", "max_depth")]
+    schema = StructType([*[nodes.schema[c] for c in (*tree, "id")], *long, StructField("activity_type_counts", MapType(StringType(), LongType()))])
+    return in_order(rows, tree).mapInArrow(_statistics(tree), schema)
 
 
 def containers(nodes: DataFrame, tree: list[str]) -> DataFrame:
