@@ -2,41 +2,88 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from procgraph.operators.graph import written
+from procgraph.operators.trees import in_order
+
+
+def _nested(tree: list[str], children: str, head: str):
+    begin, size = f',"{children}":[', 8 << 20
+
+    def task(batches):
+        # open_: the ids from a root down, and whether each has children yet
+        at, open_, parts, roots, done, kinds, waiting = None, [], [], [], [], None, 0
+
+        def close(level):
+            parts.append("]}" * (len(open_) - level))
+            del open_[level:]
+            if not level:
+                roots.append("".join(parts))
+                parts.clear()
+
+        def end():
+            nonlocal waiting
+            if open_:
+                close(0)
+            if roots:
+                done.append((*at, roots[0] if len(roots) == 1 else head[:-1] + begin + ",".join(roots) + "]}"))
+                waiting += len(done[-1][-1])
+                roots.clear()
+
+        def flush():
+            nonlocal waiting
+            columns = [pa.array(c, k) for c, k in zip(zip(*done), kinds)]
+            done.clear()
+            waiting = 0
+            return pa.RecordBatch.from_arrays(columns, [*tree, "document"])
+
+        for batch in batches:
+            kinds = [*[batch[c].type for c in tree], pa.string()]
+            keys = zip(*[batch[c].to_pylist() for c in tree])
+            for key, own, parent, text in zip(keys, *[batch[c].to_pylist() for c in ("id", "parent", "__own")]):
+                if key != at:
+                    end()
+                    if waiting > size:
+                        yield flush()
+                    at = key
+                level = 0
+                if parent is not None:
+                    level = next((i for i in range(len(open_), 0, -1) if open_[i - 1][0] == parent), None)
+                    if level is None:  # what it hangs on isn't there
+                        continue
+                if len(open_) > level:
+                    close(level)
+                if level:
+                    parts.append("," if open_[-1][1] else "")
+                    open_[-1][1] = True
+                parts.append(text[:-1] + begin)
+                open_.append([own, False])
+        end()
+        if done:
+            yield flush()
+
+    return task
 
 
 def tree_documents(nodes: DataFrame, tree: list[str], fields: dict[str, str], children: str = "children", root: dict[str, str] | None = None) -> DataFrame:
-    """(tree, document): each tree of nodes(id, parent, lft, depth, ...) as one JSON text, children in order of lft.
+    """(tree, document): each tree of nodes(id, parent, lft, ...) as one JSON text, children in order of lft.
 
-    fields are JSON names and the columns that they hold, in order; an absent value is null. Documents are folded from the
-    leaves up: a level's nodes take up what waits for them, so each level is one join, and gaps in depth (levels that
-    were filtered out) do no harm. Several roots of a tree come below one of `root`'s fields. A tree without nodes has no document.
+    fields are JSON names and the columns that they hold, in order; an absent value is null. A task reads its trees in order and writes
+    a node's text as it begins and ends, so nodes are shuffled once and texts never; gaps in depth (levels that were filtered out) do no harm, and
+    what hangs on an absent node is left out. Several roots of a tree come below one of `root`'s fields. A tree without nodes has no document.
     """
     root = root or {"nodeId": "root", "activityType": "Activity", "displayName": "Activity"}
     own = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
-    rows = written(nodes.select(*tree, "id", "parent", "lft", "depth", own.alias("own")))
-    inside = lambda head, docs: F.concat(F.regexp_replace(head, r"\}$", f',"{children}":['), F.array_join(docs, ","), F.lit("]}"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lft", "document"))), lambda x: x.document).alias("docs")
-    waiting, deepest = None, rows.agg(F.max("depth")).first()[0]
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = rows.where(F.col("depth") == depth)
-        if waiting is None:
-            made = level.withColumn("docs", F.array().cast("array<string>"))
-        else:
-            taken = waiting.groupBy(*tree, F.col("parent").alias("id")).agg(ordered)
-            made = level.join(taken, [*tree, "id"], "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<string>")))
-        made = made.select(*tree, "id", "parent", "lft", inside(F.col("own"), F.col("docs")).alias("document"))
-        if waiting is not None:
-            made = made.unionByName(waiting.join(level.select(*tree, F.col("id").alias("parent")), [*tree, "parent"], "left_anti"))
-        waiting = written(made)
-    if waiting is None:
-        return rows.select(*tree, F.lit("").alias("document")).limit(0)
-    head = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in root.items()]))
-    roots = waiting.where("parent is null").groupBy(*tree).agg(ordered)
-    return roots.select(*tree, F.when(F.size("docs") == 1, F.element_at("docs", 1)).otherwise(inside(head, F.col("docs"))).alias("document"))
+    rows = in_order(nodes.select(*dict.fromkeys([*tree, "id", "parent", "lft", *fields.values()])), tree).select(*tree, "id", "parent", own.alias("__own"))
+    head = json.dumps({k: v for k, v in root.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
+    schema = StructType([*[nodes.schema[c] for c in tree], StructField("document", StringType())])
+    return rows.mapInArrow(_nested(tree, children, head), schema)
 
 
 def flat_nodes(documents: DataFrame, tree: list[str], fields: dict[str, str], children: str = "children") -> DataFrame:
