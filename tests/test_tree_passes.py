@@ -41,10 +41,12 @@ def test_deep_trees(spark):
         r = got["a", f"c{i}"]
         want = {"Delay": leaves} | ({"Sequence": 199 - i} if i < 199 else {})
         assert (r["total_child_activities"], r["visual_activities"], r["max_depth"], r["activity_type_counts"]) == (199 - i + leaves, 199 - i, 200 - i, want)
-    docs = documents.tree_documents(nodes, ["tree"], FIELDS)
-    assert docs.count() == 2
-    flat = documents.flat_nodes(docs, ["tree"], FIELDS)
-    assert sorted((r["tree"], r["id"], r["parent"]) for r in flat.where("size(place) < 9").collect()) == sorted((r["tree"], r["id"], r["parent"]) for r in nodes.where("depth < 9").collect())
+    docs = documents.tree_documents(nodes, ["tree"], FIELDS).collect()
+    found, todo = [], [(r["tree"], json.loads(r["document"])) for r in docs]
+    for tree, node in todo:
+        found.append((tree, node["nodeId"], node["parentId"]))
+        todo += [(tree, c) for c in node["children"]]
+    assert len(docs) == 2 and sorted(found, key=str) == sorted(((r["tree"], r["id"], r["parent"]) for r in nodes.collect()), key=str)
 
 
 def test_absent_parents_and_odd_documents(spark):
