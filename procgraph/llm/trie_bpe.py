@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from procgraph.llm.common import doc_text
-from procgraph.llm.token_ids import WordEncoder, text_batches, texts_of, vocabulary_path
+from procgraph.llm.token_ids import WordEncoder, WordMemory, text_batches, texts_of, vocabulary_path, words_in
 
 #: Symbols up to which a piece goes into the trie; a longer one shares no prefix worth a node a symbol and is walked alone.
 LONGEST_IN_TRIE = 64
@@ -195,7 +195,8 @@ class TrieEncoder(WordEncoder):
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS):
-        super().__init__(path, most)
+        super().__init__(path)
+        self.memory = WordMemory(self._encode, most)
         self.merges = Merges(path)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
 
@@ -236,6 +237,14 @@ class TrieEncoder(WordEncoder):
         return [ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for p in made]
 
 
+    def __call__(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        codes, offsets, words = words_in(texts)
+        parts = self.memory(words.to_pylist())
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+        return b"".join([parts[c] for c in codes.tolist()]), ends[offsets]
+
+
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> TrieEncoder:
     """One encoder a worker process: what it remembers serves its next tasks too."""
