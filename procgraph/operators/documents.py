@@ -71,16 +71,16 @@ def _nested(tree: list[str], children: str, head: str):
     return task
 
 
-def tree_documents(nodes: DataFrame, tree: list[str], fields: dict[str, str], children: str = "children", root: dict[str, str] | None = None) -> DataFrame:
+def tree_documents(nodes: DataFrame, tree: list[str], fields: dict[str, str], children: str = "children", root: dict[str, str] | None = None, n: int | None = None) -> DataFrame:
     """(tree, document): each tree of nodes(id, parent, lft, ...) as one JSON text, children in order of lft.
 
     fields are JSON names and the columns that they hold, in order; an absent value is null. A task reads its trees in order and writes
     a node's text as it begins and ends, so nodes are shuffled once and texts never; gaps in depth (levels that were filtered out) do no harm, and
-    what hangs on an absent node is left out. Several roots of a tree come below one of `root`'s fields. A tree without nodes has no document.
+    what hangs on an absent node is left out. Several roots of a tree come below one of `root`'s fields. A tree without nodes has no document. n as in trees.in_order.
     """
     root = root or {"nodeId": "root", "activityType": "Activity", "displayName": "Activity"}
     own = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
-    rows = in_order(nodes.select(*dict.fromkeys([*tree, "id", "parent", "lft", *fields.values()])), tree).select(*tree, "id", "parent", own.alias("__own"))
+    rows = in_order(nodes.select(*dict.fromkeys([*tree, "id", "parent", "lft", *fields.values()])), tree, n).select(*tree, "id", "parent", own.alias("__own"))
     head = json.dumps({k: v for k, v in root.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
     schema = StructType([*[nodes.schema[c] for c in tree], StructField("document", StringType())])
     return rows.mapInArrow(_nested(tree, children, head), schema)

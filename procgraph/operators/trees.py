@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
@@ -52,9 +54,23 @@ def control_flow(nodes: DataFrame, tree: list[str]) -> DataFrame:
     return edges.unionByName(beside.where(loop).select(*tree, F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("loop-back").alias("kind")))
 
 
-def in_order(rows: DataFrame, tree: list[str]) -> DataFrame:
-    """rows by tree, and by lft within it: one shuffle and one sort, for tasks that read trees from start to end."""
-    return rows.repartition(*tree).sortWithinPartitions(*tree, "lft")
+#: Rows that a task of a shuffle sorts, about.
+TASK_ROWS = 1_000_000
+
+
+def parts(spark: SparkSession, n: int) -> int | None:
+    """Partitions that n rows take at TASK_ROWS each, so that a task's sort doesn't grow with them; None where the session has as many."""
+    n = math.ceil(n / TASK_ROWS)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def in_order(rows: DataFrame, tree: list[str], n: int | None = None) -> DataFrame:
+    """rows by tree, and by lft within it: one shuffle and one sort, for tasks that read trees from start to end.
+
+    n is about how many rows there are; they are counted if it isn't given. Tasks take TASK_ROWS each, or a tree that has more.
+    """
+    some = parts(rows.sparkSession, rows.count() if n is None else n)
+    return (rows.repartition(some, *tree) if some else rows.repartition(*tree)).sortWithinPartitions(*tree, "lft")
 
 
 def _nearest(tree: list[str]):
@@ -76,21 +92,21 @@ def _nearest(tree: list[str]):
     return task
 
 
-def enclosing(nodes: DataFrame, tree: list[str], holds: Column, name: str = "container") -> DataFrame:
-    """nodes with `name`: the id of the nearest ancestor that holds others; null without one.
+def enclosing(nodes: DataFrame, tree: list[str], holds: Column, name: str = "container", n: int | None = None) -> DataFrame:
+    """nodes with `name`: the id of the nearest ancestor that holds others; null without one. n as in in_order.
 
     A task reads its trees in order and keeps the nodes that hold others and are still open, so its memory is one sort's and a tree's depth.
     """
     kind = nodes.schema["id"].dataType
     schema = StructType([*nodes.schema.fields, StructField("__found", kind)])
-    rows = in_order(nodes.withColumn("__holds", F.coalesce(holds, F.lit(False))), tree)
+    rows = in_order(nodes.withColumn("__holds", F.coalesce(holds, F.lit(False))), tree, n)
     return rows.mapInArrow(_nearest(tree), schema).withColumnRenamed("__found", name)
 
 
-def unpruned(nodes: DataFrame, tree: list[str], keep: Column) -> DataFrame:
+def unpruned(nodes: DataFrame, tree: list[str], keep: Column, n: int | None = None) -> DataFrame:
     """The roots, and the nodes to keep that a walk finds which doesn't go below one that isn't kept."""
     root = F.col("parent").isNull()
-    met = enclosing(nodes.withColumn("__keep", F.coalesce(keep, F.lit(False)) | root), tree, ~F.col("__keep"), "__above")
+    met = enclosing(nodes.withColumn("__keep", F.coalesce(keep, F.lit(False)) | root), tree, ~F.col("__keep"), "__above", n)
     return met.where("__keep and __above is null").drop("__keep", "__above")
 
 
@@ -106,14 +122,15 @@ def is_activity(tag: Column, has_name: Column) -> Column:
     return tag.isin(*ACTIVITY_TAGS) | has_name | tag.contains("Activity")
 
 
-def descendants(nodes: DataFrame, tree: list[str]) -> DataFrame:
+def descendants(nodes: DataFrame, tree: list[str], n: int | None = None) -> DataFrame:
     """nodes below a container, with `run`: the topmost container of those, each directly in the next, that the node lies in.
 
     A container's descendants are the nodes of its run inside it: they stop at what is no container, whose own children are in no run with it.
     """
-    held = enclosing(nodes.withColumn("__is", F.col("tag").isin(*CONTAINERS)), tree, F.col("__is"))
+    n = nodes.count() if n is None else n
+    held = enclosing(nodes.withColumn("__is", F.col("tag").isin(*CONTAINERS)), tree, F.col("__is"), n=n)
     top = F.col("__is") & (F.col("container").isNull() | (F.col("container") != F.col("parent")))
-    below = enclosing(held.withColumn("__top", top), tree, F.col("__top"), "run")
+    below = enclosing(held.withColumn("__top", top), tree, F.col("__top"), "run", n)
     return below.where("container = parent").drop("__is", "__top", "container")
 
 
@@ -159,7 +176,7 @@ def _statistics(tree: list[str]):
     return task
 
 
-def container_statistics(nodes: DataFrame, tree: list[str]) -> DataFrame:
+def container_statistics(nodes: DataFrame, tree: list[str], n: int | None = None) -> DataFrame:
     """For each container (tree, id): total_child_activities, visual_activities, max_depth below it, and activity_type_counts as a map.
 
     nodes has lft, rgt, depth, parent, tag and is_visual. What is below a container stops at what is no container. Containers without a child
@@ -168,7 +185,7 @@ def container_statistics(nodes: DataFrame, tree: list[str]) -> DataFrame:
     rows = nodes.select(*tree, "id", "parent", "lft", "rgt", "depth", "tag", "is_visual", F.coalesce(F.col("tag").isin(*CONTAINERS), F.lit(False)).alias("__holds"))
     long = [StructField(c, LongType()) for c in ("total_child_activities", "visual_activities", "max_depth")]
     schema = StructType([*[nodes.schema[c] for c in (*tree, "id")], *long, StructField("activity_type_counts", MapType(StringType(), LongType()))])
-    return in_order(rows, tree).mapInArrow(_statistics(tree), schema)
+    return in_order(rows, tree, n).mapInArrow(_statistics(tree), schema)
 
 
 def containers(nodes: DataFrame, tree: list[str]) -> DataFrame:

@@ -55,3 +55,15 @@ def test_absent_parents_and_odd_documents(spark):
     assert len(docs) == 1 and json.loads(docs[0]["document"]) == {"nodeId": "r", "children": [{"nodeId": "x", "children": [{"nodeId": "w", "children": []}]}]}
     odd = spark.createDataFrame([("a", '{"nodeId": 1, "children": [null, {"nodeId": "x", "children": "no"}, {"nodeId": {"k": 2}}]}'), ("b", "{"), ("c", None)], "tree string, document string")
     assert sorted((r["tree"], tuple(r["place"]), r["id"]) for r in documents.flat_nodes(odd, ["tree"], {"nodeId": "id"}).collect() if r["id"]) == [("a", (), "1"), ("a", (1,), "x"), ("a", (2,), '{"k":2}')]
+
+
+def test_tasks_have_bounded_rows(spark, monkeypatch):
+    nodes = nodes_of(spark)
+    held = F.col("tag").isin(*trees.CONTAINERS)
+    some = nodes.where("lft < 30").crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("tree", F.concat_ws("/", "tree", "copy"))
+    want = sorted(map(tuple, trees.enclosing(some, ["tree"], held).select("tree", "id", "container").collect()))
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    n = some.count()
+    for df in (trees.enclosing(some, ["tree"], held), trees.unpruned(some, ["tree"], held), trees.container_statistics(some, ["tree"]), documents.tree_documents(some, ["tree"], FIELDS, n=n)):
+        assert df.rdd.getNumPartitions() == -(-n // 100)
+    assert sorted(map(tuple, trees.enclosing(some, ["tree"], held).select("tree", "id", "container").collect())) == want
