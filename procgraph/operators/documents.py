@@ -7,9 +7,8 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from procgraph.operators.graph import written
 from procgraph.operators.trees import in_order
 
 
@@ -86,16 +85,65 @@ def tree_documents(nodes: DataFrame, tree: list[str], fields: dict[str, str], ch
     return rows.mapInArrow(_nested(tree, children, head), schema)
 
 
+def _flat(tree: list[str], names: list[str], columns: list[str], children: str):
+    size = 20_000
+
+    def parsed(text):
+        try:
+            return json.JSONDecoder().raw_decode(text.strip())[0]
+        except (ValueError, RecursionError):
+            return None
+
+    def task(batches):
+        for batch in batches:
+            kinds = [*[batch[c].type for c in tree], pa.list_(pa.int32()), *[pa.string()] * (len(names) + 1)]
+            done = []
+
+            def flush():
+                made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], [*tree, "place", *columns, "__odd"])
+                done.clear()
+                return made
+
+            for i, key in enumerate(zip(*[batch[c].to_pylist() for c in tree])):
+                todo = [([], parsed(batch["document"][i].as_py()))]
+                while todo:
+                    place, node = todo.pop()
+                    if isinstance(node, str):  # a text that holds JSON
+                        node = parsed(node)
+                    said, odd, below = [], {}, None
+                    if isinstance(node, dict):
+                        below = node.get(children)
+                        for j, name in enumerate(names):
+                            value = node.get(name)
+                            if value is not None and not isinstance(value, str):
+                                if isinstance(value, bool):
+                                    value = "true" if value else "false"
+                                elif isinstance(value, int):
+                                    value = str(value)
+                                else:
+                                    odd[f"f{j}"], value = value, None
+                            said.append(value if value is None or value.isascii() else value.encode("utf-8", "replace").decode())
+                    done.append((*key, place, *(said or [None] * len(names)), json.dumps(odd) if odd else None))
+                    if isinstance(below, str):
+                        below = parsed(below)
+                    if isinstance(below, list):
+                        todo += [([*place, n], below[n]) for n in range(len(below) - 1, -1, -1)]
+                    if len(done) >= size:
+                        yield flush()
+            if done:
+                yield flush()
+
+    return task
+
+
 def flat_nodes(documents: DataFrame, tree: list[str], fields: dict[str, str], children: str = "children") -> DataFrame:
     """The nodes of documents(tree, document): the columns of `fields` as strings, and place, the way to a node by numbers of children, which sorts into reading order.
 
-    One step a level over that level's documents. A document that isn't JSON gives no rows.
+    One pass: a task reads one document at a time and writes nothing but nodes. Numbers with fractions, lists and objects as fields are
+    given as Spark's JSON functions write them. A document that isn't JSON gives no rows.
     """
-    level = written(documents.select(*tree, F.array().cast("array<int>").alias("place"), "document").where(F.try_parse_json("document").isNotNull()))
-    out = None
-    while not level.isEmpty():
-        named = level.select(*tree, "place", *[F.get_json_object("document", f"$.{name}").alias(c) for name, c in fields.items()])
-        out = named if out is None else out.unionByName(named)
-        below = F.from_json(F.get_json_object("document", f"$.{children}"), "array<string>")
-        level = written(level.select(*tree, "place", F.posexplode(below).alias("n", "child")).select(*tree, F.concat("place", F.array("n")).alias("place"), F.col("child").alias("document")))
-    return level.select(*tree, "place", *[F.lit("").alias(c) for c in fields.values()]) if out is None else out
+    names, columns = list(fields), list(fields.values())
+    strings = [StructField(c, StringType()) for c in (*columns, "__odd")]
+    schema = StructType([*[documents.schema[c] for c in tree], StructField("place", ArrayType(IntegerType())), *strings])
+    found = documents.select(*tree, "document").where(F.try_parse_json("document").isNotNull()).mapInArrow(_flat(tree, names, columns, children), schema)
+    return found.select(*tree, "place", *[F.coalesce(F.col(c), F.get_json_object("__odd", f"$.f{j}")).alias(c) for j, c in enumerate(columns)])

@@ -57,6 +57,18 @@ def test_absent_parents_and_odd_documents(spark):
     assert sorted((r["tree"], tuple(r["place"]), r["id"]) for r in documents.flat_nodes(odd, ["tree"], {"nodeId": "id"}).collect() if r["id"]) == [("a", (), "1"), ("a", (1,), "x"), ("a", (2,), '{"k":2}')]
 
 
+def test_flat_nodes_write_nothing(spark, monkeypatch):
+    rows = [("a", '{"nodeId": 1.50, "x": "é\\ud800", "children": [null, "{\\"nodeId\\": true}", [1], {"nodeId": [1e5, {"k": "ü"}], "children": "[{\\"nodeId\\": \\"in\\"}]"}]} z'), ("b", "3"), ("c", '{"nodeId": NaN}')]
+    odd = spark.createDataFrame(rows, "tree string, document string")
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", None)
+    flat = documents.flat_nodes(odd, ["tree"], {"nodeId": "id", "x": "x"})
+    assert "Exchange" not in plan(flat) and "Scan parquet" not in plan(flat)
+    got = sorted((r["tree"], tuple(r["place"]), r["id"], r["x"]) for r in flat.collect())
+    assert got == [
+        ("a", (), "1.5", "é?"), ("a", (0,), None, None), ("a", (1,), "true", None), ("a", (2,), None, None), ("a", (3,), '[100000.0,{"k":"ü"}]', None), ("a", (3, 0), "in", None), ("b", (), None, None),
+    ]
+
+
 def test_tasks_have_bounded_rows(spark, monkeypatch):
     nodes = nodes_of(spark)
     held = F.col("tag").isin(*trees.CONTAINERS)
