@@ -31,6 +31,8 @@ MOST_GROUPS = 64
 TABULATED = 1024
 #: Documents looked at for contexts that are spread over all buckets. The results don't depend on which these are.
 SAMPLED_DOCS = 20_000
+#: Dishes whose tables are drawn at once.
+DISHES = 250_000
 
 
 @dataclass(frozen=True)
@@ -66,8 +68,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+def unpack(data: bytes | pa.Buffer) -> list[np.ndarray]:
+    out, at, data = [], 0, memoryview(data)
     data = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     while at < len(data):
         kind, size, n = np.frombuffer(data[at : at + 24], "<i8").tolist()
@@ -82,10 +84,12 @@ def table(rows: list[tuple]) -> pa.Table:
     return pa.table({"dest": pa.array(dest, pa.int64()), "source": pa.array(source, pa.int64()), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def messages(rows: pa.Table, kind: int) -> list[tuple[int, bytes]]:
-    """(source, data) of the rows of a kind, by source."""
-    rows = rows.filter(pc.equal(rows["kind"], kind)).sort_by("source")
-    return list(zip(rows["source"].to_pylist(), rows["data"].to_pylist()))
+def messages(rows: pa.Table, kind: int) -> list[tuple[int, pa.Buffer]]:
+    """(source, data) of the rows of a kind, by source; data isn't copied."""
+    at = np.flatnonzero(rows["kind"].to_numpy() == kind)
+    source = rows["source"].to_numpy()[at]
+    order = np.argsort(source, kind="stable")
+    return [(n, rows["data"][i].as_buffer()) for n, i in zip(source[order].tolist(), at[order].tolist())]
 
 
 # Draws: functions of a key alone, so that a lost task draws the same again and buckets of any size draw alike
@@ -378,25 +382,39 @@ class Bucket:
 
     def __init__(self, rows: pa.Table, model: Model, groups: int, spread: np.ndarray):
         self.model, self.groups = model, groups
-        self.slices, words, contexts, counts = [], [], [], []
-        for source, data in messages(rows, PAIRS):
-            context, runs, word, place, count = unpack(data)
-            self.slices.append((source, word, len(place)))
-            words.append(word[place])
-            contexts.append(np.repeat(context, runs))
-            counts.append(count)
-        words = np.concatenate(words)
-        contexts = np.concatenate(contexts)
-        self.key, first, pair = np.unique(pair_key(words, contexts), return_index=True, return_inverse=True)
-        words, contexts, self.pair = words[first], contexts[first], pair.astype(np.int32)
-        del first, pair
-        self.count = np.bincount(self.pair, np.concatenate(counts), len(self.key)).astype(np.int64)
-        self.words, word = np.unique(words, return_inverse=True)
-        self.contexts, context = np.unique(contexts, return_inverse=True)
-        self.word, self.context = word.astype(np.int32), context.astype(np.int32)
+        told = messages(rows, PAIRS)
+        names = [unpack(data)[:3] for _, data in told]  # what pairs are made of is few; pairs themselves are held by 32-bit codes
+        self.words, self.contexts = distinct([x[2] for x in names]), distinct([x[0] for x in names])
+        self.slices, sizes = [], [int(runs.sum()) for _, runs, _ in names]
+        del names
+        pairs, count, at = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.uint32), 0
+        for (source, data), size in zip(told, sizes):
+            context, runs, word, place, counts = unpack(data)
+            code = np.searchsorted(self.words, word).astype(np.int32)
+            pairs[at : at + size] = np.repeat(np.searchsorted(self.contexts, context), runs)
+            pairs[at : at + size] *= len(self.words)
+            pairs[at : at + size] += code[place]
+            count[at : at + size] = counts
+            self.slices.append((source, code, size))
+            at += size
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        new = np.ones(len(pairs), bool)
+        np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+        pairs = pairs[new]
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order, new
+        self.count = np.bincount(self.pair, count, len(pairs)).astype(np.int64)
+        del count
+        self.context, self.word = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
         self.spread = np.flatnonzero(np.isin(self.contexts, spread))
         self.edges, self.spread_edges = (np.searchsorted(group_of(x, groups), np.arange(groups + 1)) for x in (self.words, self.contexts[self.spread]))
 
+    def runs(self) -> list[slice]:
+        """Pairs by DISHES: what is computed for each takes the memory of so many, not of a bucket."""
+        return [slice(at, at + DISHES) for at in range(0, len(self.count), DISHES)]
+
     def by_context(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, x, len(self.contexts)).astype(np.int64)
 
@@ -437,12 +455,27 @@ class Bucket:
         """
         m = self.model
         x = gamma(m.strength / m.discount + state["tables"], self.contexts, salt(sweep))
-        return draw_tables(self.count, m.discount * x[self.context] * state["root"][self.word], self.key, m.discount, salt(sweep) + (1 << 36))
+        tables = np.empty(len(self.count), np.int64)
+        for some in self.runs():
+            word, context = self.word[some], self.context[some]
+            key = pair_key(self.words[word], self.contexts[context])
+            tables[some] = draw_tables(self.count[some], m.discount * x[context] * state["root"][word], key, m.discount, salt(sweep) + (1 << 36))
+        return tables
 
     def predictive(self, tables: np.ndarray, state: dict) -> np.ndarray:
-        m = self.model
-        own = np.maximum(self.count - m.discount * tables, 0)
-        return (own + (m.strength + m.discount * state["tables"][self.context]) * state["root"][self.word]) / (m.strength + state["customers"][self.context])
+        m, out = self.model, np.empty(len(self.count))
+        for some in self.runs():
+            own, context = np.maximum(self.count[some] - m.discount * tables[some], 0), self.context[some]
+            out[some] = (own + (m.strength + m.discount * state["tables"][context]) * state["root"][self.word[some]]) / (m.strength + state["customers"][context])
+        return out
+
+
+def distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    """All values, sorted, each once; at most two arrays' worth beyond the values are held at a time."""
+    out = arrays[0][:0]
+    for at in range(0, len(arrays), 16):
+        out = np.unique(np.concatenate([out, *arrays[at : at + 16]]))
+    return out
 
 
 def group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
@@ -508,7 +541,7 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     def settle(sweep: int):
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             told = messages(rows, TO_ROOT)
-            own = [(key[0].as_py(), s, OWN + 5 * sweep, d) for s, d in messages(rows, OWN)]
+            own = [(key[0].as_py(), s, OWN + 5 * sweep, d.to_pybytes()) for s, d in messages(rows, OWN)]
             return table(own + (gather(told, model, sweep, key[0].as_py()) if told else []))
 
         return run
@@ -533,7 +566,7 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
             before = now
         term, out, at = np.rint(-np.log10(mean) * FIXED).astype(np.uint32), [], 0
         for source, words, m in bucket.slices:
-            count = before["c"][np.searchsorted(bucket.words, words)].astype(np.uint32)
+            count = before["c"][words].astype(np.uint32)
             out.append((source, key[0].as_py(), SCORES, pack(term[bucket.pair[at : at + m]], count, before["sums"])))
             at += m
         return table(out)
