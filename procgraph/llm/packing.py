@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from procgraph.llm.common import doc_text
-from procgraph.llm.token_ids import UnitEncoder, text_batches, vocabulary_path
+from procgraph.llm.token_ids import UnitEncoder, release_unused, text_batches, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,7 +100,7 @@ class LevelPacker:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 1024, end_id: int = 0, most_padding: float = 0.02) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 1024, end_id: int = 0, most_padding: float = 0.02, remembered: int = 600_000, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row for each piece of a document's ids (its text's ids, then end_id) and its place in a window.
 
     Each task packs what it scans: no row moves between tasks, a lost task is
@@ -110,19 +110,22 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 1024, end_i
 
     A null or empty text has only the end id. Rows that repeat a doc_id and a
     null doc_id are packed as documents of their own; an empty table gives no
-    rows; other columns aren't read.
+    rows; other columns aren't read. A task takes batch_bytes of text at once and remembers
+    `remembered` units' ids: fewer take less memory and more time, the rows are the same.
     """
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = UnitEncoder(vocabulary), LevelPacker(size, TaskContext.get().partitionId() << 33)
-        for table in text_batches(batches):
+        encode, packer = UnitEncoder(vocabulary, remembered), LevelPacker(size, TaskContext.get().partitionId() << 33)
+        for table in text_batches(batches, batch_bytes):
             for doc_id, ids in zip(table["doc_id"].to_pylist(), encode(table["text"].to_pylist())):
                 packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
             yield as_batch(packer.done())
         yield as_batch(packer.close(most_padding))
+        del encode, packer
+        release_unused()
 
     names = [f.split()[0] for f in PIECES.split(", ")]
 
