@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from procgraph.llm.common import doc_text, mix, planes, unplanes
 from procgraph.llm.near_dedup import lower
-from procgraph.llm.token_ids import WordMemory, hash_words, text_batches, texts_of, words_in
+from procgraph.llm.token_ids import hash_words, strings, text_batches, texts_of, words_in
 
 #: The token that ends every text, and what stands before the first one.
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A27)
@@ -240,6 +240,8 @@ def draw_tables(c: np.ndarray, g: np.ndarray, key: np.ndarray, discount: float,
     tables, u, log_g = np.minimum(c, 1), uniform(key, salt), np.log(g)
     few, many = np.flatnonzero((c > 1) & (c <= TABULATED)), np.flatnonzero(c > TABULATED)
     tables[few] = tabulated(c[few], log_g[few], u[few], discount)
+    if not len(many):
+        return tables
     n = c[many].astype(float)
     low, high = np.full(len(many), -discount), g[many] + 1.0
     for _ in range(60):  # log(a + discount E[t]) grows with a
@@ -281,10 +283,10 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memory, part = WordMemory(hash_words, 150_000), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for number, rows in enumerate(slices(batches, model.slice_bytes)):
             codes, offsets, words = words_in(lower(texts_of(rows)))
-            hashes, place = np.unique(np.array(memory(words.to_pylist()), np.uint64), return_inverse=True)
+            hashes, place = np.unique(np.array(hash_words(strings(words)), np.uint64), return_inverse=True)
             codes = place[codes]
             order = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")  # frequent words have small codes, which compress
             rank = np.empty(len(order), np.uint32)
@@ -296,6 +298,23 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "slice long, data binary")
 
 
+def ordered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ascending order of keys, equal ones by place; the keys in that order), for keys from 0 and below most.
+
+    Key and place are sorted as one number where they fit into one, in a part of the time that sorting places by keys takes.
+    """
+    bits = max(1, len(keys) - 1).bit_length()
+    if most << bits >= 1 << 63:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = keys << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    order = both & ((1 << bits) - 1)
+    both >>= bits
+    return order, both
+
+
 class Slice:
     """The tokens of a slice and its distinct (context, word) pairs, by bucket; the same wherever it is made."""
 
@@ -316,12 +335,16 @@ class Slice:
         before[1:] = word[:-1]
         before[np.concatenate([[0], ends[:-1] + 1]).astype(int)] = len(hashes) + 1
         self.n_tokens, self.doc = n + 1, np.repeat(np.arange(len(n)), n + 1)
-        pairs, inverse = np.unique(before * len(self.hashes) + word, return_inverse=True)
-        context, word = np.divmod(pairs, len(self.hashes))
+        order, pairs = ordered(before * len(self.hashes) + word, len(self.hashes) ** 2)
+        new = np.ones(total, bool)
+        np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+        inverse = np.empty(total, np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        context, word = np.divmod(pairs[new], len(self.hashes))
         key = mix(self.hashes)[context]
         hot = np.isin(self.hashes, spread)[context]
         key[hot] = pair_key(self.hashes[word[hot]], self.hashes[context[hot]])
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)  # short ones are sorted by their digits
         order = np.argsort(bucket, kind="stable")
         self.context, self.word, self.edges = context[order], word[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         place = np.empty(len(order), np.int64)
@@ -397,8 +420,7 @@ class Bucket:
             count[at : at + size] = counts
             self.slices.append((source, code, size))
             at += size
-        order = np.argsort(pairs)
-        pairs = pairs[order]
+        order, pairs = ordered(pairs, len(self.contexts) * len(self.words))
         new = np.ones(len(pairs), bool)
         np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
         pairs = pairs[new]
@@ -455,8 +477,9 @@ class Bucket:
         """
         m = self.model
         x = gamma(m.strength / m.discount + state["tables"], self.contexts, salt(sweep))
-        tables = np.empty(len(self.count), np.int64)
-        for some in self.runs():
+        tables = np.minimum(self.count, 1)  # a single customer has one table
+        few, many = np.flatnonzero((self.count > 1) & (self.count <= TABULATED)), np.flatnonzero(self.count > TABULATED)
+        for some in [*(few[at : at + DISHES] for at in range(0, len(few), DISHES)), many]:
             word, context = self.word[some], self.context[some]
             key = pair_key(self.words[word], self.contexts[context])
             tables[some] = draw_tables(self.count[some], m.discount * x[context] * state["root"][word], key, m.discount, salt(sweep) + (1 << 36))
@@ -471,10 +494,17 @@ class Bucket:
 
 
 def distinct(arrays: list[np.ndarray]) -> np.ndarray:
-    """All values, sorted, each once; at most two arrays' worth beyond the values are held at a time."""
-    out = arrays[0][:0]
-    for at in range(0, len(arrays), 16):
-        out = np.unique(np.concatenate([out, *arrays[at : at + 16]]))
+    """All values, sorted, each once. Arrays wait until they are as many values as there are: each value is sorted a few times, however many arrays there are."""
+    out, waiting, n = arrays[0][:0], [], 0
+    for i, array in enumerate(arrays, 1):
+        waiting.append(array)
+        n += len(array)
+        if n >= max(len(out), 1 << 16) or i == len(arrays):
+            out = np.concatenate([out, *waiting])
+            out.sort()
+            new = np.ones(len(out), bool)
+            np.not_equal(out[1:], out[:-1], out=new[1:])
+            out, waiting, n = out[new], [], 0
     return out
 
 
