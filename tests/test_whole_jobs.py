@@ -48,3 +48,11 @@ def test_reached_by_blocks_and_frontiers(spark, monkeypatch, block, largest):
             todo += [b for a, b in pairs if a == x]
     edges, entries = spark.createDataFrame([*sorted(pairs), (None, "a1"), ("a1", None)], "src string, dst string"), spark.createDataFrame([(x,) for x in starts], "node string")
     assert sorted(r["node"] for r in graph.reached(edges, entries).collect()) == sorted(want)
+
+
+def test_witness_of_any_length(spark, tmp_path):
+    d = str(tmp_path)
+    con = tables(spark, d, [[*range(1, 301), 1], [400, 401, 400, 401], [500, 501]])
+    got = {tuple(r) for r in suite.QUERIES["witness_cycles"](spark, d).select("start", "cycle", "length", "type").collect()}
+    assert got == {(1, ">".join(map(str, range(1, 301))), 300, "complex"), (400, "400>401", 2, "mutual")}
+    assert got == set(con.sql(f"select start, cycle, length, type from ({suite.ORACLES['witness_cycles']})").fetchall())
